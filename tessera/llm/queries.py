@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, minhash, sharding, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
+    "op2_sharding": sharding.query,
+    "op5_warc": warc.query,
+    "op10_minhash": minhash.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_warc": warc.ORACLE_SQL,
+}
