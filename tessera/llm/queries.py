@@ -12,5 +12,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_sharding": sharding.oracle_sql(40),
     "op5_warc": warc.ORACLE_SQL,
 }

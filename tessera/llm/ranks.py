@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def part_of(cols: list[str], parts: int) -> Column:
+    digest = F.md5(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % parts
+
+
 def numbered(rows: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
     """``rows`` with a long column ``name``: 0, 1, 2 ... within each value of ``key`` (never null).
 
-    The rows of a key are dealt over ``parts`` windows by a hash of all columns, so no task holds a key;
+    The rows of a key are dealt over ``parts`` windows by the MD5 of all columns, so no task holds a key;
     equal rows are first counted on the map side, so copies do not gather either. A second, small window
     over at most ``parts`` counts a key gives each part its first number. Order: by part, then by columns.
     """
     cols = rows.columns
-    counted = rows.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_part", F.pmod(F.xxhash64(*cols), F.lit(parts)))
+    counted = rows.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_part", part_of(cols, parts))
     sizes = counted.groupBy(key, "_part").agg(F.sum("_n").alias("_size"))
     first = sizes.select(key, "_part", (F.sum("_size").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_first"))
     within = Window.partitionBy(key, "_part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)

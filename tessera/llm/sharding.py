@@ -30,10 +30,15 @@ def key_numbers(key: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(digest, i, 15), 16, 10).cast("bigint") % P for i in (1, 16))
 
 
-def _draw(shard: int, weight: float) -> Column:
-    a, b, c = draw_terms(shard)
-    u = (F.col("_x1") * a + F.col("_x2") * b + c) % P
-    return -F.log((u + 1).cast("double") / (P + 1)) / F.lit(float(weight))
+def _draw(term: Column) -> Column:
+    u = (F.col("_x1") * term["a"] + F.col("_x2") * term["b"] + term["c"]) % P
+    return -F.log((u + 1).cast("double") / (P + 1)) / term["weight"]
+
+
+def _terms(shards: dict[int, float]) -> Column:
+    """The shards' terms as one literal array: an expression for each shard would outgrow generated code."""
+    fields = [dict(zip("abc", draw_terms(s), strict=True)) | {"weight": float(w)} for s, w in shards.items()]
+    return F.array(*[F.struct(F.lit(s).alias("s"), *[F.lit(v).cast("double" if k == "weight" else "bigint").alias(k) for k, v in f.items()]) for s, f in zip(shards, fields, strict=True)])
 
 
 def rendezvous(rows: DataFrame, key: str, weights: list[float], name: str = "shard", grown: float | None = None) -> DataFrame:
@@ -44,10 +49,11 @@ def rendezvous(rows: DataFrame, key: str, weights: list[float], name: str = "sha
     if not weights or min(weights) <= 0:
         raise ValueError("each shard needs a weight over 0")
     x1, x2 = key_numbers(F.col(key))
-    best = F.array_min(F.array(*[F.struct(_draw(s, w).alias("d"), F.lit(s).alias("s")) for s, w in enumerate(weights)]))
-    out = rows.withColumns({"_x1": x1, "_x2": x2}).withColumn("_best", best).withColumn(name, F.col("_best.s"))
+    best = lambda shards: F.array_min(F.transform(_terms(shards), lambda t: F.struct(_draw(t).alias("d"), t["s"].alias("s"))))
+    out = rows.withColumns({"_x1": x1, "_x2": x2}).withColumn("_best", best(dict(enumerate(weights)))).withColumn(name, F.col("_best.s"))
     if grown is not None:
-        out = out.withColumn(f"grown_{name}", F.when(_draw(len(weights), grown) < F.col("_best.d"), F.lit(len(weights))).otherwise(F.col("_best.s")))
+        n = len(weights)
+        out = out.withColumn(f"grown_{name}", F.when(best({n: grown})["d"] < F.col("_best.d"), F.lit(n)).otherwise(F.col("_best.s")))
     return out.drop("_x1", "_x2", "_best")
 
 
@@ -63,5 +69,26 @@ def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_c
     return out.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def oracle_sql(shards: int, parts: int = 64) -> str:
+    """DuckDB SQL of the same rows: the draws from the same MD5s, CRC-32 by its table, slots by the same order."""
+    terms = ", ".join(f"({s}, {a}, {b}, {c})" for s in range(shards + 1) for a, b, c in [draw_terms(s)])
+    return f"""
+    WITH tab AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+                 lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+         d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 16 AS size,
+                      list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)) AS bytes FROM documents),
+         k AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+                      coalesce(md5('key ' || doc_id::VARCHAR), md5('null')) AS h FROM d, tab),
+         w AS (SELECT h, ('0x' || substr(h, 1, 15))::BIGINT % {P} AS x1, ('0x' || substr(h, 16, 15))::BIGINT % {P} AS x2 FROM (SELECT DISTINCT h FROM k)),
+         u AS (SELECT h, s, (x1 * a + x2 * b + c) % {P} AS u FROM w, (VALUES {terms}) v(s, a, b, c)),
+         best AS (SELECT h, arg_max(s, u * 1000 - s) FILTER (s < {shards}) AS shard, arg_max(s, u * 1000 - s) AS grown_shard FROM u GROUP BY h),
+         r AS (SELECT doc_id, size, text_crc32, shard, grown_shard, ('0x' || substr(md5(concat_ws(',', coalesce(doc_id::VARCHAR, 'null'), size, text_crc32, shard, grown_shard)), 1, 8))::BIGINT % {parts} AS part
+               FROM k JOIN best USING (h))
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, grown_shard::INTEGER AS grown_shard,
+           row_number() OVER (PARTITION BY shard ORDER BY part, doc_id NULLS FIRST, size, text_crc32)::BIGINT - 1 AS slot
+    FROM r
+    """
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 40)
