@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, sharding, warc
+from . import bpe, minhash, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_sharding": sharding.query,
+    "op3_toxicity": toxicity.query,
     "op5_warc": warc.query,
     "op10_minhash": minhash.query,
 }
