@@ -94,23 +94,22 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(size, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    hashes, docs, vocabulary, grams, owners, known = [], [0], {}, [], [], 0
+    hashes, docs, vocabulary, grams, per, known = [], [0], {}, [], [], 0
     for _, data, offsets in blocks(pa.array(texts, pa.string())):
         data, offsets = padded(data, offsets)
         w = document_words(data, offsets)
         _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
         fresh = np.array([vocabulary.setdefault(h, len(vocabulary)) for h in w.hashes[first].tolist()], np.int64)
         new = first[fresh >= known]
-        for word, bucket in ngrams(data, w.starts[new], w.ends[new]):
-            grams.append(bucket)
-            owners.append(fresh[fresh >= known][word])
+        found = list(ngrams(data, w.starts[new], w.ends[new]))
+        owner = np.concatenate([x for x, _ in found])
+        grams.append(np.concatenate([x for _, x in found]).astype(np.int32)[np.argsort(owner, kind="stable")])
+        per.append(np.bincount(owner, minlength=len(new)).astype(np.int32))
         known = len(vocabulary)
-        hashes.append(fresh[inverse])
+        hashes.append(fresh[inverse].astype(np.int32))
         docs += (w.docs[1:] - w.docs[0] + docs[-1]).tolist()
     words, docs = np.concatenate(hashes), np.array(docs)
-    owners, grams = np.concatenate(owners), np.concatenate(grams)
-    order = np.argsort(owners, kind="stable")
-    grams, per = grams[order], np.bincount(owners, minlength=known)
+    grams, per = np.concatenate(grams), np.concatenate(per)
     at = np.concatenate([[0], np.cumsum(per)])
     a, b, doc = windows(docs)
     # Each word of a clean text is clean by itself, so that a text that repeats one is too.
