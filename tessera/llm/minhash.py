@@ -10,10 +10,12 @@ A pair at the threshold of 0.75 shares no band with probability (1 - 0.75**4)**3
 estimated too low with probability 3e-7. No bucket is capped and no candidate dropped for its number:
 
 - documents with equal sets are one class, and only classes are compared;
-- each bucket first compares its members with one of them, which joins the members of a true group in a
-  number of pairs linear in its size;
-- the rest, pairs of a bucket that are not yet joined, are compared in blocks of BLOCK members, so that
-  a large bucket is dealt over many tasks; only pairs that pass the bit count become rows.
+- each bucket first compares its members with one of them, drawn anew for each bucket, which joins the
+  members of a true group in a number of pairs linear in its size;
+- pairs of a bucket of at most SMALL members that are not yet joined follow by a join on the bucket;
+- larger buckets are dealt into pairs of blocks of at most BLOCK members each, with their full sets. A task
+  compares the two blocks by bit counts and confirms what passes on the spot, unless both are joined
+  already; only links become rows. A pair is compared in the first of its buckets only.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from .shared import cut
 from .textkernels import blocks, document_words, mix, shingle_sets
 
 PERMUTATIONS, ROWS, BITS, SIGMAS = 128, 4, 4, 5
-BLOCK = 256
+SMALL, BLOCK = 64, 512
 #: So many class ids are broadcast at most, to pick their texts in the scan; more of them go by a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -133,11 +135,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             ok = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (a, b))
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                ok.append(100 * common >= percent * (len(x) + len(y) - common))
+                ok.append(share_enough(*(np.frombuffer(v.as_py(), np.uint64) for v in (a, b)), percent))
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
@@ -145,6 +143,64 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def share_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sorted distinct hashes."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def block_links(dealt: DataFrame, percent: int, most: int) -> DataFrame:
+    """Links (a, b) between two blocks of a bucket, or within one, that join what was not joined before.
+
+    ``dealt``: key, i, j, own and a member's cls, n, label, sig, bands, shingles; one group is a pair of blocks.
+    """
+    ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        bucket, i, j = (k.as_py() for k in key)
+        column = {c: table[c].combine_chunks() for c in table.column_names}
+        cls, n, own = column["cls"].to_pylist(), column["n"].to_numpy(), column["own"].to_numpy()
+        sig = column["sig"].flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+        bands = column["bands"].flatten().to_numpy().reshape(len(n), -1)
+        sets = [np.frombuffer(s, np.uint64) for s in column["shingles"].to_pylist()]
+        names: dict[bytes, int] = {}
+        label = np.array([names.setdefault(v, len(names)) for v in column["label"].to_pylist()])
+        root = list(range(len(names)))
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        band = int(np.flatnonzero(bands[0] == bucket)[0])
+        left, right, out = np.flatnonzero(own == i), np.flatnonzero(own == j), []
+        for at in range(0, len(left), 32):
+            part = left[at : at + 32]
+            x = sig[part][:, None, :] ^ sig[right][None]
+            s = 1
+            while s < BITS:
+                x |= x >> np.uint64(s)
+                s *= 2
+            ok = np.bitwise_count(x & ones).sum(2) <= most
+            ok &= (n[part][:, None] * 100 >= n[right][None] * percent) & (n[right][None] * 100 >= n[part][:, None] * percent)
+            ok &= label[part][:, None] != label[right][None]
+            if i == j:
+                ok &= part[:, None] < right[None]
+            p, q = np.nonzero(ok)
+            p, q = part[p], right[q]
+            first = ~(bands[p, :band] == bands[q, :band]).any(1)
+            for a, b in zip(p[first].tolist(), q[first].tolist(), strict=True):
+                one, two = find(label[a]), find(label[b])
+                if one != two and share_enough(sets[a], sets[b], percent):
+                    root[one] = two
+                    out.append((cls[a], cls[b]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every document.
 
@@ -156,27 +212,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = cut(sketches(docs, id_col, text_col, width), "sketch")
     classes = sketch.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("first_id"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("sig").alias("sig"))
     keyed = classes.select("cls", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("cls").alias("center")).where("m > 1")
+    drawn = F.min(F.struct(F.xxhash64("cls", "key").alias("h"), "cls"))["cls"]
+    shared = keyed.groupBy("key").agg(F.count("*").alias("m"), drawn.alias("center")).where("m > 1")
     members = cut(keyed.join(shared, "key"), "members")
-    wanted = cut(classes.drop("bands").join(members.select("cls").distinct(), "cls", "left_semi"), "wanted")
+    wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"), "wanted")
     sets = cut(full_sets(docs, id_col, text_col, width, wanted), "sets")
 
     most = most_unlike(percent / 100)
     side = lambda x: wanted.select(F.col("cls").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
     near = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent) & (unlike(F.col("sig_a"), F.col("sig_b")) <= most)
 
-    stars = members.where("cls <> center").select(F.col("center").alias("a"), F.col("cls").alias("b")).distinct()
+    stars = members.where("cls <> center").select(F.least("center", "cls").alias("a"), F.greatest("center", "cls").alias("b")).distinct()
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b")
     linked = cut(confirmed(stars, sets, percent), "stars")
 
     label = hop(linked)
-    marked = wanted.join(label, wanted["cls"] == label["node"], "left").select("cls", "n", "sig", F.coalesce("label", "cls").alias("label"))
-    dealt = members.select("cls", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g")).join(marked, "cls")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("g"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    left, right = (dealt.select("key", F.col(own).cast("long").alias("i"), F.col(other).cast("long").alias("j"), *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sig", "label")]) for x, own, other in (("a", "own", "other"), ("b", "other", "own")))
-    rest = left.join(right, ["key", "i", "j"]).where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & near)
-    rest = rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct()
-    links = cut(linked.union(confirmed(rest, sets, percent)), "links")
+    marked = cut(wanted.join(label, wanted["cls"] == label["node"], "left").select("cls", "n", "sig", "bands", F.coalesce("label", "cls").alias("label")), "marked")
+
+    few = members.where(F.col("m") <= SMALL).select("cls", "key").join(marked.drop("bands"), "cls")
+    left, right = (few.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "n", "sig", "label")]) for x in "ab")
+    rest = left.join(right, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & near)
+    rest = confirmed(rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), sets, percent)
+
+    many = members.where(F.col("m") > SMALL).select("cls", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    many = many.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls").join(marked, "cls").join(sets, "cls")
+    links = cut(linked.union(rest).union(block_links(dealt, percent, most)), "links")
 
     found = components(links)
     joined = classes.select("cls", "first_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))

@@ -65,7 +65,8 @@ def test_documents_equal_brute_force(spark):
 
 
 def test_large_bucket_is_split_and_whole(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SMALL", 3)
     rng = random.Random(4)
     base = [f"p{k}" for k in range(60)]
     rows = [(k, " ".join(base + [f"q{k}_{j}" for j in range(rng.choice([2, 5, 12, 30]))])) for k in range(60)]
