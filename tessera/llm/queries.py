@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, sharding, toxicity, warc
+from . import bpe, minhash, packing, quality, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
     "op5_warc": warc.query,
+    "op7_quality": quality.query,
+    "op8_packing": packing.query,
     "op10_minhash": minhash.query,
 }
 
