@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -14,28 +19,35 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_bytes: int, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
-    """Whole texts and 0/1 labels of at most ``rows_per_class`` ids a class and ``max_bytes`` in all, fold 0 left out.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_bytes: int, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, y): whole texts and 0/1 labels of at most ``rows_per_class`` ids a class and ``max_bytes`` in all, fold 0 left out.
 
     The ids with the smallest hashes are taken, so the sample does not hang on the tables' layout. Null labels
     and null ids are left out; of differing labels of one id the largest counts.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(fold(id_col, folds) != 0).groupBy(id_col).agg(F.max(label).alias("_y"))
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(fold(id_col, folds) != 0).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64(F.lit(label), id_col)
     picked = [known.where(known["_y"] == y).orderBy(order, id_col).limit(rows_per_class) for y in (0, 1)]
     chosen = F.broadcast(cut(picked[0].union(picked[1]), "picked").withColumnRenamed(id_col, "_id"))
-    found = cut(docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, "_id").withColumn("_bytes", F.octet_length("_text")), "sample")
-    # At most two times rows_per_class ids; repeated rows of an id are bounded by the limit.
-    ordered = found.orderBy(F.xxhash64(F.lit(label), "_id"), "_id").limit(2 * rows_per_class)
-    small, used = [], 0
-    sizes = [(r["_id"], r["_bytes"]) for r in ordered.select("_id", "_bytes").collect()]
-    for i, n in sizes:
-        if used + n <= max_bytes:
-            small.append(i)
-            used += n
-    wanted = F.broadcast(found.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(small)], found.select("_id").schema)) if small else None
-    rows = [] if wanted is None else ordered.join(wanted, "_id", "left_semi").orderBy(F.xxhash64(F.lit(label), "_id"), "_id", "_text").select("_text", "_y").collect()
-    return [r["_text"] for r in rows], np.array([r["_y"] for r in rows], np.int64)
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, "_id")
+    found = cut(found.select("_text", "_y", F.octet_length("_text").alias("_bytes"), F.xxhash64(F.lit(label), "_id", "_text").alias("_at")), "sample")
+    # Rows repeat where ids do; the limit bounds what the window below takes into one task.
+    few = found.select("_at", "_bytes", "_y").orderBy("_at").limit(2 * rows_per_class)
+    room = few.withColumn("_run", F.sum("_bytes").over(Window.orderBy("_at", "_y").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_run") <= max_bytes)
+    return cut(found.join(F.broadcast(room.select("_at").distinct()), "_at", "left_semi").select("_at", F.col("_text").alias("text"), F.col("_y").alias("y")).orderBy("_at").limit(2 * rows_per_class), "fit")
+
+
+def fit_in_task(sample: DataFrame, fit: Callable) -> Any:
+    """``fit(texts, labels)`` on a bounded sample (text, y), in one task, so that the driver needs no memory for it."""
+
+    def run(batches):
+        tables = list(batches)
+        rows = pa.Table.from_batches(tables).sort_by("_at") if tables else pa.table({"text": [], "y": []})
+        model = fit(rows["text"].to_pylist(), np.array(rows["y"].to_pylist(), np.int64))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    row = sample.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
 
 
 def sigmoid(x):

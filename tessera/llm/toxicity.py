@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fitting import Adam, fold, labelled_sample, sigmoid
+from .fitting import Adam, fit_in_task, fold, labelled_sample, sigmoid
 from .textkernels import BLOCK, LOWER, WHITE, _values, blocks, document_words, mix, powers
 
-#: Bounds of the sample that the model is fitted on.
-FIT_ROWS, FIT_BYTES = 4000, 24 << 20
+#: Bounds of the sample that the model is fitted on, and the bytes of it that are taken apart at a time.
+FIT_ROWS, FIT_BYTES, FIT_BLOCK = 4000, 18 << 20, 1 << 18
 SIZES, BUCKET_BITS, DIM, WINDOW, ROUNDS = (3, 4, 5, 6), 17, 8, 4, 12
 
 
@@ -95,7 +95,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
         return Model(np.zeros(size, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
     hashes, docs, vocabulary, grams, per, known = [], [0], {}, [], [], 0
-    for _, data, offsets in blocks(pa.array(texts, pa.string())):
+    for _, data, offsets in blocks(pa.array(texts, pa.string()), FIT_BLOCK):
         data, offsets = padded(data, offsets)
         w = document_words(data, offsets)
         _, first, inverse = np.unique(w.hashes, return_index=True, return_inverse=True)
@@ -113,7 +113,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     at = np.concatenate([[0], np.cumsum(per)])
     a, b, doc = windows(docs)
     # Each word of a clean text is clean by itself, so that a text that repeats one is too.
-    clean = np.flatnonzero(np.repeat(y, np.diff(docs)) == 0)
+    clean = np.flatnonzero(np.repeat(y == 0, np.diff(docs)))
     single = clean[np.unique(words[clean], return_index=True)[1]]
     a, b, doc = np.concatenate([a, single]), np.concatenate([b, single + 1]), np.concatenate([doc, len(y) + np.arange(len(single)) // 48])
     label = np.append(y, np.zeros(doc.max() + 1 - len(y), np.int64))[doc]
@@ -124,14 +124,14 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     by_doc = np.argsort(doc, kind="stable")
     for turn in range(ROUNDS):
         gain = table @ (head[:, 1] - head[:, 0])
-        each = np.add.reduceat(np.append(gain[grams], 0), at[:-1]) / np.maximum(per, 1)
+        each = np.add.reduceat(gain[grams], at[:-1]) / np.maximum(per, 1)
         run = np.concatenate([[0.0], np.cumsum(each[words])])
         score = (run[b] - run[a]) / np.maximum(b - a, 1)
         rank = np.lexsort((-score if turn else rng.random(len(score)), doc))
         place = np.arange(len(doc)) - np.searchsorted(doc[by_doc], doc[rank])
         chosen = rank[place < np.where(label[rank] == 1, 1 if turn else 3, 3)]
         rng.shuffle(chosen)
-        for batch in np.array_split(chosen, max(1, len(chosen) // 1024)):
+        for batch in np.array_split(chosen, max(1, len(chosen) // 1024, min(24, len(chosen) // 32))):
             spans = b[batch] - a[batch]
             token = np.repeat(a[batch] - np.cumsum(spans) + spans, spans) + np.arange(spans.sum())
             window, word = np.repeat(np.arange(len(batch)), spans), words[token]
@@ -166,7 +166,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
 
 
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(*labelled_sample(docs, labels, "toxic", FIT_ROWS, FIT_BYTES))
+    return fit_in_task(labelled_sample(docs, labels, "toxic", FIT_ROWS, FIT_BYTES), fit)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
