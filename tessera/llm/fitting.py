@@ -50,6 +50,17 @@ def fit_in_task(sample: DataFrame, fit: Callable) -> Any:
     return pickle.loads(row["model"]) if row else fit([], np.zeros(0, np.int64))
 
 
+def keep_where(docs: DataFrame, text_col: str, judge: Callable[[Any, pa.Array], np.ndarray], model: Any) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, for whose texts ``judge(model, texts)`` is true."""
+    shipped, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(judge(shipped.value, batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sigmoid(x):
     return 0.5 * (1.0 + np.tanh(0.5 * np.asarray(x, np.float64)))
 

@@ -88,7 +88,7 @@ def unlike(a: Column, b: Column) -> Column:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, n_shingles, cls, bands, sig) of each row; cls is a 128-bit hash of the set; all null but the count for an empty set."""
+    """(id, text_hash, n_shingles, cls, bands, sig) of each row; cls is a 128-bit hash of the set; the last three null for an empty set."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -100,11 +100,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                 keys, sig, at = band_keys(least).tolist(), packed(least).tolist(), np.cumsum([len(s) > 0 for s in sets]) - 1
                 pick = lambda rows: [rows[at[i]] if len(s) else None for i, s in enumerate(sets)]  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), pa.array(pick(keys), pa.list_(pa.int64())), pa.array(pick(sig), pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "cls", "bands", "sig"],
+                    [batch.column(0).slice(first, len(sets)), batch.column(2).slice(first, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.binary()), pa.array(pick(keys), pa.list_(pa.int64())), pa.array(pick(sig), pa.list_(pa.int64()))],
+                    ["id", "text_hash", "n_shingles", "cls", "bands", "sig"],
                 )
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_shingles bigint, cls binary, bands array<bigint>, sig array<bigint>")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash")).mapInArrow(run, f"id {kind}, text_hash bigint, n_shingles bigint, cls binary, bands array<bigint>, sig array<bigint>")
 
 
 def _class(shingles: np.ndarray) -> bytes | None:
@@ -202,7 +202,7 @@ def block_links(dealt: DataFrame, percent: int, most: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, width: int = 5) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every document.
+    """(id, n_shingles, component_id, kept, text_hash) of every document; text_hash tells rows of one id apart.
 
     Words are lower-cased (A-Z); a document's set holds its distinct runs of ``width`` words, or its whole
     sequence if it has fewer; without words or text it is empty and linked with nothing. Documents are linked
@@ -243,9 +243,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     joined = classes.select("cls", "first_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))
     linked_only = joined.join(found.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("first_id").alias("least"))
     named = joined.join(linked_only, "label", "left").select("cls", F.coalesce("least", "first_id").alias("component_id"))
-    out = sketch.select("id", "n_shingles", "cls").join(named, "cls", "left")
+    out = sketch.select("id", "n_shingles", "cls", "text_hash").join(named, "cls", "left")
     component = F.when(F.col("cls").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "text_hash")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest id; all columns kept.
+
+    Repeated rows count as copies. Rows of null ids stay once a text if their group has no id.
+    """
+    found = near_duplicates(docs).where("kept")
+    apart = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    chosen = found.groupBy("doc_id", "component_id", apart.alias("_apart")).agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash").distinct()
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    kept = marked.join(chosen, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_text_hash"] == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

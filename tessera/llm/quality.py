@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fitting import Adam, fit_in_task, fold, labelled_sample, sigmoid
+from .fitting import Adam, fit_in_task, fold, keep_where, labelled_sample, sigmoid
 from .textkernels import BLOCK, WHITE, _values, blocks, mix, powers
 
 #: Bounds of the sample, of the vocabulary, and the sizes of vectors and hidden layer.
@@ -177,6 +177,11 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
     return model
 
 
+def scores(model: Model, texts: pa.Array) -> np.ndarray:
+    """Probabilities of label 1 of whole texts; null is empty."""
+    return np.concatenate([np.zeros(0), *[model.score_block(data, offsets) for _, data, offsets in blocks(texts)]])
+
+
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
     """(id, kept columns, score): the probability of label 1 of every whole text; an empty text pools to zeros."""
     kind = docs.select(F.col(id_col).alias("_id"), *keep).schema
@@ -185,8 +190,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     def run(batches):
         model = shipped.value
         for batch in batches:
-            out = [model.score_block(data, offsets) for _, data, offsets in blocks(batch.column(batch.num_columns - 1))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], [*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores(model, batch.column(batch.num_columns - 1)), pa.float64())], [*batch.schema.names[:-1], "_score"])
 
     scored = docs.select(F.col(id_col).alias("_id"), *keep, F.col(text_col).alias("_words")).mapInArrow(run, kind.add("_score", "double"))
     return scored.withColumnsRenamed({"_id": id_col, "_score": "score"})
@@ -196,6 +200,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     return fit_in_task(labelled_sample(docs, labels, "quality", FIT_ROWS, FIT_BYTES), fit)
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
+    """The documents whose probability of good quality is ``least`` or more, all columns kept."""
+    return keep_where(docs, "text", lambda m, t: scores(m, t) >= least, fit_on(docs, labels))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score_documents(docs, fit_on(docs, labels))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, packing, quality, sharding, toxicity, warc
+from . import ann, bpe, minhash, packing, quality, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
     "op5_warc": warc.query,
+    "op6_quality_rules": quality_rules.query,
     "op7_quality": quality.query,
     "op8_packing": packing.query,
+    "op9_ann": ann.query,
     "op10_minhash": minhash.query,
 }
 
