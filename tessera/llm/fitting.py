@@ -37,6 +37,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
     return cut(found.join(F.broadcast(room.select("_at").distinct()), "_at", "left_semi").select("_at", F.col("_text").alias("text"), F.col("_y").alias("y")).orderBy("_at").limit(2 * rows_per_class), "fit")
 
 
+def text_sample(docs: DataFrame, rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text, y = 0): at most ``rows`` whole texts of at most ``max_bytes`` in all, those of the smallest id hashes."""
+    at = F.xxhash64(F.lit("sample"), id_col)
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), at.alias("_h")).orderBy("_h", "_id").limit(rows)
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(cut(ids, "picked")), "_id")
+    found = cut(found.select(F.xxhash64("_id", "text").alias("_at"), "text", F.octet_length("text").alias("_bytes")), "sample")
+    few = found.select("_at", "_bytes").orderBy("_at").limit(rows)
+    room = few.withColumn("_run", F.sum("_bytes").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_run") <= max_bytes)
+    return cut(found.join(F.broadcast(room.select("_at").distinct()), "_at", "left_semi").select("_at", "text", F.lit(0).alias("y")).orderBy("_at").limit(rows), "fit")
+
+
 def fit_in_task(sample: DataFrame, fit: Callable) -> Any:
     """``fit(texts, labels)`` on a bounded sample (text, y), in one task, so that the driver needs no memory for it."""
 

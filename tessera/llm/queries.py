@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, minhash, packing, quality, quality_rules, sharding, toxicity, warc
+from . import ann, bpe, lm, minhash, packing, quality, quality_rules, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
     "op2_sharding": sharding.query,
     "op3_toxicity": toxicity.query,
+    "op4_lm": lm.query,
     "op5_warc": warc.query,
     "op6_quality_rules": quality_rules.query,
     "op7_quality": quality.query,
