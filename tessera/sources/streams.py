@@ -22,7 +22,8 @@ def units(streams: DataFrame, id_col: str, stream: Column) -> DataFrame:
     Start codes are found at whole bytes only: bytes are set apart before the split.
     """
     spaced = F.regexp_replace(stream, "(..)", "$1 ")
-    parts = F.filter(F.split(spaced, "(?:00 ){2,}01 "), lambda p: F.length(p) >= 6)
+    parts = F.split(spaced, "(?:00 ){2,}01 ")  # the first is what stands before any start code
+    parts = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p) >= 6)
     rows = streams.select(id_col, F.posexplode(parts).alias("seq", "raw"))
     body = F.regexp_replace("raw", " ", "")
     clean = F.regexp_replace(body, "(?:00)+$", "")
