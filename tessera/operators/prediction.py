@@ -6,7 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.tables import RECIPROCAL
-from .modes import binary_log
+from .modes import HORIZONTAL, VERTICAL, binary_log
+
+# Fixed value: slopes of the angles in 32nds of a sample, by distance from straight up or straight left.
+SLOPES = (0, 1, 2, 3, 4, 6, 8, 10, 12, 14, 16, 18, 20, 23, 26, 29, 32, 35, 39, 45, 51, 57, 64, 73, 86, 102, 128, 171, 256, 341, 512, 1024)
 
 
 def ref(a: Column, i) -> Column:
@@ -70,3 +73,25 @@ def line_terms(min_l: Column, min_c: Column, max_l: Column, max_c: Column) -> Co
     flat = diff <= 0
     pick = lambda c, other: F.when(flat, other).otherwise(c).cast("bigint")
     return F.struct(pick(a, F.lit(0)).alias("a"), pick(b, min_c).alias("b"), pick(shift, F.lit(0)).alias("shift"))
+
+
+def angular(top: Column, left: Column, x: Column, y: Column, mode: Column, size: int) -> Column:
+    """Prediction of a square block along an angle (modes 2 to 66), linear between two references, as for chroma.
+
+    Modes from the diagonal on run from the top, others from the left with the sides exchanged. A slope away
+    from the main side continues it with references of the other, projected by the inverse slope.
+    """
+    upright = mode >= 34
+    main, side = F.when(upright, top).otherwise(left), F.when(upright, left).otherwise(top)
+    along, across = F.when(upright, x).otherwise(y), F.when(upright, y).otherwise(x)
+    turn = F.when(upright, mode - VERTICAL).otherwise(HORIZONTAL - mode)
+    slope = F.element_at(F.array(*map(F.lit, SLOPES)), (F.abs(turn) + 1).cast("int"))
+    back = F.element_at(F.array(*[F.lit(round(16384 / a) if a else 0) for a in SLOPES]), (F.abs(turn) + 1).cast("int"))
+    moved = F.when(turn < 0, -slope).otherwise(slope) * (across + 1)
+    whole, part = F.shiftright(moved, 5), moved - F.shiftright(moved, 5) * 32
+
+    def at(i: Column) -> Column:
+        return F.when(i >= 0, ref(main, F.greatest(F.lit(0), F.least(i, F.lit(2 * size))))).otherwise(ref(side, F.greatest(F.lit(0), F.least(F.lit(size), F.shiftright(-i * back + 256, 9)))))
+
+    one, two = at(whole + along + 1), at(whole + along + 2)
+    return one + F.shiftright(part * (two - one) + 16, 5)

@@ -94,14 +94,15 @@ _transform_query("mts_dst7_dct8_4", 4, 4, "dst7", "dct8")
 _transform_query("mts_dst7_dst7_32", 32, 32, "dst7", "dst7")
 
 
-def _round_trip(name: str, w: int, h: int) -> None:
+def _round_trip(name: str, w: int, h: int, across: str = "dct2", down: str = "dct2") -> None:
     """The inverse transform of the forward one, sample by sample."""
-    QUERIES[name] = lambda spark, sf_dir: transforms.inverse(transforms.forward(rows_of(spark, sf_dir, h), w, h), w, h)
-    ORACLE_SQL[name] = f"WITH {forward_sql(w, h)}, {inverse_sql(w, h)} SELECT brow, bcol, j::BIGINT AS j, i::BIGINT AS i, r FROM residual"
+    QUERIES[name] = lambda spark, sf_dir: transforms.inverse(transforms.forward(rows_of(spark, sf_dir, h), w, h, across, down), w, h, across, down)
+    ORACLE_SQL[name] = f"WITH {forward_sql(w, h, across, down)}, {inverse_sql(w, h)} SELECT brow, bcol, j::BIGINT AS j, i::BIGINT AS i, r FROM residual"
 
 
 _round_trip("inverse_dct_8", 8, 8)
 _round_trip("inverse_dct_16x8", 16, 8)
+_round_trip("inverse_mts_dct8_dst7_8", 8, 8, "dct8", "dst7")
 
 
 @query("quant_scalar", f"WITH {forward_sql(8, 4)}, l AS (SELECT brow, bcol, u, v, {quant_sql('c', 8, 4, QP)} AS level FROM coef) SELECT brow, bcol, u, v, level, {dequant_sql('level', 8, 4, QP)} AS c FROM l")
@@ -407,6 +408,24 @@ def pred_pdpc(spark, sf_dir):
     return r.select("id", "y", "x", prediction.position_blend(prediction.planar(t, left, x, y, 8), t, left, x, y, 8, 8).alias("p"))
 
 
+ANGLES = (2, 7, 13, 18, 23, 30, 34, 38, 45, 50, 55, 61, 66)
+_AT = "CASE WHEN {0} >= 0 THEN mn[least({0}, 8) + 1] ELSE sd[least(4, ((-({0})) * inv + 256) >> 9) + 1] END"
+
+
+@query(
+    "pred_angular_open",
+    f"""WITH {REFS}, a AS (SELECT id, j, i, m::BIGINT AS m, CASE WHEN m >= 34 THEN top ELSE lft END AS mn, CASE WHEN m >= 34 THEN lft ELSE top END AS sd, CASE WHEN m >= 34 THEN i ELSE j END AS al, CASE WHEN m >= 34 THEN j ELSE i END AS ac,
+        CASE WHEN m >= 34 THEN m - 50 ELSE 18 - m END AS t FROM places, (SELECT unnest({list(ANGLES)}) AS m) WHERE i < 4 AND j < 4),
+    b AS (SELECT *, {list(prediction.SLOPES)}[abs(t) + 1] AS sl FROM a),
+    c AS (SELECT *, CASE WHEN sl = 0 THEN 0 ELSE round(16384 / sl)::BIGINT END AS inv, (CASE WHEN t < 0 THEN -sl ELSE sl END) * (ac + 1) AS d FROM b),
+    e AS (SELECT id, j, i, m, d - (d >> 5) * 32 AS f, {_AT.format('((d >> 5) + al + 1)')} AS p, {_AT.format('((d >> 5) + al + 2)')} AS q FROM c)
+    SELECT id, j AS y, i AS x, m AS mode, p + ((f * (q - p) + 16) >> 5) AS v FROM e""",
+)
+def pred_angular_open(spark, sf_dir):
+    r = reference_rows(spark, sf_dir).where("x < 4 AND y < 4").withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in ANGLES])))
+    return r.select("id", "y", "x", "mode", prediction.angular(F.col("top"), F.col("left"), F.col("x"), F.col("y"), F.col("mode"), 4).alias("v"))
+
+
 @query(
     "cclm_fit",
     f"""WITH {planes.RAW_SQL}, p AS (SELECT y, list(v ORDER BY x) AS t FROM raw GROUP BY y),
