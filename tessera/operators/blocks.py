@@ -96,3 +96,15 @@ def last_significant(levels: DataFrame, order: list[tuple[int, int]]) -> DataFra
     pos = F.element_at(literal(flat), (F.col("v") * side + F.col("u") + 1).cast("int"))
     last = F.max(F.when(F.col("c") != 0, pos).otherwise(-1))
     return levels.groupBy("brow", "bcol").agg(last.alias("last")).withColumn("cbf", F.col("last") >= 0)
+
+
+def best_modes(residuals: DataFrame, keys: list[str], size: int, keep: int) -> DataFrame:
+    """(keys, mode, satd, rank): of each block the ``keep`` modes of least absolute Hadamard sum, ties to the smaller mode.
+
+    ``residuals``: keys, mode, y, x, v. Only sums reach the ranking, one row a block and mode.
+    """
+    rows = column_pass(residuals, [*keys, "mode", "y"], F.col("x"), F.col("v"), hadamard(size), "t").select(*keys, "mode", "y", F.posexplode("t").alias("u", "t"))
+    both = column_pass(rows, [*keys, "mode", "u"], F.col("y"), F.col("t"), hadamard(size), "c")
+    cost = both.groupBy(*keys, "mode").agg(F.sum(F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + F.abs(v))).alias("satd"))
+    order = Window.partitionBy(*keys).orderBy("satd", "mode")
+    return cost.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= keep)

@@ -376,14 +376,14 @@ def wide_angle(spark, sf_dir):
     return g.select(*at, modes.wide_angle(*at).cast("bigint").alias("predicted"), modes.wide_angle(*at, back=67).cast("bigint").alias("for_set"))
 
 
-REFS = f"""{planes.RAW_SQL}, refs AS (SELECT y, list_prepend(t[1], t[2:17]) AS top, list_prepend(t[1], t[18:33]) AS lft FROM (SELECT y, list(v ORDER BY x) AS t FROM raw GROUP BY y)),
-    places AS (SELECT y AS id, top, lft, j, i FROM refs, range(0, 8) a(j), range(0, 8) b(i))"""
+REFS = f"""{planes.RAW_SQL}, refs AS (SELECT y, list_prepend(t[1], t[2:17]) AS top, list_prepend(t[1], t[18:33]) AS lft, t FROM (SELECT y, list(v ORDER BY x) AS t FROM raw GROUP BY y)),
+    places AS (SELECT y AS id, top, lft, t, j, i FROM refs, range(0, 8) a(j), range(0, 8) b(i))"""
 
 
 def reference_rows(spark, sf_dir) -> DataFrame:
-    """(id, top, left, y, x): references of an 8 x 8 block out of each plane row, and each of its positions."""
-    r = planes.embedding_rows(spark, sf_dir).select(F.col("y").alias("id"), F.concat(F.slice("row", 1, 1), F.slice("row", 2, 16)).alias("top"), F.concat(F.slice("row", 1, 1), F.slice("row", 18, 16)).alias("left"))
-    return r.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_p")).select("id", "top", "left", F.expr("cast(_p div 8 as bigint)").alias("y"), (F.col("_p") % 8).cast("bigint").alias("x"))
+    """(id, row, top, left, y, x): references of an 8 x 8 block out of each plane row, and each of its positions."""
+    r = planes.embedding_rows(spark, sf_dir).select(F.col("y").alias("id"), "row", F.concat(F.slice("row", 1, 1), F.slice("row", 2, 16)).alias("top"), F.concat(F.slice("row", 1, 1), F.slice("row", 18, 16)).alias("left"))
+    return r.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_p")).select("id", "row", "top", "left", F.expr("cast(_p div 8 as bigint)").alias("y"), (F.col("_p") % 8).cast("bigint").alias("x"))
 
 
 PLANAR = "((((7 - i) * lft[j + 2] + (i + 1) * top[9] + (7 - j) * top[i + 2] + (j + 1) * lft[9]) * 8 + 64) >> 7)"
@@ -412,20 +412,39 @@ ANGLES = (2, 7, 13, 18, 23, 30, 34, 38, 45, 50, 55, 61, 66)
 _AT = "CASE WHEN {0} >= 0 THEN mn[least({0}, 8) + 1] ELSE sd[least(4, ((-({0})) * inv + 256) >> 9) + 1] END"
 
 
-@query(
-    "pred_angular_open",
-    f"""WITH {REFS}, a AS (SELECT id, j, i, m::BIGINT AS m, CASE WHEN m >= 34 THEN top ELSE lft END AS mn, CASE WHEN m >= 34 THEN lft ELSE top END AS sd, CASE WHEN m >= 34 THEN i ELSE j END AS al, CASE WHEN m >= 34 THEN j ELSE i END AS ac,
+_ANGULAR = f"""{REFS}, a AS (SELECT id, top, lft, t AS line, j, i, m::BIGINT AS m, CASE WHEN m >= 34 THEN top ELSE lft END AS mn, CASE WHEN m >= 34 THEN lft ELSE top END AS sd, CASE WHEN m >= 34 THEN i ELSE j END AS al, CASE WHEN m >= 34 THEN j ELSE i END AS ac,
         CASE WHEN m >= 34 THEN m - 50 ELSE 18 - m END AS t FROM places, (SELECT unnest({list(ANGLES)}) AS m) WHERE i < 4 AND j < 4),
     b AS (SELECT *, {list(prediction.SLOPES)}[abs(t) + 1] AS sl FROM a),
     c AS (SELECT *, CASE WHEN sl = 0 THEN 0 ELSE round(16384 / sl)::BIGINT END AS inv, (CASE WHEN t < 0 THEN -sl ELSE sl END) * (ac + 1) AS d FROM b),
-    e AS (SELECT id, j, i, m, d - (d >> 5) * 32 AS f, {_AT.format('((d >> 5) + al + 1)')} AS p, {_AT.format('((d >> 5) + al + 2)')} AS q FROM c)
-    SELECT id, j AS y, i AS x, m AS mode, p + ((f * (q - p) + 16) >> 5) AS v FROM e""",
-)
+    e AS (SELECT id, j, i, m, line, d - (d >> 5) * 32 AS f, {_AT.format('((d >> 5) + al + 1)')} AS p, {_AT.format('((d >> 5) + al + 2)')} AS q FROM c)"""
+
+
+@query("pred_angular_open", f"WITH {_ANGULAR} SELECT id, j AS y, i AS x, m AS mode, p + ((f * (q - p) + 16) >> 5) AS v FROM e")
 def pred_angular_open(spark, sf_dir):
     r = reference_rows(spark, sf_dir).where("x < 4 AND y < 4").withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in ANGLES])))
     return r.select("id", "y", "x", "mode", prediction.angular(F.col("top"), F.col("left"), F.col("x"), F.col("y"), F.col("mode"), 4).alias("v"))
 
 
+@query(
+    "mode_top4_open",
+    f"""WITH {_ANGULAR}, hm(k, n, m) AS (VALUES {", ".join(f"({k}, {i}, {v})" for k, row in enumerate(blocks.hadamard(4)) for i, v in enumerate(row))}),
+    small AS (SELECT * FROM places WHERE i < 4 AND j < 4),
+    pr AS (SELECT id, j, i, m, line, p + ((f * (q - p) + 16) >> 5) AS p FROM e
+           UNION ALL SELECT id, j, i, 0, t, (((3 - i) * lft[j + 2] + (i + 1) * top[5] + (3 - j) * top[i + 2] + (j + 1) * lft[5]) * 4 + 16) >> 5 FROM small
+           UNION ALL SELECT id, j, i, 1, t, (list_sum(top[2:5])::BIGINT + list_sum(lft[2:5])::BIGINT + 4) >> 3 FROM small),
+    r1 AS (SELECT id, pr.m AS mode, j, k AS u, sum((line[34 + j * 4 + i] - p) * hm.m)::BIGINT AS t FROM pr JOIN hm ON n = i GROUP BY ALL),
+    r2 AS (SELECT id, mode, u, k, sum(t * hm.m)::BIGINT AS c FROM r1 JOIN hm ON n = j GROUP BY ALL),
+    cost AS (SELECT id, mode, sum(abs(c))::BIGINT AS satd FROM r2 GROUP BY ALL)
+    SELECT id, mode, satd, row_number() OVER (PARTITION BY id ORDER BY satd, mode) AS rank FROM cost QUALIFY rank <= 4""",
+)
+def mode_top4_open(spark, sf_dir):
+    r = reference_rows(spark, sf_dir).where("x < 4 AND y < 4").withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in (0, 1, *ANGLES)])))
+    t, left, x, y, m = (F.col(c) for c in ("top", "left", "x", "y", "mode"))
+    p = F.when(m == 0, prediction.planar(t, left, x, y, 4)).when(m == 1, prediction.mean(t, left, 4, 4)).otherwise(prediction.angular(t, left, x, y, m, 4))
+    own = F.element_at("row", (34 + y * 4 + x).cast("int"))
+    return blocks.best_modes(r.select("id", "mode", "y", "x", (own - p).alias("v")), ["id"], 4, 4)
+
+
 @query(
     "cclm_fit",
     f"""WITH {planes.RAW_SQL}, p AS (SELECT y, list(v ORDER BY x) AS t FROM raw GROUP BY y),
