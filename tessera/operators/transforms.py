@@ -95,3 +95,11 @@ def round_trip(rows: DataFrame, size: int, qp: int) -> DataFrame:
     original = rows.select("y", at).select(F.floor(F.col("y") / size).cast("bigint").alias("brow"), F.floor(F.col("x") / size).cast("bigint").alias("bcol"), (F.col("y") % size).alias("j"), (F.col("x") % size).cast("bigint").alias("i"), "s")
     error = F.col("s") - F.col("r")
     return inverse(levels, size, size).join(original, ["brow", "bcol", "j", "i"]).groupBy("brow", "bcol").agg(F.sum(error * error).alias("ssd"))
+
+
+def error_scale(spark, w: int, h: int, amplitude: int = 1024) -> DataFrame:
+    """(scale): what a squared error of one coefficient costs in squared samples, as the mean over six impulses."""
+    spots = [(0, 0), (w // 2, h // 2), (w - 1, 0), (0, h - 1), (w - 1, h - 1), (max(w // 4, 1), max(h // 4, 1))]
+    impulses = spark.createDataFrame([(k, 0, u, v, amplitude) for k, (u, v) in enumerate(spots)], "brow bigint, bcol bigint, u bigint, v bigint, c bigint")
+    r = inverse(impulses, w, h)
+    return r.agg((F.sum(F.col("r") * F.col("r")).cast("double") / (amplitude * amplitude * len(spots))).alias("scale"))

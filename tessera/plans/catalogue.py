@@ -105,6 +105,25 @@ _round_trip("inverse_dct_16x8", 16, 8)
 _round_trip("inverse_mts_dct8_dst7_8", 8, 8, "dct8", "dst7")
 
 
+def _scale_sql(w: int, h: int) -> str:
+    spots = [(0, 0), (w // 2, h // 2), (w - 1, 0), (0, h - 1), (w - 1, h - 1), (max(w // 4, 1), max(h // 4, 1))]
+    values = ", ".join(f"({k}, 0, {u}, {v}, 1024)" for k, (u, v) in enumerate(spots))
+    return f"""SELECT {w}::BIGINT AS w, {h}::BIGINT AS h, scale FROM (WITH {matrix_sql('ma', 'dct2', w)}, {matrix_sql('md', 'dct2', h)}, coef(brow, bcol, u, v, c) AS (VALUES {values}), {inverse_sql(w, h)}
+    SELECT sum(r * r)::DOUBLE / (1048576 * 6) AS scale FROM residual)"""
+
+
+_SIZES = ((4, 4), (8, 8), (16, 16), (16, 8), (4, 8))
+
+
+@query("error_scale", " UNION ALL ".join(_scale_sql(w, h) for w, h in _SIZES))
+def error_scale(spark, sf_dir):
+    out = None
+    for w, h in _SIZES:
+        one = transforms.error_scale(spark, w, h).select(F.lit(w).cast("bigint").alias("w"), F.lit(h).cast("bigint").alias("h"), "scale")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("quant_scalar", f"WITH {forward_sql(8, 4)}, l AS (SELECT brow, bcol, u, v, {quant_sql('c', 8, 4, QP)} AS level FROM coef) SELECT brow, bcol, u, v, level, {dequant_sql('level', 8, 4, QP)} AS c FROM l")
 def quant_scalar(spark, sf_dir):
     levels = transforms.forward(rows_of(spark, sf_dir, 4), 8, 4).withColumn("level", transforms.quantize(F.col("c"), 8, 4, QP))
