@@ -13,7 +13,8 @@ estimated too low with probability 3e-7. No bucket is capped and no candidate dr
 - each bucket first compares its members with one of them, drawn anew for each bucket, which joins the
   members of a true group in a number of pairs linear in its size;
 - pairs of a bucket of at most SMALL members that are not yet joined follow by a join on the bucket;
-- larger buckets are dealt into pairs of blocks of at most BLOCK members each, with their full sets. A task
+- larger buckets whose members are not all joined are dealt into pairs of blocks of at most BLOCK members each,
+  with their full sets; one true group costs no blocks, however large. A task
   compares the two blocks by bit counts and confirms what passes on the spot, unless both are joined
   already; only links become rows. A pair is compared in the first of its buckets only.
 """
@@ -234,7 +235,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = left.join(right, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & near)
     rest = confirmed(rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), sets, percent)
 
-    many = members.where(F.col("m") > SMALL).select("cls", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
+    large = members.where(F.col("m") > SMALL)
+    labels = large.select("cls", "key").join(marked.select("cls", "label"), "cls").groupBy("key").agg(F.min(F.xxhash64("label")).alias("low"), F.max(F.xxhash64("label")).alias("high"))
+    apart = cut(labels.where("low < high").select("key"), "apart")
+    many = large.join(apart, "key").select("cls", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
     many = many.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     dealt = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls").join(marked, "cls").join(sets, "cls")
     links = cut(linked.union(rest).union(block_links(dealt, percent, most)), "links")
