@@ -71,3 +71,18 @@ def tools_in_effect(c: dict[str, Column]) -> dict[str, Column]:
         "dual_on": dual,
         "deblock_on": c["deblock"] & (c["depth"] == 8) & ~c["aq"] & ~dual & lossy & ~c["mtt"],
     }
+
+
+def picture_checks(c: dict[str, Column], depth: Column, quality: Column) -> dict[str, Column]:
+    """Whether a picture's quality, buffer length, sample range and stride hold, from its w, h, channels, length, largest, stride.
+
+    Nulls in any of them give false.
+    """
+    w, h, needed = c["w"].cast("bigint"), c["h"].cast("bigint"), (c["h"].cast("bigint") - 1) * c["stride"] + c["w"]
+    found = {
+        "quality_ok": quality.between(1, 100),
+        "length_ok": c["length"] == w * h * c["channels"],
+        "range_ok": c["largest"].between(0, F.pow(F.lit(2), depth) - 1),
+        "stride_ok": (w == 0) | (h == 0) | ((c["stride"] >= w) & (c["length"] >= needed)),
+    }
+    return {n: F.coalesce(x, F.lit(False)) for n, x in found.items()}

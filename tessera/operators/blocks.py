@@ -108,3 +108,41 @@ def best_modes(residuals: DataFrame, keys: list[str], size: int, keep: int) -> D
     cost = both.groupBy(*keys, "mode").agg(F.sum(F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + F.abs(v))).alias("satd"))
     order = Window.partitionBy(*keys).orderBy("satd", "mode")
     return cost.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= keep)
+
+
+def oblong_split(samples: DataFrame, w: int, h: int, qp: int, least: int = 8) -> DataFrame:
+    """(brow, bcol, split) of w x h blocks, sides up to 64: none below a variance of 64 + qp**2, else the first that fits.
+
+    Long blocks are split across their length; others across the direction of more change, from a ratio of 5 to 4 on,
+    and evenly changing ones into quarters first. A split fits if no part's side falls below ``least``.
+    """
+    s = samples.withColumns({"brow": F.expr(f"y div {h}"), "bcol": F.expr(f"x div {w}")})
+    right = F.lead("v").over(Window.partitionBy("brow", "bcol", "y").orderBy("x"))
+    below = F.lead("v").over(Window.partitionBy("brow", "bcol", "x").orderBy("y"))
+    d = s.select("brow", "bcol", "v", F.abs(right - F.col("v")).alias("dx"), F.abs(below - F.col("v")).alias("dy"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = d.groupBy("brow", "bcol").agg(F.sum("v").alias("a"), F.sum(F.col("v") * F.col("v")).alias("b"), F.count("*").alias("n"), zero("dx").alias("gx"), zero("dy").alias("gy"))
+    fits = {"quad": min(w, h) // 2, "bin_v": w // 2, "bin_h": h // 2, "tri_v": w // 4, "tri_h": h // 4}
+    first = lambda *order: F.lit(next((k for k in order if fits[k] >= least), "none"))
+    across, down = first("bin_v", "tri_v", "quad", "bin_h", "tri_h"), first("bin_h", "tri_h", "quad", "bin_v", "tri_v")
+    if max(w, h) >= 2 * min(w, h):
+        busy = across if w > h else down
+    else:
+        busy = F.when(F.col("gx") * 4 > F.col("gy") * 5, across).when(F.col("gy") * 4 > F.col("gx") * 5, down).otherwise(first("quad", "bin_v", "bin_h", "tri_v", "tri_h"))
+    mean = F.expr("a div n")
+    return sums.select("brow", "bcol", F.when(F.expr("b div n") - mean * mean < 64 + qp * qp, "none").otherwise(busy).alias("split"))
+
+
+def cells(leaves: DataFrame, side: int = 4) -> DataFrame:
+    """(cx, cy, x, y, size): each ``side`` x ``side`` cell of a leaf (x, y, size) with the leaf that covers it."""
+    span = lambda c: F.explode(F.sequence(F.expr(f"{c} div {side}"), F.expr(f"({c} + size) div {side} - 1")))
+    return leaves.withColumn("cx", span("x")).withColumn("cy", span("y")).select("cx", "cy", "x", "y", "size")
+
+
+def cell_neighbours(leaves: DataFrame, side: int = 4) -> DataFrame:
+    """(x, y, size, left_size, above_size): of each leaf the sizes of those left of its lower and above its right corner; null outside."""
+    at = cells(leaves, side).select("cx", "cy", F.col("size").alias("found"))
+    near = lambda x, y, name: (at.select(F.col("cx").alias("_x"), F.col("cy").alias("_y"), F.col("found").alias(name)), [F.floor(F.expr(x) / side).cast("bigint") == F.col("_x"), F.floor(F.expr(y) / side).cast("bigint") == F.col("_y")])
+    left, on_left = near("x - 1", "y + size - 1", "left_size")
+    above, on_above = near("x + size - 1", "y - 1", "above_size")
+    return leaves.join(left, on_left, "left").drop("_x", "_y").join(above, on_above, "left").drop("_x", "_y")

@@ -95,3 +95,8 @@ def angular(top: Column, left: Column, x: Column, y: Column, mode: Column, size:
 
     one, two = at(whole + along + 1), at(whole + along + 2)
     return one + F.shiftright(part * (two - one) + 16, 5)
+
+
+def from_luma(luma: Column, a: Column, b: Column, shift: Column, most: int = 255) -> Column:
+    """Chroma predicted from luma by a fitted line, clipped to 0 .. ``most``."""
+    return F.least(F.lit(most), F.greatest(F.lit(0), F.floor(a * luma / F.pow(F.lit(2.0), shift)).cast("bigint") + b))

@@ -242,6 +242,20 @@ def tool_gating(spark, sf_dir):
     return spark.range(768).select("id", *[c.alias(n) for n, c in s.tools_in_effect(asked).items()])
 
 
+@query(
+    "picture_checks",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey % 40 AS w, l_suppkey % 30 AS h, (l_linenumber % 4)::BIGINT AS channels, (l_quantity * 20)::BIGINT AS length, (l_extendedprice / 64)::BIGINT AS largest, l_partkey % 37 + 4 AS stride, (l_discount * 1500)::BIGINT AS q, 8 + 2 * (l_linenumber % 3) AS depth FROM lineitem)
+    SELECT l_orderkey, l_linenumber, q BETWEEN 1 AND 100 AS quality_ok, length = w * h * channels AS length_ok, largest BETWEEN 0 AND (1 << depth) - 1 AS range_ok,
+      w = 0 OR h = 0 OR (stride >= w AND length >= (h - 1) * stride + w) AS stride_ok FROM p""",
+)
+def picture_checks(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    near = lambda c: F.rint(c).cast("bigint")
+    c = {"w": F.col("l_partkey") % 40, "h": F.col("l_suppkey") % 30, "channels": F.col("l_linenumber") % 4, "length": near(F.col("l_quantity") * 20), "largest": near(F.col("l_extendedprice") / 64), "stride": F.col("l_partkey") % 37 + 4}
+    found = s.picture_checks(c, 8 + 2 * (F.col("l_linenumber") % 3), near(F.col("l_discount") * 1500))
+    return t.select("l_orderkey", "l_linenumber", *[x.alias(n) for n, x in found.items()])
+
+
 def var_sql(size: int) -> str:
     return f"b AS (SELECT y // {size} AS brow, x // {size} AS bcol, sum(v)::BIGINT AS a, sum(v * v)::BIGINT AS q, count(*)::BIGINT AS n FROM raw GROUP BY ALL), var AS (SELECT brow, bcol, q // n - (a // n) * (a // n) AS var FROM b)"
 
@@ -301,6 +315,41 @@ def split_quadtree(spark, sf_dir):
     return blocks.quadtree(planes.samples(planes.embedding_rows(spark, sf_dir)), QP)
 
 
+def _oblong(name: str, w: int, h: int) -> None:
+    """SQL with the order of splits written out for the block's shape."""
+    fits = {"quad": min(w, h) // 2, "bin_v": w // 2, "bin_h": h // 2, "tri_v": w // 4, "tri_h": h // 4}
+    first = lambda order: next((f"'{k}'" for k in order.split() if fits[k] >= 8), "'none'")
+    across, down, even = first("bin_v tri_v quad bin_h tri_h"), first("bin_h tri_h quad bin_v tri_v"), first("quad bin_v bin_h tri_v tri_h")
+    busy = across if w >= 2 * h else down if h >= 2 * w else f"CASE WHEN gx * 4 > gy * 5 THEN {across} WHEN gy * 4 > gx * 5 THEN {down} ELSE {even} END"
+    QUERIES[name] = lambda spark, sf_dir: blocks.oblong_split(planes.samples(planes.embedding_rows(spark, sf_dir)), w, h, QP)
+    ORACLE_SQL[name] = f"""WITH {planes.RAW_SQL}, k AS (SELECT y // {h} AS brow, x // {w} AS bcol, y, x, v FROM raw),
+    d AS (SELECT a.brow, a.bcol, a.v, abs(r.v - a.v) AS dx, abs(u.v - a.v) AS dy FROM k a LEFT JOIN k r ON r.y = a.y AND r.x = a.x + 1 AND r.bcol = a.bcol LEFT JOIN k u ON u.x = a.x AND u.y = a.y + 1 AND u.brow = a.brow),
+    t AS (SELECT brow, bcol, sum(v)::BIGINT AS a, sum(v * v)::BIGINT AS q, count(*) AS n, coalesce(sum(dx), 0) AS gx, coalesce(sum(dy), 0) AS gy FROM d GROUP BY brow, bcol)
+    SELECT brow, bcol, CASE WHEN q // n - (a // n) * (a // n) < {64 + QP * QP} THEN 'none' ELSE {busy} END AS split FROM t"""
+
+
+_oblong("split_oblong_32x32", 32, 32)
+_oblong("split_oblong_64x16", 64, 16)
+_oblong("split_oblong_16x32", 16, 32)
+
+
+def _leaf_sql(select: str) -> str:
+    return f"""WITH l AS MATERIALIZED ({ORACLE_SQL['split_quadtree']}), c AS (SELECT p AS cx, r AS cy, x, y, size FROM l, unnest(range(x // 4, (x + size) // 4)) a(p), unnest(range(y // 4, (y + size) // 4)) b(r)) {select}"""
+
+
+@query("leaf_cells", _leaf_sql("SELECT cx, cy, x, y, size FROM c"))
+def leaf_cells(spark, sf_dir):
+    return blocks.cells(split_quadtree(spark, sf_dir))
+
+
+@query(
+    "leaf_neighbours",
+    _leaf_sql("SELECT l.x, l.y, l.size, a.size AS left_size, b.size AS above_size FROM l LEFT JOIN c a ON a.cx = (l.x - 4) // 4 AND a.cy = (l.y + l.size - 1) // 4 LEFT JOIN c b ON b.cy = (l.y - 4) // 4 AND b.cx = (l.x + l.size - 1) // 4"),
+)
+def leaf_neighbours(spark, sf_dir):
+    return blocks.cell_neighbours(split_quadtree(spark, sf_dir))
+
+
 def scan_sql(w: int, h: int) -> str:
     """Groups along the diagonals, positions along the diagonals of a group; in a diagonal from its lower left end."""
     return f"""SELECT row_number() OVER (ORDER BY x // 4 + y // 4, x // 4, x % 4 + y % 4, x % 4) - 1 AS pos, x, y FROM range(0, {w}) a(x), range(0, {h}) b(y)"""
@@ -483,6 +532,18 @@ def cclm_fit(spark, sf_dir):
     return r.select("y", *[c.alias(n) for n, c in points.items()]).select("y", prediction.line_terms(*[F.col(n) for n in points]).alias("t")).select("y", "t.*")
 
 
+@query(
+    "cclm_apply",
+    f"SELECT f.y, r.x, least(255, greatest(0, ((f.a * r.v) >> f.shift) + f.b))::BIGINT AS pred FROM ({ORACLE_SQL['cclm_fit']}) f JOIN (WITH {planes.RAW_SQL} SELECT * FROM raw) r ON r.y = f.y AND r.x < 32",
+)
+def cclm_apply(spark, sf_dir):
+    r = planes.embedding_rows(spark, sf_dir)
+    points = prediction.line_fit(F.slice("row", 1, 4), F.slice("row", 33, 4))
+    fit = r.select("y", "row", *[c.alias(n) for n, c in points.items()]).select("y", "row", prediction.line_terms(*[F.col(n) for n in points]).alias("t"))
+    luma = fit.select("y", "t", F.posexplode(F.slice("row", 1, 32)).alias("x", "v"))
+    return luma.select("y", F.col("x").cast("bigint").alias("x"), prediction.from_luma(F.col("v"), F.col("t.a"), F.col("t.b"), F.col("t.shift")).alias("pred"))
+
+
 @query("ue_codes", "SELECT v, repeat('0', length(bin(v + 1)) - 1) || bin(v + 1) AS code FROM range(0, 2000) r(v)")
 def ue_codes(spark, sf_dir):
     return spark.range(2000).select(F.col("id").alias("v"), codes.unsigned_exp_golomb(F.col("id")).alias("code"))
