@@ -8,7 +8,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
@@ -19,33 +19,79 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def chosen(size: np.ndarray, y: np.ndarray, max_bytes: int) -> np.ndarray:
+    """Which of the texts, given in order, are taken: of each class as many as its share of ``max_bytes`` holds.
+
+    A share is half, and what the other class leaves of its half. Texts over a sixteenth of a share come last,
+    and each is taken only if it fits, so that none keeps others out.
+    """
+    taken, total = np.zeros(len(size), bool), np.array([size[y == c].sum() for c in (0, 1)])
+
+    def fill(c: int, room: int) -> int:
+        mine = np.flatnonzero(y == c)
+        small = mine[size[mine] <= room // 16]
+        small = small[np.cumsum(size[small]) <= room]
+        taken[mine] = False
+        taken[small] = True
+        left = room - int(size[small].sum())
+        for i in mine[size[mine] > room // 16]:
+            if size[i] <= left:
+                taken[i] = True
+                left -= int(size[i])
+        return room - left
+
+    first = int(total[1] > total[0])  # the class with more bytes gets what the other leaves
+    fill(first, max_bytes - fill(1 - first, max_bytes // 2))
+    return taken
+
+
+def _fitting(found: DataFrame, rows_per_class: int, max_bytes: int) -> DataFrame:
+    """(_at, text, y): those of ``found`` (_at, _text, _y, _bytes) that ``chosen`` takes of the first ``rows_per_class`` distinct ones a class.
+
+    Their repeats are kept if all fit into both bounds, else each counts once.
+    """
+    each = found.groupBy("_at", "_bytes", "_y").agg(F.count("*").alias("_n"))
+    few = [each.where(each["_y"] == y).orderBy("_at").limit(rows_per_class) for y in (0, 1)]
+
+    def run(batches):
+        tables = list(batches)
+        if not tables:
+            return
+        rows = pa.Table.from_batches(tables).sort_by("_at")
+        size, n = rows["_bytes"].to_numpy().astype(np.int64), rows["_n"].to_numpy()
+        taken = chosen(size, rows["_y"].to_numpy(), max_bytes)
+        fits = n[taken].sum() <= 2 * rows_per_class and (n * size)[taken].sum() <= max_bytes
+        yield pa.RecordBatch.from_pydict({"_at": pa.array(rows["_at"].to_numpy()[taken], pa.int64()), "_fits": pa.array(np.full(taken.sum(), fits))})
+
+    room = cut(few[0].union(few[1]).repartition(1).mapInArrow(run, "_at bigint, _fits boolean"), "room")
+    rows, head = found.join(F.broadcast(room), "_at", "left_semi"), room.first()
+    if head and not head["_fits"]:
+        rows = rows.dropDuplicates(["_at"])
+    return cut(rows.select("_at", F.col("_text").alias("text"), F.col("_y").alias("y")), "fit")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_bytes: int, folds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, y): whole texts and 0/1 labels of at most ``rows_per_class`` ids a class and ``max_bytes`` in all, fold 0 left out.
 
-    The ids with the smallest hashes are taken, so the sample does not hang on the tables' layout. Null labels
-    and null ids are left out; of differing labels of one id the largest counts.
+    The ids with the smallest hashes are taken, so the sample does not hang on the tables' layout; the bounds
+    count rows that repeat an id and its text once. Null labels and null ids are left out; of differing labels of one id
+    the largest counts.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(fold(id_col, folds) != 0).groupBy(id_col).agg(F.max(label).cast("int").alias("_y"))
     order = F.xxhash64(F.lit(label), id_col)
     picked = [known.where(known["_y"] == y).orderBy(order, id_col).limit(rows_per_class) for y in (0, 1)]
-    chosen = F.broadcast(cut(picked[0].union(picked[1]), "picked").withColumnRenamed(id_col, "_id"))
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(chosen, "_id")
+    ids = F.broadcast(cut(picked[0].union(picked[1]), "picked").withColumnRenamed(id_col, "_id"))
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(ids, "_id")
     found = cut(found.select("_text", "_y", F.octet_length("_text").alias("_bytes"), F.xxhash64(F.lit(label), "_id", "_text").alias("_at")), "sample")
-    # Rows repeat where ids do; the limit bounds what the window below takes into one task.
-    few = found.select("_at", "_bytes", "_y").orderBy("_at").limit(2 * rows_per_class)
-    room = few.withColumn("_run", F.sum("_bytes").over(Window.orderBy("_at", "_y").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_run") <= max_bytes)
-    return cut(found.join(F.broadcast(room.select("_at").distinct()), "_at", "left_semi").select("_at", F.col("_text").alias("text"), F.col("_y").alias("y")).orderBy("_at").limit(2 * rows_per_class), "fit")
+    return _fitting(found, rows_per_class, max_bytes)
 
 
 def text_sample(docs: DataFrame, rows: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, y = 0): at most ``rows`` whole texts of at most ``max_bytes`` in all, those of the smallest id hashes."""
-    at = F.xxhash64(F.lit("sample"), id_col)
-    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), at.alias("_h")).orderBy("_h", "_id").limit(rows)
-    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(F.broadcast(cut(ids, "picked")), "_id")
-    found = cut(found.select(F.xxhash64("_id", "text").alias("_at"), "text", F.octet_length("text").alias("_bytes")), "sample")
-    few = found.select("_at", "_bytes").orderBy("_at").limit(rows)
-    room = few.withColumn("_run", F.sum("_bytes").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_run") <= max_bytes)
-    return cut(found.join(F.broadcast(room.select("_at").distinct()), "_at", "left_semi").select("_at", "text", F.lit(0).alias("y")).orderBy("_at").limit(rows), "fit")
+    """(text, y = 0): at most ``rows`` distinct whole texts of at most ``max_bytes`` in all, those of the smallest id hashes."""
+    ids = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64(F.lit("sample"), "_id"), "_id").limit(rows)
+    found = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(cut(ids, "picked")), "_id")
+    found = cut(found.select(F.xxhash64("_id", "_text").alias("_at"), "_text", F.octet_length("_text").alias("_bytes"), F.lit(0).alias("_y")), "sample")
+    return _fitting(found, rows, max_bytes)
 
 
 def fit_in_task(sample: DataFrame, fit: Callable) -> Any:
