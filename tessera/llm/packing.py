@@ -33,6 +33,14 @@ def encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("pieces", pat_str=bpe.SPLIT.replace("{L}", r"\p{L}").replace("{N}", r"\p{N}").replace("{l}", r"\p{L}").replace("{n}", r"\p{N}").replace("{S}", bpe.SPACE), mergeable_ranks=own.ranks, special_tokens=own.special)
 
 
+def ids_of(text: str, path: str) -> np.ndarray:
+    """Ids of a whole text; the compiled encoder gives up on white space of millions of bytes, the own one of this package does not."""
+    try:
+        return encoding(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return bpe.load(path).encode(text)
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: whole, or cut so that only the first is shorter than the capacity."""
     n = len(ids)
@@ -46,11 +54,10 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = E
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encode = encoding(path).encode_to_numpy
         for batch in batches:
             rows: list[tuple] = []
             for k in range(batch.num_rows):
-                found = np.append(encode(batch.column(1)[k].as_py() or "", allowed_special="all"), end).astype("<u4")
+                found = np.append(ids_of(batch.column(1)[k].as_py() or "", path), end).astype("<u4")
                 for p, (start, n) in enumerate(pieces_of(found, capacity)):
                     raw = found[start : start + n].tobytes()
                     rows.append((k, p, start, n, zlib.crc32(raw), raw if ids else None))
@@ -149,7 +156,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of all documents."""
+    """(id, piece, start, length, ids_crc32, sequence_id, offset) of all pieces of all documents.
+
+    A null or empty text is one piece, its end id; a long one is cut, however long; repeated rows are packed
+    each; equal lengths take places by number; an empty table gives no rows; other columns, whatever their
+    names, are dropped.
+    """
     return pack(cut(tokenized(docs, path, capacity, id_col=id_col, text_col=text_col), "pieces"), capacity).withColumnRenamed("id", id_col)
 
 

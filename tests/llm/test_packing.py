@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import packing
+from tessera.llm import bpe, packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = [*"aZé ß\t\n\x1c\x85²½٣Ⅷ漢🙂́​﻿\u0000’ªº¹.,_-0123'", "<|endoftext|>", "'ll", " the", " \n\n ", " nation", "   "]
@@ -69,3 +69,23 @@ def test_documents_are_packed_without_gaps(spark):
     ids = np.array(theirs.encode("x" * 9000, add_special_tokens=False).ids + [0], "<u4")
     assert one.ids_crc32 == zlib.crc32(ids[one.start : one.start + one.length].tobytes())
     assert packing.pack_documents(docs.limit(0), PATH, 64).collect() == []
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000 + "x", "a" + "\n" * 100_000, "é" * 50_000])
+def test_very_long_texts(spark, text):
+    theirs = Tokenizer.from_file(PATH)
+    found = packing.ids_of(text, PATH).tolist()
+    assert theirs.decode(found, skip_special_tokens=False) == text
+    assert found == bpe.load(PATH).encode(text).tolist()
+    got = packing.pack_documents(spark.createDataFrame([(1, text)], "doc_id long, text string"), PATH).collect()
+    assert sum(r.length for r in got) == len(found) + 1
+
+
+def test_slow_fall_back_gives_the_same_ids(monkeypatch):
+    def fails(*_, **__):
+        raise ValueError("too deep")
+
+    text = "Some words,  <|endoftext|>\n and 12 more   é"
+    want = packing.ids_of(text, PATH).tolist()
+    monkeypatch.setattr(packing, "encoding", lambda _: type("E", (), {"encode_to_numpy": fails})())
+    assert packing.ids_of(text, PATH).tolist() == want
