@@ -52,7 +52,7 @@ def minima(shingles: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     """A 64-bit key for each band of the minima (documents x PERMUTATIONS), the band's number mixed in."""
-    grouped = least.reshape(len(least), -1, ROWS).astype(np.uint64)
+    grouped = least.reshape(len(least), PERMUTATIONS // ROWS, ROWS).astype(np.uint64)
     key = np.broadcast_to(np.arange(grouped.shape[1], dtype=np.uint64) + np.uint64(1), grouped.shape[:2])
     for r in range(ROWS):
         key = mix(key + grouped[:, :, r])
@@ -62,7 +62,7 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 def packed(least: np.ndarray) -> np.ndarray:
     """The lowest BITS bits of each minimum, 64 // BITS to a long."""
     per = 64 // BITS
-    low = ((least ^ (least >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(least), -1, per)
+    low = ((least ^ (least >> np.uint32(16))) & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(least), PERMUTATIONS // per, per)
     return np.bitwise_or.reduce(low << (np.arange(per, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
@@ -253,16 +253,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest id; all columns kept.
+    """One document of each group of near-duplicates, that of the smallest id; all columns kept, whatever their names.
 
-    Repeated rows count as copies. Rows of null ids stay once a text if their group has no id.
+    Repeated rows count as copies. Rows of null ids stay once a text if their group has no id. Texts without
+    words, null ones too, are linked with nothing, so each id keeps them. No documents give no rows.
     """
     found = near_duplicates(docs).where("kept")
     apart = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
     chosen = found.groupBy("doc_id", "component_id", apart.alias("_apart")).agg(F.min("text_hash").alias("_hash")).select(F.col("doc_id").alias("_id"), "_hash").distinct()
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    kept = marked.join(chosen, marked["doc_id"].eqNullSafe(F.col("_id")) & (marked["_text_hash"] == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    marked = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text_hash"))
+    kept = marked.join(chosen, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    return kept.dropDuplicates(["_doc", "_text_hash"]).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

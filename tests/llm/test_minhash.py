@@ -90,3 +90,16 @@ def test_components_of_chains_stars_and_rings(spark):
     assert len(got) == 301 + 100 + 50
     assert len({got[k] for k in range(301)}) == len({got[k] for k in range(1000, 1100)}) == len({got[k] for k in range(2000, 2050)}) == 1
     assert len(set(got.values())) == 3
+
+
+def test_one_of_each_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 5, "h", 1), (2, "a b c d e f", 6, "h", 2), (3, None, 7, "h", 3), (3, None, 7, "h", 3), (None, "x y", 8, "h", 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _text_hash string, _row int")
+    got = minhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+
+
+def test_batches_of_empty_texts(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (2, " ")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True)]
