@@ -11,14 +11,19 @@ def part_of(cols: list[str], parts: int) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % parts
 
 
+#: Rows of a part, about, when all rows have one key.
+PART_ROWS = 1_000_000
+
+
 def numbered(rows: DataFrame, key: str, name: str, parts: int = 64) -> DataFrame:
     """``rows`` with a long column ``name``: 0, 1, 2 ... within each value of ``key`` (never null).
 
-    The rows of a key are dealt over ``parts`` windows by the MD5 of all columns, so no task holds a key;
+    ``rows`` should be a written table, as it is read three times. The rows of a key are dealt over windows by
+    the MD5 of all columns, ``parts`` of them or as many as hold PART_ROWS each, so no task holds a key;
     equal rows are first counted on the map side, so copies do not gather either. A second, small window
-    over at most ``parts`` counts a key gives each part its first number. Order: by part, then by columns.
+    over one count a part and key gives each part its first number. Order: by part, then by columns.
     """
-    cols = rows.columns
+    cols, parts = rows.columns, max(parts, -(-rows.count() // PART_ROWS))
     counted = rows.groupBy(*cols).agg(F.count("*").alias("_n")).withColumn("_part", part_of(cols, parts))
     sizes = counted.groupBy(key, "_part").agg(F.sum("_n").alias("_size"))
     first = sizes.select(key, "_part", (F.sum("_size").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size")).alias("_first"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranks import numbered
+from .shared import cut, unused
 
 P = 2_147_483_647
 
@@ -30,8 +31,8 @@ def key_numbers(key: Column) -> tuple[Column, Column]:
     return tuple(F.conv(F.substring(digest, i, 15), 16, 10).cast("bigint") % P for i in (1, 16))
 
 
-def _draw(term: Column) -> Column:
-    u = (F.col("_x1") * term["a"] + F.col("_x2") * term["b"] + term["c"]) % P
+def _draw(x1: str, x2: str, term: Column) -> Column:
+    u = (F.col(x1) * term["a"] + F.col(x2) * term["b"] + term["c"]) % P
     return -F.log((u + 1).cast("double") / (P + 1)) / term["weight"]
 
 
@@ -44,28 +45,32 @@ def _terms(shards: dict[int, float]) -> Column:
 def rendezvous(rows: DataFrame, key: str, weights: list[float], name: str = "shard", grown: float | None = None) -> DataFrame:
     """``rows`` with the shard of each key; with ``grown``, also ``grown_<name>``, under one more shard of that weight.
 
-    Null keys share a shard. No shuffle and no state: the shard of a row needs only its key.
+    Null keys share a shard, and so do rows that repeat a key; a tie of draws goes to the smaller shard. All
+    other columns stay, whatever their names, but a column named like a result is replaced. No shuffle and
+    no state: the shard of a row needs only its key.
     """
     if not weights or min(weights) <= 0:
         raise ValueError("each shard needs a weight over 0")
     x1, x2 = key_numbers(F.col(key))
-    best = lambda shards: F.array_min(F.transform(_terms(shards), lambda t: F.struct(_draw(t).alias("d"), t["s"].alias("s"))))
-    out = rows.withColumns({"_x1": x1, "_x2": x2}).withColumn("_best", best(dict(enumerate(weights)))).withColumn(name, F.col("_best.s"))
+    one, two, won = unused(rows, "_x1", "_x2", "_best")
+    best = lambda shards: F.array_min(F.transform(_terms(shards), lambda t: F.struct(_draw(one, two, t).alias("d"), t["s"].alias("s"))))
+    out = rows.withColumns({one: x1, two: x2}).withColumn(won, best(dict(enumerate(weights)))).withColumn(name, F.col(won)["s"])
     if grown is not None:
         n = len(weights)
-        out = out.withColumn(f"grown_{name}", F.when(best({n: grown})["d"] < F.col("_best.d"), F.lit(n)).otherwise(F.col("_best.s")))
-    return out.drop("_x1", "_x2", "_best")
+        out = out.withColumn(f"grown_{name}", F.when(best({n: grown})["d"] < F.col(won)["d"], F.lit(n)).otherwise(F.col(won)["s"]))
+    return out.drop(one, two, won)
 
 
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of every document under the law ``key``.
 
     Size: UTF-8 bytes of the text (null: none) plus 16. Slots are gapless from 0 in each shard; repeated
-    rows get a slot each. Only the narrow rows are shuffled, never the texts.
+    rows get a slot each; a null text counts as empty; other columns are dropped. The narrow rows are
+    written once, so texts are read once; only narrow rows are shuffled.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.col(id_col), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = numbered(rendezvous(narrow, id_col, [1.0] * shards, "shard", grown=1.0), "shard", "slot")
+    out = numbered(cut(rendezvous(narrow, id_col, [1.0] * shards, "shard", grown=1.0), "shards"), "shard", "slot")
     return out.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 

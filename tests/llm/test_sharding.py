@@ -1,10 +1,11 @@
 """Rendezvous shards: balance, weights, few moves, gapless slots, odd rows; SQL of the same draw."""
 
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from tessera.llm import sharding
+from tessera.llm import ranks, sharding
 
 
 def test_balance_weights_and_growth(spark):
@@ -29,3 +30,22 @@ def test_documents_of_any_shape(spark):
     assert {(r.size, r.text_crc32) for r in got if r.doc_id is None} == {(16, 0)}
     assert {r.size for r in got if r.doc_id == 5} == {18, 21}
     assert sharding.shard_documents(docs.limit(0), 7).collect() == []
+
+
+def test_clashing_names_long_texts_and_ties(spark):
+    rows = [(k % 3, f"a{k}", k) for k in range(9)]
+    table = spark.createDataFrame(rows, "_x1 long, _X2 string, _best long")
+    got = sharding.rendezvous(table, "_x1", [1.0, 2.0], "shard", grown=1.0).collect()
+    assert sorted((r["_x1"], r["_X2"], r["_best"]) for r in got) == sorted(rows)
+    assert all(len({r.shard for r in got if r["_x1"] == k}) == 1 for k in range(3))
+    long = "ab" * 3_000_000
+    (one,) = sharding.shard_documents(spark.createDataFrame([(1, long)], "doc_id long, text string"), 3).collect()
+    assert (one.size, one.text_crc32, one.slot) == (len(long) + 16, zlib.crc32(long.encode()), 0)
+
+
+def test_slots_with_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "PART_ROWS", 2)
+    docs = spark.createDataFrame([(k, "t") for k in range(400)], "doc_id long, text string")
+    for s in range(3):
+        slots = sorted(r.slot for r in sharding.shard_documents(docs, 3).collect() if r.shard == s)
+        assert slots == list(range(len(slots)))
