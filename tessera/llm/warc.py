@@ -232,7 +232,13 @@ def read_spans(spans: DataFrame, payloads: bool = False) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, payloads: bool = False, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """All pages written to archives in the shared folder, listed in a table there, and read back by ranges."""
+    """All pages written to archives in the shared folder, listed in a table there, and read back by ranges.
+
+    A null html is an empty payload; a null url leaves its header out. Rows of one page_id that repeat the
+    first payload are responses all; pages of no id with the payload of another revisit it. Long payloads
+    take an archive of their own, as one is closed at ``archive_bytes``. No pages give no rows. Other columns
+    are dropped.
+    """
     spark = pages.sparkSession
     folder = new_path(spark, "warc")
     listed = cut(write_archives(plan_records(pages), folder if "://" in folder else f"file://{folder}", archive_bytes), "warc-list")
@@ -249,7 +255,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
      d AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, sha256(t) AS payload_digest FROM p),
      f AS (SELECT payload_digest, min(page_id) AS first_id FROM d WHERE payload_bytes >= {REVISIT_FROM} GROUP BY payload_digest)
 SELECT page_id, payload_bytes, d.payload_digest,
-       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+       CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest
 """
