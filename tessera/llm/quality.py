@@ -142,7 +142,10 @@ def word_vectors(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
-    """A model of the texts; without both labels, the share of label 1 (0 without any)."""
+    """A model of the texts; without both labels, the share of label 1 (0 without any).
+
+    The temperature stays 1 where a class has but one document, as none can then be kept apart.
+    """
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(0, np.uint64), np.zeros((SHAPES, DIM), np.float32), np.zeros(1), np.ones(1), [], 1.0, float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
@@ -151,12 +154,11 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
     x = np.concatenate([model.pooled(data, offsets) for _, data, offsets in blocks(pa.array(texts, pa.string()))])
     model.center, model.spread = x.mean(0), x.std(0) + 1e-3
     x = ((x - model.center) / model.spread).astype(np.float32)
-    apart = rng.random(len(y)) < 0.15
-    if len(set(y[apart].tolist())) < 2 or len(set(y[~apart].tolist())) < 2:
-        apart = np.ones(len(y), bool)
-        inside = np.arange(len(y))
-    else:
-        inside = np.flatnonzero(~apart)
+    apart = np.zeros(len(y), bool)
+    for c in (0, 1):  # of each class, so that both are on both sides; a class of one document is learned only
+        mine = rng.permutation(np.flatnonzero(y == c))
+        apart[mine[: -(-15 * (len(mine) - 1) // 100)]] = True
+    inside = np.flatnonzero(~apart)
     n = x.shape[1]
     layers = [rng.normal(0, n**-0.5, (n, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, (HIDDEN, 1)), np.zeros(1)]
     adam, weight = Adam(layers, 0.003), 0.5 / np.maximum(np.bincount(y[inside], minlength=2), 1)
@@ -173,7 +175,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
     for temperature in np.geomspace(0.25, 16, 61):
         p = np.clip(sigmoid(z / temperature), 1e-9, 1 - 1e-9)
         losses.append((-(t * np.log(p) + (1 - t) * np.log(1 - p)).mean(), temperature))
-    model.temperature = min(losses)[1]
+    model.temperature = min(losses)[1] if len(set(t.tolist())) == 2 else 1.0
     return model
 
 
@@ -183,7 +185,11 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(id, kept columns, score): the probability of label 1 of every whole text; an empty text pools to zeros."""
+    """(id, kept columns, score): the probability of label 1 of every whole text; an empty text pools to zeros.
+
+    A null text is empty; repeated rows give a row each with equal scores; no documents give no rows; columns
+    that are not in ``keep`` are dropped.
+    """
     kind = docs.select(F.col(id_col).alias("_id"), *keep).schema
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -201,7 +207,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents whose probability of good quality is ``least`` or more, all columns kept."""
+    """The documents whose probability of good quality is ``least`` or more, all columns kept, whatever their names.
+
+    Repeated rows stay or go together; a null text counts as empty and is judged like one; texts are judged
+    whole, in stretches of bounded memory. Without both labels, or without documents, see ``fit``.
+    """
     return keep_where(docs, "text", lambda m, t: scores(m, t) >= least, fit_on(docs, labels))
 
 

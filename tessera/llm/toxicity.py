@@ -156,7 +156,11 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(id, kept columns, score): the probability of label 1 of every whole text; a text without words has the bias's."""
+    """(id, kept columns, score): the probability of label 1 of every whole text; a text without words has the bias's.
+
+    A null text is empty; repeated rows give a row each with equal scores; no documents give no rows; columns
+    that are not in ``keep`` are dropped.
+    """
     kind = docs.select(F.col(id_col).alias("_id"), *keep).schema
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -174,7 +178,11 @@ def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The documents whose probability of being toxic is under ``least``, all columns kept."""
+    """The documents whose probability of being toxic is under ``least``, all columns kept, whatever their names.
+
+    Repeated rows stay or go together; a text without words, null ones too, has the bias's probability; texts
+    are judged whole, in stretches of bounded memory. Without both labels, or without documents, see ``fit``.
+    """
     return keep_where(docs, "text", lambda m, t: scores(m, t) < least, fit_on(docs, labels))
 
 
