@@ -13,10 +13,11 @@ estimated too low with probability 3e-7. No bucket is capped and no candidate dr
 - each bucket first compares its members with one of them, drawn anew for each bucket, which joins the
   members of a true group in a number of pairs linear in its size;
 - pairs of a bucket of at most SMALL members that are not yet joined follow by a join on the bucket;
-- larger buckets whose members are not all joined are dealt into pairs of blocks of at most BLOCK members each,
-  with their full sets; one true group costs no blocks, however large. A task
-  compares the two blocks by bit counts and confirms what passes on the spot, unless both are joined
-  already; only links become rows. A pair is compared in the first of its buckets only.
+- larger buckets whose members are not all joined are dealt into pairs of blocks of about BLOCK members each; the
+  members of its largest joined group only meet the others, so one true group costs no blocks, however large. A
+  first pass has signatures alone and finds by bit counts who has a candidate in a pair of blocks; only those
+  come back with their full sets, to be confirmed on the spot, unless both are joined already. Only links become
+  rows. A pair is compared in the first of its buckets only.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from .shared import cut
 from .textkernels import blocks, document_words, mix, shingle_sets
 
 PERMUTATIONS, ROWS, BITS, SIGMAS = 128, 4, 4, 5
-SMALL, BLOCK = 64, 512
+SMALL, BLOCK = 64, 256
 #: So many class ids are broadcast at most, to pick their texts in the scan; more of them go by a shuffle join.
 BROADCAST_IDS = 1_000_000
 
@@ -152,47 +153,80 @@ def share_enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def dealt_blocks(members: DataFrame) -> DataFrame:
+    """(key, i, j, own, cls): the members (key, cls, label) of each bucket in every pair of blocks that may hold new links.
+
+    Blocks of the bucket's largest label come after those of the others and are not paired with one another.
+    """
+    labels = members.groupBy("key", "label").agg(F.count("*").alias("size"))
+    top = labels.groupBy("key").agg(F.max(F.struct("size", "label")).alias("top"), F.sum("size").alias("all"))
+    blocks_of = lambda n: F.ceil(n / BLOCK).cast("int")
+    some = top.select("key", F.col("top.label").alias("joined"), blocks_of(F.col("all") - F.col("top.size")).alias("u"), blocks_of(F.col("top.size")).alias("m")).where("u > 0")
+    at = members.join(some, "key").withColumn("_in", F.col("label") == F.col("joined"))
+    own = F.when(F.col("_in"), F.col("u") + F.pmod(F.xxhash64("cls"), F.col("m"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("u"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("_in"), F.col("u")).otherwise(F.col("u") + F.col("m")) - 1))
+    placed = at.select("key", "cls", own.alias("own"), other.alias("other"))
+    return placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls")
+
+
+def _passing(bucket: int, i: int, j: int, column: dict[str, pa.Array], percent: int, most: int):
+    """Stretches of row pairs (p, q) of two blocks, or within one, that may be links between different labels."""
+    ones, own, n = np.uint64(sum(1 << k for k in range(0, 64, BITS))), column["own"].to_numpy(), column["n"].to_numpy()
+    sig = column["sig"].flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+    bands = column["bands"].flatten().to_numpy().reshape(len(n), -1)
+    names: dict[bytes, int] = {}
+    label = np.array([names.setdefault(v, len(names)) for v in column["label"].to_pylist()])
+    band = int(np.flatnonzero(bands[0] == bucket)[0])
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    for at in range(0, len(left), 32):
+        part = left[at : at + 32]
+        x = sig[part][:, None, :] ^ sig[right][None]
+        s = 1
+        while s < BITS:
+            x |= x >> np.uint64(s)
+            s *= 2
+        ok = np.bitwise_count(x & ones).sum(2) <= most
+        ok &= (n[part][:, None] * 100 >= n[right][None] * percent) & (n[right][None] * 100 >= n[part][:, None] * percent)
+        ok &= label[part][:, None] != label[right][None]
+        if i == j:
+            ok &= part[:, None] < right[None]
+        p, q = np.nonzero(ok)
+        p, q = part[p], right[q]
+        first = ~(bands[p, :band] == bands[q, :band]).any(1)
+        yield p[first], q[first], label
+
+
+def block_candidates(dealt: DataFrame, percent: int, most: int) -> DataFrame:
+    """The rows (key, i, j, own, cls) of pairs of blocks that have a candidate there. ``dealt``: also n, label, sig, bands."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        column = {c: table[c].combine_chunks() for c in table.column_names}
+        hit = np.zeros(table.num_rows, bool)
+        for p, q, _ in _passing(*(k.as_py() for k in key), column, percent, most):
+            hit[p] = hit[q] = True
+        return table.select(["key", "i", "j", "own", "cls"]).filter(pa.array(hit))
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "key bigint, i int, j int, own int, cls binary")
+
+
 def block_links(dealt: DataFrame, percent: int, most: int) -> DataFrame:
     """Links (a, b) between two blocks of a bucket, or within one, that join what was not joined before.
 
     ``dealt``: key, i, j, own and a member's cls, n, label, sig, bands, shingles; one group is a pair of blocks.
     """
-    ones = np.uint64(sum(1 << k for k in range(0, 64, BITS)))
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        bucket, i, j = (k.as_py() for k in key)
         column = {c: table[c].combine_chunks() for c in table.column_names}
-        cls, n, own = column["cls"].to_pylist(), column["n"].to_numpy(), column["own"].to_numpy()
-        sig = column["sig"].flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
-        bands = column["bands"].flatten().to_numpy().reshape(len(n), -1)
-        sets = [np.frombuffer(s, np.uint64) for s in column["shingles"].to_pylist()]
-        names: dict[bytes, int] = {}
-        label = np.array([names.setdefault(v, len(names)) for v in column["label"].to_pylist()])
-        root = list(range(len(names)))
+        cls, sets = column["cls"].to_pylist(), [np.frombuffer(s, np.uint64) for s in column["shingles"].to_pylist()]
+        root, out = list(range(len(cls))), []
 
         def find(x: int) -> int:
             while root[x] != x:
                 root[x] = x = root[root[x]]
             return x
 
-        band = int(np.flatnonzero(bands[0] == bucket)[0])
-        left, right, out = np.flatnonzero(own == i), np.flatnonzero(own == j), []
-        for at in range(0, len(left), 32):
-            part = left[at : at + 32]
-            x = sig[part][:, None, :] ^ sig[right][None]
-            s = 1
-            while s < BITS:
-                x |= x >> np.uint64(s)
-                s *= 2
-            ok = np.bitwise_count(x & ones).sum(2) <= most
-            ok &= (n[part][:, None] * 100 >= n[right][None] * percent) & (n[right][None] * 100 >= n[part][:, None] * percent)
-            ok &= label[part][:, None] != label[right][None]
-            if i == j:
-                ok &= part[:, None] < right[None]
-            p, q = np.nonzero(ok)
-            p, q = part[p], right[q]
-            first = ~(bands[p, :band] == bands[q, :band]).any(1)
-            for a, b in zip(p[first].tolist(), q[first].tolist(), strict=True):
+        for p, q, label in _passing(*(k.as_py() for k in key), column, percent, most):
+            for a, b in zip(p.tolist(), q.tolist(), strict=True):
                 one, two = find(label[a]), find(label[b])
                 if one != two and share_enough(sets[a], sets[b], percent):
                     root[one] = two
@@ -235,13 +269,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = left.join(right, "key").where((F.col("cls_a") < F.col("cls_b")) & (F.col("label_a") != F.col("label_b")) & near)
     rest = confirmed(rest.select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct(), sets, percent)
 
-    large = members.where(F.col("m") > SMALL)
-    labels = large.select("cls", "key").join(marked.select("cls", "label"), "cls").groupBy("key").agg(F.min(F.xxhash64("label")).alias("low"), F.max(F.xxhash64("label")).alias("high"))
-    apart = cut(labels.where("low < high").select("key"), "apart")
-    many = large.join(apart, "key").select("cls", "key", F.ceil(F.col("m") / BLOCK).cast("int").alias("g"))
-    many = many.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = many.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "cls").join(marked, "cls").join(sets, "cls")
-    links = cut(linked.union(rest).union(block_links(dealt, percent, most)), "links")
+    large = members.where(F.col("m") > SMALL).select("cls", "key").join(marked.select("cls", "label"), "cls")
+    dealt = cut(dealt_blocks(large), "blocks")
+    some = cut(block_candidates(dealt.join(marked, "cls"), percent, most), "candidates")
+    links = cut(linked.union(rest).union(block_links(some.join(marked, "cls").join(sets, "cls"), percent, most)), "links")
 
     found = components(links)
     joined = classes.select("cls", "first_id").join(found, F.col("cls") == F.col("node"), "left").select("cls", "first_id", F.coalesce("label", "cls").alias("label"))

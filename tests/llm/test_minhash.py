@@ -103,3 +103,26 @@ def test_one_of_each_with_clashing_names(spark):
 def test_batches_of_empty_texts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (2, " ")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()) == [(1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True)]
+
+
+def test_large_bucket_of_unlike_sets_fetches_no_sets(spark):
+    rng, rows = np.random.default_rng(5), []
+    bands = rng.integers(0, 1 << 40, (3000, 32))
+    bands[:, 3] = 77
+    for k in range(3000):
+        cls = k.to_bytes(16, "big")
+        sig = rng.integers(-(1 << 63), (1 << 63) - 1, 8).tolist() if k % 1000 else [5] * 8
+        rows.append((77, cls, cls, 40, sig, bands[k].tolist()))
+    marked = spark.createDataFrame(rows, "key long, cls binary, label binary, n long, sig array<long>, bands array<long>")
+    dealt = minhash.dealt_blocks(marked.select("key", "cls", "label"))
+    groups = {(r.i, r.j): r["count"] for r in dealt.groupBy("i", "j").count().collect()}
+    assert max(groups.values()) < 3 * minhash.BLOCK
+    found = minhash.block_candidates(dealt.join(marked.drop("key"), "cls"), 75, minhash.most_unlike(0.75)).collect()
+    assert {bytes(r.cls) for r in found} == {k.to_bytes(16, "big") for k in (0, 1000, 2000)}
+
+
+def test_the_largest_joined_group_meets_only_the_others(spark):
+    rows = [(7, k.to_bytes(16, "big"), b"joined" if k < 2000 else k.to_bytes(16, "big")) for k in range(2010)]
+    dealt = minhash.dealt_blocks(spark.createDataFrame(rows, "key long, cls binary, label binary"))
+    assert dealt.count() == 2000 + 10 * (1 + -(-2000 // minhash.BLOCK))
+    assert minhash.dealt_blocks(spark.createDataFrame(rows[:2000], "key long, cls binary, label binary")).count() == 0
