@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import clip
+from ..sources.planes import WIDTH
 from .transforms import column_pass, literal
 
 
@@ -34,13 +35,18 @@ def adaptive_qp(samples: DataFrame, base: int, size: int = 32, reach: int = 6, l
     return energy.join(F.broadcast(mean)).select("brow", "bcol", clip(base + clip(step, -reach, reach), min(low, base), high).cast("bigint").alias("qp"))
 
 
-def gradients(samples: DataFrame, size: int) -> DataFrame:
-    """(brow, bcol, gx, gy): absolute differences of neighbours along and across, within each block."""
-    s = block_keys(samples, size)
-    right = F.lead("v").over(Window.partitionBy("brow", "bcol", "y").orderBy("x"))
-    below = F.lead("v").over(Window.partitionBy("brow", "bcol", "x").orderBy("y"))
-    d = s.select("brow", "bcol", F.abs(right - F.col("v")).alias("dx"), F.abs(below - F.col("v")).alias("dy"))
-    return d.groupBy("brow", "bcol").agg(F.coalesce(F.sum("dx"), F.lit(0)).alias("gx"), F.coalesce(F.sum("dy"), F.lit(0)).alias("gy"))
+def gradients(rows: DataFrame, size: int) -> DataFrame:
+    """(brow, bcol, gx, gy): absolute differences of neighbours along and across, within each block of (y, row).
+
+    Whole rows meet the row below once; what is exploded are two sums a row and block.
+    """
+    below = F.lead("row").over(Window.partitionBy("brow").orderBy("y"))
+    pairs = rows.withColumn("brow", F.floor(F.col("y") / size).cast("bigint")).withColumn("below", below)
+    at = pairs.select("brow", "row", "below", F.explode(F.sequence(F.lit(0), F.lit(WIDTH // size - 1))).alias("bcol"))
+    part = lambda c, n: F.slice(c, F.col("bcol") * size + 1, n)
+    total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0).cast("bigint"), lambda s, v: s + v)
+    dx, dy = total(part("row", size - 1), F.slice("row", F.col("bcol") * size + 2, size - 1)), F.coalesce(total(part("row", size), part("below", size)), F.lit(0))
+    return at.select("brow", F.col("bcol").cast("bigint").alias("bcol"), dx.alias("dx"), dy.alias("dy")).groupBy("brow", "bcol").agg(F.sum("dx").alias("gx"), F.sum("dy").alias("gy"))
 
 
 def hadamard(n: int) -> list[list[int]]:

@@ -88,13 +88,39 @@ def dequantize_skip(level: Column, qp: int) -> Column:
     return clip(shifted(v, right) if right > 0 else v * (1 << -right), -32768, 32767)
 
 
+def from_left(matrix: list[list[int]], x: Column) -> Column:
+    """The product of a matrix and an array of rows."""
+    line = lambda r: F.aggregate(F.zip_with(literal(r), x, lambda c, row: F.transform(row, lambda v: v * c)), F.array_repeat(F.lit(0).cast("bigint"), F.size(x[0])), lambda s, row: F.zip_with(s, row, lambda p, q: p + q))
+    return F.array(*[line(r) for r in matrix])
+
+
+def from_right(x: Column, matrix: list[list[int]]) -> Column:
+    """Every row of ``x`` times every row of a matrix."""
+    return F.transform(x, lambda row: F.array(*[dot(literal(r), row) for r in matrix]))
+
+
+def each(x: Column, f) -> Column:
+    return F.transform(x, lambda row: F.transform(row, f))
+
+
 def round_trip(rows: DataFrame, size: int, qp: int) -> DataFrame:
-    """(brow, bcol, ssd): the squared error of every block after transform, quantization and back."""
-    levels = forward(rows, size, size).withColumn("c", dequantize(quantize(F.col("c"), size, size, qp), size, size, qp))
-    at = F.posexplode("row").alias("x", "s")
-    original = rows.select("y", at).select(F.floor(F.col("y") / size).cast("bigint").alias("brow"), F.floor(F.col("x") / size).cast("bigint").alias("bcol"), (F.col("y") % size).alias("j"), (F.col("x") % size).cast("bigint").alias("i"), "s")
-    error = F.col("s") - F.col("r")
-    return inverse(levels, size, size).join(original, ["brow", "bcol", "j", "i"]).groupBy("brow", "bcol").agg(F.sum(error * error).alias("ssd"))
+    """(brow, bcol, ssd): the squared error of every block after transform, quantization and back.
+
+    Each block's row parts meet in one shuffle; all passes are then sums within the block.
+    """
+    at = rows.select("y", "row", F.explode(F.sequence(F.lit(0), F.lit(WIDTH // size - 1))).alias("bcol"))
+    part = F.struct((F.col("y") % size).alias("j"), F.slice("row", F.col("bcol") * size + 1, size).alias("part"))
+    block = at.groupBy(F.floor(F.col("y") / size).cast("bigint").alias("brow"), F.col("bcol").cast("bigint").alias("bcol")).agg(F.sort_array(F.collect_list(part)).alias("_b"))
+    block = block.select("brow", "bcol", F.transform("_b", lambda b: b["part"]).alias("x"))
+    basis = MATRICES["dct2"](size)[: kept("dct2", size)]
+    columns, log = [list(c) for c in zip(*basis, strict=True)], size.bit_length() - 1
+    first = block.withColumn("t", each(from_right(F.col("x"), basis), lambda v: shifted(v, log - 1)))
+    level = lambda v: dequantize(quantize(shifted(v, log + 6), size, size, qp), size, size, qp)
+    coded = first.withColumn("t", each(from_left(basis, F.col("t")), level))
+    tall = coded.withColumn("t", each(from_left(columns, F.col("t")), lambda v: clip(shifted(v, 7), -32768, 32767)))
+    back = tall.withColumn("t", each(from_right(F.col("t"), columns), lambda v: shifted(v, 12)))
+    error = F.zip_with(F.flatten("x"), F.flatten("t"), lambda p, q: (p - q) * (p - q))
+    return back.select("brow", "bcol", F.aggregate(error, F.lit(0).cast("bigint"), lambda s, v: s + v).alias("ssd"))
 
 
 def error_scale(spark, w: int, h: int, amplitude: int = 1024) -> DataFrame:

@@ -147,7 +147,8 @@ def quant_skip(spark, sf_dir):
     return out
 
 
-PIXELS = f"{planes.RAW_SQL}, px AS (SELECT a.y, a.x // 3 AS x, a.v AS r, b.v AS g, c.v AS b FROM raw a JOIN raw b ON b.y = a.y AND b.x = a.x + 1 JOIN raw c ON c.y = a.y AND c.x = a.x + 2 WHERE a.x % 3 = 0 AND a.x < 63)"
+_LEVEL = "least(255, greatest(0, 128 + floor(embedding[3 * x + {}]::DOUBLE * 256)::BIGINT))"
+PIXELS = f"px AS (SELECT vec_id AS y, x, {_LEVEL.format(1)} AS r, {_LEVEL.format(2)} AS g, {_LEVEL.format(3)} AS b FROM embeddings, range(0, 21) p(x))"
 
 
 def fixed_sql(weights: tuple[int, int, int]) -> str:
@@ -281,7 +282,7 @@ def aq_target_qp(spark, sf_dir):
     SELECT brow, bcol, coalesce(sum(dx), 0)::BIGINT AS gx, coalesce(sum(dy), 0)::BIGINT AS gy FROM d GROUP BY brow, bcol""",
 )
 def block_gradient(spark, sf_dir):
-    return blocks.gradients(planes.samples(planes.embedding_rows(spark, sf_dir)), 8)
+    return blocks.gradients(planes.embedding_rows(spark, sf_dir), 8)
 
 
 def _satd(n: int) -> None:

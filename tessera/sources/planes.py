@@ -17,11 +17,10 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def padded(rows: DataFrame, size: int) -> DataFrame:
     """``rows`` with the last one repeated, so that the height is a multiple of ``size``."""
-    last = rows.agg(F.max("y")).first()[0]
-    if last is None:
-        return rows
-    end = -(-(last + 1) // size) * size - 1
-    return rows.withColumn("y", F.explode(F.when(F.col("y") == last, F.sequence(F.lit(last), F.lit(end))).otherwise(F.array("y"))))
+    last = F.broadcast(rows.agg(F.max("y").alias("_last")))
+    end = F.expr(f"(_last div {size} + 1) * {size} - 1")
+    every = F.when(F.col("y") == F.col("_last"), F.sequence("_last", end)).otherwise(F.array("y"))
+    return rows.join(last).withColumn("y", F.explode(every)).drop("_last")
 
 
 def samples(rows: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def box(name: str, payload: Column) -> Column:
     return F.concat(hex_of(F.length(payload).cast("bigint").__truediv__(2).cast("bigint") + 8, 8), F.lit(name.encode().hex().upper()), payload)
 
 
-def boxes(rows: DataFrame, id_col: str, data: Column, most: int = 64) -> DataFrame:
+def boxes(rows: DataFrame, id_col: str, data: Column) -> DataFrame:
     """(id, seq, name, payload): the boxes that follow one another in ``data``; a broken length ends the list."""
 
     def step(s: Column, _: Column) -> Column:
@@ -46,5 +46,5 @@ def boxes(rows: DataFrame, id_col: str, data: Column, most: int = 64) -> DataFra
         return F.struct(F.when(ok, rest.substr((size * 2 + 1).cast("int"), F.length(rest))).otherwise("").alias("rest"), F.when(ok, F.concat(s["out"], F.array(found))).otherwise(s["out"]).alias("out"))
 
     empty = F.struct(data.alias("rest"), F.expr("cast(array() as array<struct<name:string,_:string,payload:string>>)").alias("out"))
-    parsed = F.aggregate(F.sequence(F.lit(1), F.lit(most)), empty, step, lambda s: s["out"])
+    parsed = F.aggregate(F.sequence(F.lit(0), F.floor(F.length(data) / 16).cast("int")), empty, step, lambda s: s["out"])
     return rows.select(id_col, F.posexplode(parsed).alias("seq", "b")).select(id_col, "seq", F.col("b.name").alias("name"), F.col("b.payload").alias("payload"))
