@@ -65,3 +65,28 @@ def unprotect(hex_text: Column) -> Column:
         return F.struct(F.concat(s["out"], F.when(drop, F.lit("")).otherwise(b)).alias("out"), zeros.alias("zeros"))
 
     return F.aggregate(byte_list(hex_text), F.struct(F.lit("").alias("out"), F.lit(0).alias("zeros")), step, lambda s: s["out"])
+
+
+def read_bits(bits_: Column, at: Column, width: Column) -> Column:
+    """The number in ``width`` digits from place ``at`` (0: the first); null if they are not there."""
+    part = F.substring(bits_, at.cast("int") + 1, width.cast("int"))
+    return F.when(F.length(part) == width, F.conv(part, 2, 10).cast("bigint"))
+
+
+def read_unsigned(bits_: Column, at: Column) -> Column:
+    """Struct of the value of the exponential-Golomb code at ``at`` and the digits it used; nulls if it is cut off."""
+    zeros = F.instr(F.substring(bits_, at.cast("int") + 1, F.length(bits_)), "1") - 1
+    value = F.when(zeros >= 0, read_bits(bits_, at + zeros, zeros + 1) - 1)
+    return F.struct(value.alias("value"), F.when(value.isNotNull(), 2 * zeros + 1).alias("used"))
+
+
+def read_signed(bits_: Column, at: Column) -> Column:
+    code = read_unsigned(bits_, at)
+    k = code["value"]
+    half = F.floor((k + 1) / 2).cast("bigint")
+    return F.struct(F.when(k % 2 == 1, half).otherwise(-half).alias("value"), code["used"].alias("used"))
+
+
+def only_stop_bit(bits_: Column, at: Column) -> Column:
+    """Whether from ``at`` on there is nothing but a one and zeros."""
+    return F.substring(bits_, at.cast("int") + 1, F.length(bits_)).rlike("^10*$")

@@ -52,3 +52,22 @@ def parse_nclx(payload: Column) -> Column:
     number = lambda at, n: F.conv(F.substring(payload, at, n), 16, 10).cast("int")
     found = F.struct(known(number(9, 4), PRIMARIES).alias("primaries"), known(number(13, 4), TRANSFERS).alias("transfer"), known(number(17, 4), MATRICES).alias("matrix"), (number(21, 2) >= 128).alias("full"))
     return F.when((F.length(payload) >= 22) & payload.startswith("6E636C78"), found)
+
+
+# Fixed value: the colour description of a picture that brings none.
+DEFAULT = {"primaries": 1, "transfer": 13, "matrix": 6}
+
+
+def effective(given: Column) -> Column:
+    """Struct of the codes that are written: the given ones (a struct or null), else the default."""
+    return F.struct(*[F.coalesce(given[k], F.lit(v)).alias(k) for k, v in DEFAULT.items()])
+
+
+def light_level(most: Column, mean: Column) -> Column:
+    """Upper-case hex of the light level box's payload: largest level, then largest picture mean."""
+    return F.concat(hex_of(most, 4), hex_of(mean, 4))
+
+
+def parse_light_level(payload: Column) -> Column:
+    number = lambda at: F.conv(F.substring(payload, at, 4), 16, 10).cast("bigint")
+    return F.when(F.length(payload) >= 8, F.struct(number(1).alias("most"), number(5).alias("mean")))

@@ -86,3 +86,41 @@ def picture_checks(c: dict[str, Column], depth: Column, quality: Column) -> dict
         "stride_ok": (w == 0) | (h == 0) | ((c["stride"] >= w) & (c["length"] >= needed)),
     }
     return {n: F.coalesce(x, F.lit(False)) for n, x in found.items()}
+
+
+def depth_offset(depth: Column) -> Column:
+    """By how much quantizers of a greater bit depth begin below 0."""
+    return 6 * (depth - 8)
+
+
+def widened(v: Column, depth: Column) -> Column:
+    """An 8-bit sample at a greater depth."""
+    return (v * F.pow(F.lit(2.0), depth - 8)).cast("bigint")
+
+
+def profile(depth: Column, idc: Column) -> Column:
+    """The number of the profile that a depth and chroma format need."""
+    wide = idc >= 2
+    return F.when(depth == 12, F.when(wide, 34).otherwise(2)).otherwise(F.when(wide, 33).otherwise(1))
+
+
+def decoder_error(w: Column, h: Column) -> Column:
+    """Why a decoder refuses a picture of this size; null if it does not."""
+    cw, ch = to_multiple_of_8(w), to_multiple_of_8(h)
+    sides = (F.least(w, h) <= 0) | (F.greatest(cw, ch) > MAX_SIDE)
+    what = F.when(sides, "image dimensions out of range").when(cw * ch > MAX_AREA, "image too large to decode")
+    return F.concat(F.lit("decode error: "), what)
+
+
+def message(kind: Column, a: Column, b: Column) -> Column:
+    """The text of an error: of dimensions (a x b), quality (a), length (a expected, b found), range (sample a, depth b)."""
+    text = {
+        "dimensions": F.format_string("invalid image dimensions: %dx%d", a, b),
+        "quality": F.format_string("quality %d out of range (expected 1..=100)", a),
+        "length": F.format_string("pixel buffer size mismatch: expected %d bytes, found %d", a, b),
+        "range": F.format_string("sample %d exceeds maximum %d for %d-bit depth", a, (F.pow(F.lit(2.0), b) - 1).cast("bigint"), b),
+    }
+    out = F.lit(None).cast("string")
+    for name, t in text.items():
+        out = F.when(kind == name, t).otherwise(out)
+    return out

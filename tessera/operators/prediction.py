@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import RECIPROCAL
@@ -100,3 +100,97 @@ def angular(top: Column, left: Column, x: Column, y: Column, mode: Column, size:
 def from_luma(luma: Column, a: Column, b: Column, shift: Column, most: int = 255) -> Column:
     """Chroma predicted from luma by a fitted line, clipped to 0 .. ``most``."""
     return F.least(F.lit(most), F.greatest(F.lit(0), F.floor(a * luma / F.pow(F.lit(2.0), shift)).cast("bigint") + b))
+
+
+# Taps in 64ths of the cubic interpolation by 32nds of a sample, and the distance from straight modes beyond which references are smoothed.
+CUBIC = (
+    (0, 64, 0, 0), (-1, 63, 2, 0), (-2, 62, 4, 0), (-2, 60, 7, -1), (-2, 58, 10, -2), (-3, 57, 12, -2), (-4, 56, 14, -2), (-4, 55, 15, -2),
+    (-4, 54, 16, -2), (-5, 53, 18, -2), (-6, 52, 20, -2), (-6, 49, 24, -3), (-6, 46, 28, -4), (-5, 44, 29, -4), (-4, 42, 30, -4), (-4, 39, 33, -4),
+    (-4, 36, 36, -4), (-4, 33, 39, -4), (-4, 30, 42, -4), (-4, 29, 44, -5), (-4, 28, 46, -6), (-3, 24, 49, -6), (-2, 20, 52, -6), (-2, 18, 53, -5),
+    (-2, 16, 54, -4), (-2, 15, 55, -4), (-2, 14, 56, -4), (-2, 12, 57, -3), (-2, 10, 58, -2), (-1, 7, 60, -2), (0, 4, 62, -2), (0, 2, 63, -1),
+)
+SMOOTHED_FROM = (24, 24, 24, 14, 2, 0, 0, 0)
+
+
+def pick(table, at: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v).cast("bigint") for v in table]), (at + 1).cast("int"))
+
+
+def slope_of(mode: Column) -> dict[str, Column]:
+    """Of an angle: whether it runs from the top, its turn from straight, its slope without sign, and the inverse slope."""
+    upright = mode >= 34
+    turn = F.when(upright, mode - VERTICAL).otherwise(HORIZONTAL - mode)
+    back = pick([round(16384 / a) if a else 0 for a in SLOPES], F.abs(turn))
+    return {"upright": upright, "turn": turn, "slope": pick(SLOPES, F.abs(turn)), "back": back}
+
+
+def parameters(mode: Column, angle: Column, w: Column, h: Column) -> dict[str, Column]:
+    """How luma is predicted: smoothed references, smooth interpolation, blending by position and its scale.
+
+    ``angle`` is the wide angle of ``mode`` for the block's shape.
+    """
+    a, angular = slope_of(angle), mode > 1
+    side = F.when(a["upright"], h).otherwise(w)
+    scale = F.least(F.lit(2), binary_log(side) - binary_log(F.greatest(3 * a["back"] - 2, F.lit(1))) + 8)
+    far = F.least(F.abs(angle - HORIZONTAL), F.abs(angle - VERTICAL)) > pick(SMOOTHED_FROM, F.floor((binary_log(w) + binary_log(h)) / 2))
+    whole = a["slope"] % 32 == 0
+    return {
+        "smooth_refs": F.when(mode == 0, w * h > 32).when(mode == 1, False).otherwise(far & whole),
+        "smooth_taps": angular & far & ~whole,
+        "blended": (F.least(w, h) >= 4) & (~angular | (a["turn"] == 0) | ((a["turn"] > 0) & (scale >= 0))),
+        "scale": F.when(angular & (a["turn"] > 0), scale).otherwise(0),
+    }
+
+
+def smoothed_references(top: Column, left: Column, n: int) -> tuple[Column, Column]:
+    """(1 2 1) / 4 along the references of 2 * n samples a side; the ends stay, the corner is shared."""
+    corner = F.shiftright(2 * ref(top, 0) + ref(top, 1) + ref(left, 1) + 2, 2)
+    inner = lambda a: F.transform(F.sequence(F.lit(1), F.lit(2 * n - 1)), lambda k: F.shiftright(ref(a, k - 1) + 2 * ref(a, k) + ref(a, k + 1) + 2, 2))
+    return tuple(F.concat(F.array(corner), inner(a), F.array(ref(a, 2 * n))) for a in (top, left))
+
+
+def luma(blocks: DataFrame, size: int, most: int = 255) -> DataFrame:
+    """(columns of ``blocks``, mode, y, x, p): the luma prediction of every mode from 0 to 66 for square blocks (top, left, ...).
+
+    References are smoothed once a block, and turned to the mode's main side once a block and mode, before
+    the positions are dealt out.
+    """
+    n, log, own = size, size.bit_length() - 1, blocks.columns
+    top, left = smoothed_references(F.col("top"), F.col("left"), n)
+    count = lambda k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k - 1).cast("bigint")))
+    modes = blocks.select(*own, top.alias("_ft"), left.alias("_fl")).withColumn("mode", count(67))
+    p = parameters(F.col("mode"), F.col("mode"), F.lit(n).cast("bigint"), F.lit(n).cast("bigint"))
+    modes = modes.select("*", *[v.alias(f"_{k}") for k, v in (p | slope_of(F.col("mode"))).items()])
+    used = lambda plain, smooth: F.when(F.col("_smooth_refs"), F.col(smooth)).otherwise(F.col(plain))
+    modes = modes.withColumns({"_t": used("top", "_ft"), "_l": used("left", "_fl")})
+    swap = lambda one, two: F.when(F.col("_upright"), F.col(one)).otherwise(F.col(two))
+    signed = F.when(F.col("_turn") < 0, -F.col("_slope")).otherwise(F.col("_slope"))
+    modes = modes.withColumns({"_main": swap("_t", "_l"), "_side": swap("_l", "_t"), "_step": signed})
+    rows = modes.select(*own, "mode", "_main", "_side", "_upright", "_turn", "_step", "_slope", "_back", "_blended", "_scale", "_smooth_taps", count(n * n).alias("_at"))
+    rows = rows.withColumns({"y": F.expr(f"_at div {n}"), "x": F.col("_at") % n}).withColumns({"_along": swap("x", "y"), "_across": swap("y", "x")})
+    rows = rows.withColumn("_moved", F.col("_step") * (F.col("_across") + 1)).withColumns({"_whole": F.shiftright("_moved", 5), "_part": F.col("_moved") - F.shiftright("_moved", 5) * 32})
+    main, side, along, across = (F.col(c) for c in ("_main", "_side", "_along", "_across"))
+
+    def at(k: int) -> Column:
+        i = F.col("_whole") + along + k
+        beyond = ref(side, F.greatest(F.lit(0), F.least(F.lit(n), F.shiftright(-i * F.col("_back") + 256, 9))))
+        return F.when(i >= 0, ref(main, F.greatest(F.lit(0), F.least(i, F.lit(2 * n))))).otherwise(beyond)
+
+    half = F.expr("_part div 2")
+    even, cubic = F.array(16 - half, 32 - half, 16 + half, half), F.array(*[F.array(*[F.lit(v).cast("bigint") for v in taps]) for taps in CUBIC])
+    rows = rows.withColumn("_taps", F.when(F.col("_smooth_taps"), even).otherwise(F.element_at(cubic, (F.col("_part") + 1).cast("int"))))
+    between = F.least(F.lit(most), F.greatest(F.lit(0), F.shiftright(sum(ref(F.col("_taps"), k) * at(k) for k in range(4)) + 32, 6)))
+    rows = rows.withColumn("_v", F.when(F.col("_slope") % 32 == 0, at(1)).otherwise(between))
+    near = lambda scale: F.expr(f"shiftright(32, cast(least(31, shiftright(2 * _along, {scale})) as int))")
+    within = lambda scale: F.col("_blended") & (along < F.expr(f"shiftleft(3, {scale})"))
+    straight, steep = str((2 * log - 2) >> 2), "cast(greatest(0, _scale) as int)"
+    down = F.least(F.lit(2 * n), across + 1 + F.shiftright(256 + (along + 1) * F.col("_back"), 9))
+    v = F.col("_v")
+    on_axis = F.least(F.lit(most), F.greatest(F.lit(0), v + F.shiftright(near(straight) * (ref(side, across + 1) - ref(main, 0)) + 32, 6)))
+    tilted = v + F.shiftright(near(steep) * (ref(side, down) - v) + 32, 6)
+    turned_ = F.when((F.col("_turn") == 0) & within(straight), on_axis).when((F.col("_turn") > 0) & within(steep), tilted).otherwise(v)
+    # Planar and mean count as running from the left, so their main side is the left one.
+    flat = F.when(F.col("mode") == 0, planar(side, main, F.col("x"), F.col("y"), n)).otherwise(mean(side, main, n, n))
+    rows = rows.withColumn("_flat", F.when(F.col("mode") <= 1, flat))
+    blend = position_blend(F.col("_flat"), side, main, F.col("x"), F.col("y"), n, n)
+    return rows.select(*own, "mode", "y", "x", F.when(F.col("mode") > 1, turned_).when(F.col("_blended"), blend).otherwise(F.col("_flat")).cast("bigint").alias("p"))

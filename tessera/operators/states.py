@@ -40,3 +40,27 @@ def adaptation(window: Column) -> tuple[Column, Column]:
     """The two rates of a context, from its 4-bit window size."""
     slow = 2 + F.floor(window / 4).cast("int") % 4
     return slow, 3 + slow + window % 4
+
+
+# The digits that each of a context's two estimates keeps.
+KEPT = (0x7FE0, 0x7FFE)
+
+
+def adapted(bins: Column, start: int, slow: int, fast: int) -> Column:
+    """The 8-bit probability of a one before each of an array's bins, both estimates from ``start`` on."""
+
+    def moved(v: Column, b: Column, rate: int, digits: int) -> Column:
+        kept = v - F.shiftright(v, rate).bitwiseAND(F.lit(digits))
+        return kept + F.when(b == 1, (0x7FFF >> rate) & digits).otherwise(0)
+
+    def step(s: Column, b: Column) -> Column:
+        out = F.concat(s["out"], F.array(F.shiftright(s["a"] + s["b"], 8)))
+        return F.struct(moved(s["a"], b, slow, KEPT[0]).alias("a"), moved(s["b"], b, fast, KEPT[1]).alias("b"), out.alias("out"))
+
+    return F.aggregate(bins, F.struct(F.lit(start).alias("a"), F.lit(start).alias("b"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+
+def less_likely(prob: Column, span: Column) -> Column:
+    """The part of a coder's range that is left to the less likely bin."""
+    folded = F.when(prob >= 128, 255 - prob).otherwise(prob)
+    return F.shiftright(F.shiftright(folded, 2) * F.shiftright(span, 5), 1) + 4

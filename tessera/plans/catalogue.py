@@ -449,10 +449,19 @@ REFS = f"""{planes.RAW_SQL}, refs AS (SELECT y, list_prepend(t[1], t[2:17]) AS t
     places AS (SELECT y AS id, top, lft, t, j, i FROM refs, range(0, 8) a(j), range(0, 8) b(i))"""
 
 
-def reference_rows(spark, sf_dir) -> DataFrame:
-    """(id, row, top, left, y, x): references of an 8 x 8 block out of each plane row, and each of its positions."""
-    r = planes.embedding_rows(spark, sf_dir).select(F.col("y").alias("id"), "row", F.concat(F.slice("row", 1, 1), F.slice("row", 2, 16)).alias("top"), F.concat(F.slice("row", 1, 1), F.slice("row", 18, 16)).alias("left"))
-    return r.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("_p")).select("id", "row", "top", "left", F.expr("cast(_p div 8 as bigint)").alias("y"), (F.col("_p") % 8).cast("bigint").alias("x"))
+def references(spark, sf_dir) -> DataFrame:
+    """(id, row, top, left): references of a square block out of each plane row.
+
+    Of a row's 64 samples 16 are the upper and 16 the left references, and those from the 35th on the block's own.
+    """
+    side = lambda at: F.concat(F.slice("row", 1, 1), F.slice("row", at, 16))
+    return planes.embedding_rows(spark, sf_dir).select(F.col("y").alias("id"), "row", side(2).alias("top"), side(18).alias("left"))
+
+
+def reference_rows(spark, sf_dir, size: int = 8) -> DataFrame:
+    """The ``references`` with each position (y, x) of a block."""
+    r = references(spark, sf_dir).withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(size * size - 1))))
+    return r.select("id", "row", "top", "left", F.expr(f"cast(_p div {size} as bigint)").alias("y"), (F.col("_p") % size).cast("bigint").alias("x"))
 
 
 PLANAR = "((((7 - i) * lft[j + 2] + (i + 1) * top[9] + (7 - j) * top[i + 2] + (j + 1) * lft[9]) * 8 + 64) >> 7)"
@@ -477,7 +486,7 @@ def pred_pdpc(spark, sf_dir):
     return r.select("id", "y", "x", prediction.position_blend(prediction.planar(t, left, x, y, 8), t, left, x, y, 8, 8).alias("p"))
 
 
-ANGLES = (2, 7, 13, 18, 23, 30, 34, 38, 45, 50, 55, 61, 66)
+ANGLES = tuple(range(2, 67))
 _AT = "CASE WHEN {0} >= 0 THEN mn[least({0}, 8) + 1] ELSE sd[least(4, ((-({0})) * inv + 256) >> 9) + 1] END"
 
 
@@ -490,7 +499,7 @@ _ANGULAR = f"""{REFS}, a AS (SELECT id, top, lft, t AS line, j, i, m::BIGINT AS
 
 @query("pred_angular_open", f"WITH {_ANGULAR} SELECT id, j AS y, i AS x, m AS mode, p + ((f * (q - p) + 16) >> 5) AS v FROM e")
 def pred_angular_open(spark, sf_dir):
-    r = reference_rows(spark, sf_dir).where("x < 4 AND y < 4").withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in ANGLES])))
+    r = reference_rows(spark, sf_dir, 4).withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in ANGLES])))
     return r.select("id", "y", "x", "mode", prediction.angular(F.col("top"), F.col("left"), F.col("x"), F.col("y"), F.col("mode"), 4).alias("v"))
 
 
@@ -507,7 +516,7 @@ def pred_angular_open(spark, sf_dir):
     SELECT id, mode, satd, row_number() OVER (PARTITION BY id ORDER BY satd, mode) AS rank FROM cost QUALIFY rank <= 4""",
 )
 def mode_top4_open(spark, sf_dir):
-    r = reference_rows(spark, sf_dir).where("x < 4 AND y < 4").withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in (0, 1, *ANGLES)])))
+    r = reference_rows(spark, sf_dir, 4).withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in (0, 1, *ANGLES)])))
     t, left, x, y, m = (F.col(c) for c in ("top", "left", "x", "y", "mode"))
     p = F.when(m == 0, prediction.planar(t, left, x, y, 4)).when(m == 1, prediction.mean(t, left, 4, 4)).otherwise(prediction.angular(t, left, x, y, m, 4))
     own = F.element_at("row", (34 + y * 4 + x).cast("int"))

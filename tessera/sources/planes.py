@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WIDTH = 64
@@ -35,6 +35,44 @@ def pixels(rows: DataFrame) -> DataFrame:
     return rows.select("y", "row", at).select("y", F.col("x").cast("bigint").alias("x"), part(1).alias("r"), part(2).alias("g"), part(3).alias("b"))
 
 
+def channels(rows: DataFrame, names: str) -> DataFrame:
+    """(y, x, one column a channel): rows of interleaved samples; a last incomplete pixel is left out."""
+    n = len(names)
+    at = rows.select("y", "row", F.explode(F.sequence(F.lit(0), F.lit(WIDTH // n - 1))).alias("x"))
+    return at.select("y", F.col("x").cast("bigint").alias("x"), *[F.element_at("row", F.col("x") * n + k + 1).alias(c) for k, c in enumerate(names)])
+
+
+def resampled(rows: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
+    """``rows`` of a chroma plane subsampled by ``source`` (across, down) at the coarser or finer ``target``, by index."""
+    (sw, sh), (tw, th) = source, target
+    wide = -(-WIDTH * sw // tw)
+    x = F.transform(F.sequence(F.lit(0), F.lit(wide - 1)), lambda k: F.least(F.floor(k * tw / sw), F.lit(WIDTH - 1)).cast("int"))
+    across = rows.select("y", F.transform(x, lambda k: F.element_at("row", k + 1)).alias("row"))
+    # Row y is taken by every target row t with t * th div sh = y.
+    first, last = F.expr(f"(y * {sh} + {th - 1}) div {th}"), F.expr(f"((y + 1) * {sh} + {th - 1}) div {th} - 1")
+    return across.where(last >= first).select(F.explode(F.sequence(first, last)).alias("y"), "row")
+
+
+def pairs(hex_text: Column) -> Column:
+    """The unsigned numbers of little-endian byte pairs; a last odd byte is left out."""
+    every = F.regexp_extract_all(hex_text, F.lit("(....)"), 1)
+    return F.transform(every, lambda p: F.conv(F.concat(F.substring(p, 3, 2), F.substring(p, 1, 2)), 16, 10).cast("bigint"))
+
+
+def blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(brow, bcol, block): an array of row parts for each block; rows must be padded to a multiple of ``size``."""
+    at = rows.select("y", "row", F.explode(F.sequence(F.lit(0), F.lit(WIDTH // size - 1))).alias("bcol"))
+    part = F.struct(F.col("y"), F.slice("row", F.col("bcol") * size + 1, size).alias("part"))
+    found = at.groupBy(F.expr(f"y div {size}").alias("brow"), F.col("bcol").cast("bigint").alias("bcol")).agg(F.sort_array(F.collect_list(part)).alias("block"))
+    return found.withColumn("block", F.transform("block", lambda b: b["part"]))
+
+
+def placed(found: DataFrame, size: int) -> DataFrame:
+    """(y, x, v): the samples of blocks at their places; needs no shuffle."""
+    rows = found.select("brow", "bcol", F.posexplode("block").alias("j", "part"))
+    return rows.select((F.col("brow") * size + F.col("j")).alias("y"), "bcol", F.posexplode("part").alias("i", "v")).select("y", (F.col("bcol") * size + F.col("i")).alias("x"), "v")
+
+
 def event_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, i, v): the whole part of each event's value, in the order of event_id within a user."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", F.col("event_id").alias("i"), F.floor("value").cast("bigint").alias("v"))
