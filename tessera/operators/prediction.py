@@ -194,3 +194,41 @@ def luma(blocks: DataFrame, size: int, most: int = 255) -> DataFrame:
     rows = rows.withColumn("_flat", F.when(F.col("mode") <= 1, flat))
     blend = position_blend(F.col("_flat"), side, main, F.col("x"), F.col("y"), n, n)
     return rows.select(*own, "mode", "y", "x", F.when(F.col("mode") > 1, turned_).when(F.col("_blended"), blend).otherwise(F.col("_flat")).cast("bigint").alias("p"))
+
+
+def downsampled(rows: DataFrame, sub_w: int, sub_h: int) -> DataFrame:
+    """(y, x, v): luma at the places of chroma, for the subsampling (1, 1), (2, 1) or (2, 2).
+
+    (1 2 1) across, on both rows where they are halved; at the left edge the sample itself stands for the one before.
+    """
+    if (sub_w, sub_h) == (1, 1):
+        return rows.select("y", F.posexplode("row").alias("x", "v")).withColumn("x", F.col("x").cast("bigint"))
+    at = lambda row, i: F.element_at(row, i.cast("int") + 1)
+    count = F.sequence(F.lit(0), F.floor(F.size(F.col("_rows")[0]) / 2).cast("int") - 1)
+    across = lambda row, k: at(row, F.greatest(2 * k - 1, F.lit(0))) + 2 * at(row, 2 * k) + at(row, 2 * k + 1)
+    pair = rows.groupBy(F.expr(f"y div {sub_h}").alias("y")).agg(F.sort_array(F.collect_list(F.struct(F.col("y").alias("_y"), "row"))).alias("_r")).where(F.size("_r") == sub_h)
+    pair = pair.select("y", F.transform("_r", lambda r: r["row"]).alias("_rows"))
+    total = lambda k: F.aggregate("_rows", F.lit(0).cast("bigint"), lambda s, row: s + across(row, k))
+    v = F.transform(count, lambda k: F.shiftright(total(k) + 2 * sub_h, 1 + sub_h))
+    return pair.select("y", F.posexplode(v).alias("x", "v")).withColumn("x", F.col("x").cast("bigint"))
+
+
+def four_points(top_luma: Column, top_chroma: Column, left_luma: Column, left_chroma: Column, above: Column, beside: Column) -> Column:
+    """Struct of four luma and four chroma samples for the line's fit; null if neither side is there.
+
+    Two of each side, a quarter and three quarters along, if both are there, else four of the one, an eighth
+    apart from its ends; the two of a side of only two samples stand twice, the second first.
+    """
+
+    def side(luma: Column, chroma: Column, there: Column, alone: Column) -> Column:
+        n = F.size(luma)
+        more = F.when(alone, 1).otherwise(0)
+        start, step = F.floor(n / F.pow(F.lit(2.0), 2 + more)), F.greatest(F.floor(n / F.pow(F.lit(2.0), 1 + more)), F.lit(1))
+        many = F.least(n, 2 + 2 * more)
+        place = lambda k: (start + k * step + 1).cast("int")
+        points = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.struct(F.element_at(luma, place(k)).alias("l"), F.element_at(chroma, place(k)).alias("c")))
+        return F.when(there, points).otherwise(F.slice(points, 1, 0))
+
+    found = F.concat(side(top_luma, top_chroma, above, ~beside), side(left_luma, left_chroma, beside, ~above))
+    found = F.when(F.size(found) == 2, F.array(found[1], found[0], found[1], found[0])).otherwise(found)
+    return F.when(above | beside, F.struct(F.transform(found, lambda p: p["l"]).alias("luma"), F.transform(found, lambda p: p["c"]).alias("chroma")))

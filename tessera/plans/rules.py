@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, metadata
 from ..functions import samples as s
-from ..operators import blocks, neighbours, partition, prediction, states
+from ..operators import blocks, neighbours, partition, prediction, rates, states, transforms
 from ..sources import planes
-from .catalogue import REFS, query, references
+from .catalogue import QP, REFS, dequant_sql, forward_sql, quant_sql, query, references, rows_of, scan_sql
 
 WIDTH, HEIGHT = 512, 256
 NODES = """n AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 40) * (4 << (l_suppkey % 6)::INTEGER) AS x, ((l_linenumber * 7 + l_partkey) % 20) * (4 << (l_partkey % 6)::INTEGER) AS y, (4 << (l_suppkey % 6)::INTEGER)::BIGINT AS w, (4 << (l_partkey % 6)::INTEGER)::BIGINT AS h,
@@ -306,3 +306,56 @@ def colour_effective(spark, sf_dir):
 def light_levels(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", metadata.light_level(F.col("c_custkey") % 65536, F.col("c_nationkey").cast("bigint")).alias("payload"))
     return c.select("c_custkey", "payload", metadata.parse_light_level(F.col("payload")).alias("l")).select("c_custkey", "payload", "l.*")
+
+
+def _down(sub_w: int, sub_h: int) -> str:
+    rows = [f"j.y = y * {sub_h} + {k}" for k in range(sub_h)]
+    taps = "sum(CASE WHEN j.x = 2 * g.x THEN 2 * j.v ELSE j.v END + CASE WHEN g.x = 0 AND j.x = 0 THEN j.v ELSE 0 END)::BIGINT"
+    return f"SELECT {sub_w * 10 + sub_h} AS format, g.y, g.x, ({taps} + {2 * sub_h}) >> {1 + sub_h} AS v FROM (SELECT y, x FROM h, unnest(range(0, n // {sub_h})) a(y), range(0, 32) b(x)) g JOIN raw j ON ({' OR '.join(r.replace('= y', '= g.y') for r in rows)}) AND j.x BETWEEN 2 * g.x - 1 AND 2 * g.x + 1 GROUP BY g.y, g.x"
+
+
+@query("cclm_downsample", f"WITH {planes.RAW_SQL}, h AS (SELECT max(y) + 1 AS n FROM raw) SELECT 11 AS format, y, x, v FROM raw UNION ALL {_down(2, 1)} UNION ALL {_down(2, 2)}")
+def cclm_downsample(spark, sf_dir):
+    rows, out = planes.embedding_rows(spark, sf_dir), None
+    for w, h in ((1, 1), (2, 1), (2, 2)):
+        one = prediction.downsampled(rows, w, h).select(F.lit(10 * w + h).alias("format"), "y", "x", "v")
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query(
+    "cclm_points",
+    f"""WITH {planes.RAW_SQL}, t AS (SELECT y, list(v ORDER BY x) AS t, y % 4 IN (0, 1) AS ab, y % 4 IN (0, 2) AS le, [2, 4, 8, 16][(y // 4 % 4 + 1)::INTEGER] AS n FROM raw GROUP BY y),
+    k AS (SELECT y, t, ab, le, n, CASE WHEN ab AND le THEN [n // 4, n // 4 + greatest(1, n // 2), 100 + n // 4, 100 + n // 4 + greatest(1, n // 2)]
+        WHEN n = 2 THEN CASE WHEN ab THEN [1, 0, 1, 0] ELSE [101, 100, 101, 100] END
+        ELSE [b + n // 8 + m * greatest(1, n // 4) FOR m IN [0, 1, 2, 3]] END AS p FROM (SELECT *, CASE WHEN ab THEN 0 ELSE 100 END AS b FROM t) WHERE ab OR le)
+    SELECT y, m AS point, t[(CASE WHEN p[m + 1] >= 100 THEN p[m + 1] - 100 + 17 ELSE p[m + 1] + 1 END)::INTEGER] AS luma, t[(CASE WHEN p[m + 1] >= 100 THEN p[m + 1] - 100 + 49 ELSE p[m + 1] + 33 END)::INTEGER] AS chroma FROM k, range(0, 4) r(m)""",
+)
+def cclm_points(spark, sf_dir):
+    """Sides of 2 to 16 samples out of each row, both, one or none of them there."""
+    rows = planes.embedding_rows(spark, sf_dir)
+    n = F.pow(F.lit(2.0), 1 + F.floor(F.col("y") / 4) % 4).cast("int")
+    part = lambda at: F.slice(F.col("row"), F.lit(at), n)
+    found = rows.select("y", prediction.four_points(part(1), part(33), part(17), part(49), (F.col("y") % 4).isin(0, 1), (F.col("y") % 4).isin(0, 2)).alias("p")).where("p IS NOT NULL")
+    points = found.select("y", F.posexplode(F.arrays_zip("p.luma", "p.chroma")).alias("point", "q"))
+    return points.select("y", F.col("point").cast("bigint").alias("point"), F.col("q.luma").alias("luma"), F.col("q.chroma").alias("chroma"))
+
+
+_LAMBDA, _SCALE = rates.cost_of_bits(QP), 0.015625
+_BITS = "(CASE WHEN {0} <= 0 THEN 0 WHEN {0} = 1 THEN 3 WHEN {0} <= 3 THEN 5 ELSE 6 + 2 * floor(log2(({0} - 3)::DOUBLE)) END)"
+_PLACE = "[0, 1, 2, 3, 5, 5, 6, 6][({0} + 1)::INTEGER]"
+
+
+@query(
+    "rdoq_levels",
+    f"""WITH {forward_sql(8, 8)}, o AS ({scan_sql(8, 8)}), k AS (SELECT brow, bcol, u, v, c, pos, {quant_sql('abs(c)', 8, 8, QP)} AS l FROM coef JOIN o ON o.x = u AND o.y = v),
+    d AS (SELECT *, (c * c)::DOUBLE * {_SCALE} AS z, ((abs(c) - {dequant_sql('(l - 1)', 8, 8, QP)}) ** 2)::DOUBLE * {_SCALE} AS e1, ((abs(c) - {dequant_sql('l', 8, 8, QP)}) ** 2)::DOUBLE * {_SCALE} AS e2 FROM k),
+    t AS (SELECT *, e1 + {_LAMBDA} * {_BITS.format('(l - 1)')} AS c1, e2 + {_LAMBDA} * {_BITS.format('l')} AS c2 FROM d),
+    q AS (SELECT *, CASE WHEN l > 0 AND c2 < z AND (l = 1 OR c2 < c1) THEN l WHEN l > 1 AND c1 < z THEN l - 1 ELSE 0 END AS b FROM t),
+    r AS (SELECT *, CASE WHEN b = 0 THEN z WHEN b = l THEN c2 ELSE c1 END AS cost FROM q),
+    s AS (SELECT *, sum(z) OVER w - sum(z) OVER a AS tail, sum(cost) OVER a AS so_far, sum(z) OVER w AS none FROM r WINDOW w AS (PARTITION BY brow, bcol), a AS (PARTITION BY brow, bcol ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    m AS (SELECT brow, bcol, min(none) AS none, min(so_far + tail + {_LAMBDA} * ({_PLACE.format('u')} + {_PLACE.format('v')})) FILTER (b > 0) AS best, arg_min(pos, so_far + tail + {_LAMBDA} * ({_PLACE.format('u')} + {_PLACE.format('v')})) FILTER (b > 0) AS last FROM s GROUP BY brow, bcol)
+    SELECT s.brow, s.bcol, u, v, (CASE WHEN best < m.none AND pos <= last THEN CASE WHEN c < 0 THEN -b ELSE b END ELSE 0 END)::BIGINT AS level FROM s JOIN m ON m.brow = s.brow AND m.bcol = s.bcol""",
+)
+def rdoq_levels(spark, sf_dir):
+    return rates.by_rate(transforms.forward(rows_of(spark, sf_dir, 8), 8, 8), 8, 8, QP, _SCALE)
