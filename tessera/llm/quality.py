@@ -171,11 +171,13 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 11) -> Model:
             adam.step([x[batch].T @ back + 1e-4 * layers[0], back.sum(0), h.T @ d + 1e-4 * layers[2], d.sum(0)])
     model.layers = [p.astype(np.float32) for p in layers]
     z, t = _forward(x[apart], layers)[1], y[apart]
+    if len(set(t.tolist())) < 2:
+        return model
     losses = []
     for temperature in np.geomspace(0.25, 16, 61):
         p = np.clip(sigmoid(z / temperature), 1e-9, 1 - 1e-9)
         losses.append((-(t * np.log(p) + (1 - t) * np.log(1 - p)).mean(), temperature))
-    model.temperature = min(losses)[1] if len(set(t.tolist())) == 2 else 1.0
+    model.temperature = min(losses)[1]
     return model
 
 

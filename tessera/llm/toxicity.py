@@ -2,9 +2,10 @@
 
 A word, between two blanks, has the embeddings of its character n-grams (3 to 6 bytes, hashed), so words of
 no training text share them with those they resemble. The embeddings of a window of WINDOW words are
-averaged and meet a linear softmax; a document's score is that of its worst window, as a few words make a
-long text toxic. Embeddings and softmax are trained jointly: each round scores all windows of the sample,
-takes of each document its worst and a few others of clean ones, and steps through them.
+averaged and meet a linear softmax; a document's score is that of its worst window, wherever it begins, as a
+few words make a long text toxic. Embeddings and softmax are trained jointly: each round scores all windows of the sample,
+takes of each document its worst and a few others of clean ones, and steps through them; the first round takes of
+toxic documents the window whose n-grams are most theirs.
 """
 
 from __future__ import annotations
@@ -41,13 +42,16 @@ def ngrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
         yield word[ok], (mix((run[i + n] - run[i]) * down[i] + np.uint64(n)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def windows(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last word of each window, and its document. The last window of a document ends with it; no words, no window."""
+def windows(docs: np.ndarray, step: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of each window, and its document; windows begin ``step`` words apart.
+
+    The last window of a document ends with it; no words, no window.
+    """
     n = np.diff(docs)
-    count = np.maximum((n + WINDOW - 1) // WINDOW, 0)
+    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // step)), 0)
     doc = np.repeat(np.arange(len(n)), count)
     k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    first = np.minimum(k * WINDOW, np.maximum(n[doc] - WINDOW, 0))
+    first = np.minimum(k * step, np.maximum(n[doc] - WINDOW, 0))
     return docs[doc] + first, docs[doc] + np.minimum(first + WINDOW, n[doc]), doc
 
 
@@ -77,17 +81,31 @@ class Model:
             return np.full(n, self.prior)
         w = document_words(data, offsets)
         run = np.concatenate([[0.0], np.cumsum(self.word_scores(data, w.starts, w.ends))])
-        a, b, doc = windows(w.docs)
+        a, b, doc = windows(w.docs, 1)
         worst = np.full(n, self.bias)
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, doc, (run[b] - run[a]) / np.maximum(b - a, 1) + self.bias)
-        return sigmoid(np.where(np.isinf(top), worst, top))
+        if len(doc):
+            found, first = np.unique(doc, return_index=True)
+            worst[found] += np.maximum.reduceat((run[b] - run[a]) / (b - a), first)
+        return sigmoid(worst)
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.array([32], np.uint8), data]), offsets + 1
 
 
+def shared_odds(words: np.ndarray, docs: np.ndarray, y: np.ndarray, grams: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """Of each word the mean log-odds of its n-grams, from the documents of label 1 and 0 that hold their words."""
+    n, size = len(per), 1 << BUCKET_BITS
+    owner = np.repeat(np.arange(len(y)), np.diff(docs))
+    pair = np.unique(owner * n + words)
+    of_gram = np.repeat(np.arange(n), per)
+    seen = []
+    for c in (0, 1):
+        in_docs = np.bincount(pair[y[pair // n] == c] % n, minlength=n)
+        seen.append(np.log((np.bincount(grams, in_docs[of_gram], size) + 0.5) / ((y == c).sum() + 1)))
+    return np.bincount(of_gram, (seen[1] - seen[0])[grams], n) / np.maximum(per, 1)
+
+
 def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     """A model of the texts; without both labels, the share of label 1 (0 without any)."""
     size = 1 << BUCKET_BITS
@@ -118,6 +136,7 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
     a, b, doc = np.concatenate([a, single]), np.concatenate([b, single + 1]), np.concatenate([doc, len(y) + np.arange(len(single)) // 48])
     label = np.append(y, np.zeros(doc.max() + 1 - len(y), np.int64))[doc]
 
+    odds = shared_odds(words, docs, y, grams, per)
     table = rng.uniform(-1 / DIM, 1 / DIM, (size, DIM)).astype(np.float32)
     head, bias = rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     adam = Adam([table, head, bias], 0.02)
@@ -127,7 +146,10 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
         each = np.add.reduceat(gain[grams], at[:-1]) / np.maximum(per, 1)
         run = np.concatenate([[0.0], np.cumsum(each[words])])
         score = (run[b] - run[a]) / np.maximum(b - a, 1)
-        rank = np.lexsort((-score if turn else rng.random(len(score)), doc))
+        if not turn:  # where the model knows nothing yet, windows of what toxic documents share
+            run = np.concatenate([[0.0], np.cumsum(odds[words])])
+            score = np.where(label == 1, (run[b] - run[a]) / np.maximum(b - a, 1), rng.random(len(label)))
+        rank = np.lexsort((-score, doc))
         place = np.arange(len(doc)) - np.searchsorted(doc[by_doc], doc[rank])
         chosen = rank[place < np.where(label[rank] == 1, 1 if turn else 3, 3)]
         rng.shuffle(chosen)

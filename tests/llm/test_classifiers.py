@@ -1,6 +1,7 @@
 """Toxicity and quality: held-out accuracy, unseen spellings, odd rows, one label only, empty tables."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
+from tessera.llm import textkernels as kernels
 from tessera.llm.fitting import fold
 from tessera.llm.textkernels import blocks
 
@@ -84,3 +86,82 @@ def test_one_label_or_no_rows(spark, module, tables):
     assert {r.score for r in module.score_documents(docs, module.fit_on(docs, one)).collect()} == {1.0}
     assert {r.score for r in module.score_documents(docs, module.fit_on(docs, labels.limit(0))).collect()} == {0.0}
     assert module.score_documents(docs.limit(0), module.fit_on(docs.limit(0), labels)).collect() == []
+
+
+def slow_hash(word: bytes) -> int:
+    """A run of bytes as the kernels hash it before mixing, in Python's own numbers."""
+    return sum(int(kernels._values[b]) * pow(int(kernels.BASE), k, 1 << 64) for k, b in enumerate(word)) % (1 << 64)
+
+
+def mixed(v: int) -> int:
+    return int(kernels.mix(np.array([v % (1 << 64)], np.uint64))[0])
+
+
+@pytest.mark.filterwarnings("ignore:overflow")
+def test_toxicity_equals_a_slow_reading():
+    rng, draw = random.Random(11), np.random.default_rng(11)
+    model = toxicity.Model(draw.normal(size=1 << toxicity.BUCKET_BITS), -0.7)
+    texts = [prose(rng, n) for n in (1, 2, 4, 5, 9, 40)] + ["A B\tÉé x\x0bY", "", " \n"]
+    for text in texts:
+        words = [w for w in text.encode().lower().split()]
+        each = []
+        for w in words:
+            padded = b" " + w + b" "
+            grams = [padded[i : i + n] for n in toxicity.SIZES for i in range(len(padded) - n + 1)]
+            each.append(np.mean([model.gain[mixed(slow_hash(g) + len(g)) >> (64 - toxicity.BUCKET_BITS)] for g in grams]) if grams else 0.0)
+        tops = [np.mean(each[i : i + toxicity.WINDOW]) for i in range(max(1, len(each) - toxicity.WINDOW + 1))] if each else [0.0]
+        (got,) = toxicity.scores(model, pa.array([text]))
+        assert got == pytest.approx(1 / (1 + np.exp(-(max(tops) + model.bias))), abs=1e-9)
+
+
+def test_a_word_in_front_does_not_change_a_toxic_phrase():
+    model = toxicity.Model(np.random.default_rng(5).normal(size=1 << toxicity.BUCKET_BITS), 0.0)
+    phrase = "some four words here"
+    logit = lambda t: (lambda p: np.log(p / (1 - p)))(toxicity.scores(model, pa.array([t]))[0])
+    assert all(logit(" ".join(["x"] * k) + " " + phrase) >= logit(phrase) - 1e-9 for k in range(6))
+
+
+@pytest.mark.filterwarnings("ignore:overflow")
+def test_quality_equals_a_slow_reading():
+    rng, draw = random.Random(12), np.random.default_rng(12)
+    texts = [prose(rng, 30), "Ab 12 ***!! x9 ABC\té", "", "a a a"]
+    known = np.sort(np.array([mixed(slow_hash(w.encode()) + len(w.encode())) for w in ("an", "a", "***!!", "ABC", "the")], np.uint64))
+    n = 2 * quality.DIM + 4
+    layers = [draw.normal(size=s).astype(np.float32) for s in ((n, quality.HIDDEN), (quality.HIDDEN,), (quality.HIDDEN, 1), (1,))]
+    model = quality.Model(known, draw.normal(size=(len(known) + quality.SHAPES, quality.DIM)).astype(np.float32), draw.normal(size=n), np.abs(draw.normal(size=n)) + 0.5, layers, 1.7)
+    for text in texts:
+        tokens = [m.group().encode() for m in re.finditer(r"[A-Za-z0-9\u0080-\U0010ffff]+|[^A-Za-z0-9\u0080-\U0010ffff\x09-\x0d ]+", text)]
+        rows, signs, capitals = [], 0, 0
+        for t in tokens:
+            h = mixed(slow_hash(t) + len(t))
+            sign = not (t[:1].isalnum() or t[0] >= 128)
+            upper, digits = sum(65 <= b < 91 for b in t), sum(48 <= b < 58 for b in t)
+            form = 4 if sign else 3 if digits else 0 if not upper else 2 if upper == len(t) else 1
+            at = np.flatnonzero(known == np.uint64(h))
+            rows.append(int(at[0]) if len(at) else len(known) + form * 16 + min(len(t), 15))
+            signs, capitals = signs + sign, capitals + (form == 2)
+        x = np.zeros(n)
+        if tokens:
+            x[: quality.DIM] = model.vectors[rows].mean(0)
+            x[quality.DIM : 2 * quality.DIM] = model.vectors[sorted(set(rows))].mean(0)
+            x[2 * quality.DIM :] = np.log1p(len(tokens)), np.log(len(set(tokens)) / len(tokens)), signs / len(tokens), capitals / len(tokens)
+        h = np.maximum((x - model.center) / model.spread @ layers[0] + layers[1], 0)
+        (got,) = quality.scores(model, pa.array([text]))
+        assert got == pytest.approx(1 / (1 + np.exp(-(h @ layers[2] + layers[3])[0] / model.temperature)), abs=1e-3)
+
+
+def test_temperature_comes_from_documents_kept_apart():
+    rng = random.Random(13)
+    texts, y = zip(*[((junk if k % 4 == 0 else prose)(rng, 60), int(k % 4 != 0)) for k in range(200)], strict=True)
+    assert quality.fit(list(texts), np.array(y)).temperature != 1.0
+    few = quality.fit([prose(rng, 60), junk(rng, 60)], np.array([1, 0]))
+    assert few.temperature == 1.0 and np.isfinite(quality.scores(few, pa.array(["a b", None]))).all()
+
+
+def test_very_long_text_is_scored_in_stretches(monkeypatch):
+    rng = random.Random(14)
+    model = toxicity.Model(np.random.default_rng(3).normal(size=1 << toxicity.BUCKET_BITS), 0.2)
+    text = prose(rng, 3000)
+    whole = toxicity.scores(model, pa.array([text]))
+    monkeypatch.setattr(toxicity, "BLOCK", 500)
+    assert toxicity.scores(model, pa.array([text])) == pytest.approx(whole)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash
-from tessera.llm.components import components
+from tessera.llm.components import components, hop
 
 
 def brute(rows):
@@ -126,3 +126,9 @@ def test_the_largest_joined_group_meets_only_the_others(spark):
     dealt = minhash.dealt_blocks(spark.createDataFrame(rows, "key long, cls binary, label binary"))
     assert dealt.count() == 2000 + 10 * (1 + -(-2000 // minhash.BLOCK))
     assert minhash.dealt_blocks(spark.createDataFrame(rows[:2000], "key long, cls binary, label binary")).count() == 0
+
+
+def test_hop_joins_a_whole_star(spark):
+    links = [(50, k) for k in range(100) if k != 50] + [(200, 201)]
+    got = {r.node: r.label for r in hop(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(100), 0) | {200: 200, 201: 200}

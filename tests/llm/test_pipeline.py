@@ -50,3 +50,17 @@ def test_stages_in_turn(spark, sf_dir):
     out = last(spark, once, sf_dir)
     assert out.select("doc_id").distinct().count() == once.select("doc_id").distinct().count()
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 2048
+
+
+def test_clashing_names_long_texts_and_empty_tables(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = spark.createDataFrame([(5000, "ha " * 400_000, "en", "s", 1), (5001, "ha " * 400_000, "en", "s", 1)], docs.schema)
+    more = docs.limit(40).union(long).withColumns({"_id": F.lit("x"), "_text_hash": F.lit(1), "cls": F.lit(2), "label": F.lit(None).cast("int")})
+    at = more
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, sf_dir).cache()
+        assert at.columns == more.columns
+    assert at.where("doc_id IN (5000, 5001)").count() <= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, at, sf_dir).select("doc_id").distinct().count() == at.select("doc_id").distinct().count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, more.limit(0), sf_dir).count() == 0

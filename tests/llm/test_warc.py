@@ -5,6 +5,7 @@ import io
 import struct
 import zipfile
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,13 @@ def test_compressed_members_and_other_files_are_refused():
         warc.data_offset(raw, warc.members(raw, len(raw.getvalue()))[0])
     with pytest.raises(ValueError):
         warc.members(io.BytesIO(b"no archive" * 10), 100)
+
+
+def test_sql_of_pages_without_an_id(spark, tmp_path):
+    rows = [(1, "u", "p" * 200), (None, "u", "p" * 200), (2, None, "p" * 200), (3, "u", "short"), (4, "u", "short"), (None, "u", None), (1, "u", "p" * 200), (None, "u", "q" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in warc.round_trip(pages).collect()), key=str)
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages/*.parquet')")
+    assert got == sorted(con.execute(f"SELECT page_id, payload_bytes, payload_digest, record_type, refers_to FROM ({warc.ORACLE_SQL})").fetchall(), key=str)
