@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.samples import clip
+from ..sources import planes
 from ..sources.planes import WIDTH
-from .transforms import column_pass, literal
+from .transforms import column_pass, from_left, from_right, literal
 
 
 def whole(a: Column, b: Column) -> Column:
@@ -35,31 +36,34 @@ def adaptive_qp(samples: DataFrame, base: int, size: int = 32, reach: int = 6, l
     return energy.join(F.broadcast(mean)).select("brow", "bcol", clip(base + clip(step, -reach, reach), min(low, base), high).cast("bigint").alias("qp"))
 
 
-def gradients(rows: DataFrame, size: int) -> DataFrame:
-    """(brow, bcol, gx, gy): absolute differences of neighbours along and across, within each block of (y, row).
+def row_changes(rows: DataFrame, w: int, h: int) -> DataFrame:
+    """(brow, bcol, part, dx, dy): of each row's part in a w x h block the samples and the sums of absolute differences along and to the row below.
 
-    Whole rows meet the row below once; what is exploded are two sums a row and block.
+    Whole rows meet the row below once; sums are taken in the arrays, so a row gives a row for each block.
     """
     below = F.lead("row").over(Window.partitionBy("brow").orderBy("y"))
-    pairs = rows.withColumn("brow", F.floor(F.col("y") / size).cast("bigint")).withColumn("below", below)
-    at = pairs.select("brow", "row", "below", F.explode(F.sequence(F.lit(0), F.lit(WIDTH // size - 1))).alias("bcol"))
-    part = lambda c, n: F.slice(c, F.col("bcol") * size + 1, n)
+    pairs = rows.withColumn("brow", F.expr(f"y div {h}")).withColumn("below", below)
+    at = pairs.select("brow", "row", "below", F.explode(F.sequence(F.lit(0), F.lit(WIDTH // w - 1))).alias("bcol"))
+    part = lambda c, n=w, shift=0: F.slice(c, F.col("bcol") * w + 1 + shift, n)
     total = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.abs(p - q)), F.lit(0).cast("bigint"), lambda s, v: s + v)
-    dx, dy = total(part("row", size - 1), F.slice("row", F.col("bcol") * size + 2, size - 1)), F.coalesce(total(part("row", size), part("below", size)), F.lit(0))
-    return at.select("brow", F.col("bcol").cast("bigint").alias("bcol"), dx.alias("dx"), dy.alias("dy")).groupBy("brow", "bcol").agg(F.sum("dx").alias("gx"), F.sum("dy").alias("gy"))
+    dy = F.coalesce(total(part("row"), part("below")), F.lit(0))
+    return at.select("brow", F.col("bcol").cast("bigint").alias("bcol"), part("row").alias("part"), total(part("row", w - 1), part("row", w - 1, 1)).alias("dx"), dy.alias("dy"))
+
+
+def gradients(rows: DataFrame, size: int) -> DataFrame:
+    """(brow, bcol, gx, gy): absolute differences of neighbours along and across, within each block of (y, row)."""
+    return row_changes(rows, size, size).groupBy("brow", "bcol").agg(F.sum("dx").alias("gx"), F.sum("dy").alias("gy"))
 
 
 def hadamard(n: int) -> list[list[int]]:
     return [[1 - 2 * ((i & k).bit_count() % 2) for i in range(n)] for k in range(n)]
 
 
-def satd(residual: DataFrame, size: int) -> DataFrame:
-    """(brow, bcol, satd): absolute Hadamard coefficients of the residual (y, x, v), summed over each 4 x 4 or 8 x 8 block."""
-    s = block_keys(residual, size).withColumns({"j": F.col("y") % size, "i": F.col("x") % size})
-    rows = column_pass(s, ["brow", "bcol", "j"], F.col("i"), F.col("v"), hadamard(size), "t").select("brow", "bcol", "j", F.posexplode("t").alias("u", "t"))
-    both = column_pass(rows, ["brow", "bcol", "u"], F.col("j"), F.col("t"), hadamard(size), "c")
-    magnitude = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + F.abs(v))
-    return both.groupBy("brow", "bcol").agg(F.sum(magnitude).alias("satd"))
+def satd(rows: DataFrame, size: int) -> DataFrame:
+    """(brow, bcol, satd): absolute Hadamard coefficients of the residual (y, row), summed over each 4 x 4 or 8 x 8 block; one shuffle."""
+    signs = hadamard(size)
+    both = from_left(signs, from_right(F.col("block"), signs))
+    return planes.blocks(rows, size).select("brow", "bcol", F.aggregate(F.flatten(both), F.lit(0).cast("bigint"), lambda a, v: a + F.abs(v)).alias("satd"))
 
 
 def quadtree(samples: DataFrame, qp: int, top: int = 64, least: int = 8) -> DataFrame:
@@ -116,18 +120,14 @@ def best_modes(residuals: DataFrame, keys: list[str], size: int, keep: int) -> D
     return cost.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= keep)
 
 
-def oblong_split(samples: DataFrame, w: int, h: int, qp: int, least: int = 8) -> DataFrame:
-    """(brow, bcol, split) of w x h blocks, sides up to 64: none below a variance of 64 + qp**2, else the first that fits.
+def oblong_split(rows: DataFrame, w: int, h: int, qp: int, least: int = 8) -> DataFrame:
+    """(brow, bcol, split) of w x h blocks of (y, row), sides up to 64: none below a variance of 64 + qp**2, else the first that fits.
 
     Long blocks are split across their length; others across the direction of more change, from a ratio of 5 to 4 on,
     and evenly changing ones into quarters first. A split fits if no part's side falls below ``least``.
     """
-    s = samples.withColumns({"brow": F.expr(f"y div {h}"), "bcol": F.expr(f"x div {w}")})
-    right = F.lead("v").over(Window.partitionBy("brow", "bcol", "y").orderBy("x"))
-    below = F.lead("v").over(Window.partitionBy("brow", "bcol", "x").orderBy("y"))
-    d = s.select("brow", "bcol", "v", F.abs(right - F.col("v")).alias("dx"), F.abs(below - F.col("v")).alias("dy"))
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    sums = d.groupBy("brow", "bcol").agg(F.sum("v").alias("a"), F.sum(F.col("v") * F.col("v")).alias("b"), F.count("*").alias("n"), zero("dx").alias("gx"), zero("dy").alias("gy"))
+    total = lambda f: F.sum(F.aggregate("part", F.lit(0).cast("bigint"), f))
+    sums = row_changes(rows, w, h).groupBy("brow", "bcol").agg(total(lambda s, v: s + v).alias("a"), total(lambda s, v: s + v * v).alias("b"), F.sum(F.size("part")).alias("n"), F.sum("dx").alias("gx"), F.sum("dy").alias("gy"))
     fits = {"quad": min(w, h) // 2, "bin_v": w // 2, "bin_h": h // 2, "tri_v": w // 4, "tri_h": h // 4}
     first = lambda *order: F.lit(next((k for k in order if fits[k] >= least), "none"))
     across, down = first("bin_v", "tri_v", "quad", "bin_h", "tri_h"), first("bin_h", "tri_h", "quad", "bin_v", "tri_v")

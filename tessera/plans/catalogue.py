@@ -287,7 +287,7 @@ def block_gradient(spark, sf_dir):
 
 def _satd(n: int) -> None:
     signs = ", ".join(f"({k}, {i}, {v})" for k, row in enumerate(blocks.hadamard(n)) for i, v in enumerate(row))
-    QUERIES[f"satd_{n}x{n}"] = lambda spark, sf_dir: blocks.satd(planes.samples(rows_of(spark, sf_dir, n)).withColumn("v", F.col("v") - 128), n)
+    QUERIES[f"satd_{n}x{n}"] = lambda spark, sf_dir: blocks.satd(rows_of(spark, sf_dir, n).withColumn("row", F.transform("row", lambda v: v - 128)), n)
     ORACLE_SQL[f"satd_{n}x{n}"] = f"""WITH {planes.plane_sql(n)}, m(k, i, m) AS (VALUES {signs}),
     a AS (SELECT y // {n} AS brow, x // {n} AS bcol, y % {n} AS j, k AS u, sum((v - 128) * m)::BIGINT AS t FROM plane JOIN m ON i = x % {n} GROUP BY ALL),
     b AS (SELECT brow, bcol, u, k, sum(t * m)::BIGINT AS c FROM a JOIN m ON i = j GROUP BY ALL) SELECT brow, bcol, sum(abs(c))::BIGINT AS satd FROM b GROUP BY brow, bcol"""
@@ -322,7 +322,7 @@ def _oblong(name: str, w: int, h: int) -> None:
     first = lambda order: next((f"'{k}'" for k in order.split() if fits[k] >= 8), "'none'")
     across, down, even = first("bin_v tri_v quad bin_h tri_h"), first("bin_h tri_h quad bin_v tri_v"), first("quad bin_v bin_h tri_v tri_h")
     busy = across if w >= 2 * h else down if h >= 2 * w else f"CASE WHEN gx * 4 > gy * 5 THEN {across} WHEN gy * 4 > gx * 5 THEN {down} ELSE {even} END"
-    QUERIES[name] = lambda spark, sf_dir: blocks.oblong_split(planes.samples(planes.embedding_rows(spark, sf_dir)), w, h, QP)
+    QUERIES[name] = lambda spark, sf_dir: blocks.oblong_split(planes.embedding_rows(spark, sf_dir), w, h, QP)
     ORACLE_SQL[name] = f"""WITH {planes.RAW_SQL}, k AS (SELECT y // {h} AS brow, x // {w} AS bcol, y, x, v FROM raw),
     d AS (SELECT a.brow, a.bcol, a.v, abs(r.v - a.v) AS dx, abs(u.v - a.v) AS dy FROM k a LEFT JOIN k r ON r.y = a.y AND r.x = a.x + 1 AND r.bcol = a.bcol LEFT JOIN k u ON u.x = a.x AND u.y = a.y + 1 AND u.brow = a.brow),
     t AS (SELECT brow, bcol, sum(v)::BIGINT AS a, sum(v * v)::BIGINT AS q, count(*) AS n, coalesce(sum(dx), 0) AS gx, coalesce(sum(dy), 0) AS gy FROM d GROUP BY brow, bcol)
