@@ -20,8 +20,14 @@ def _parents(links: DataFrame, turn: int) -> DataFrame:
 
 
 def hop(links: DataFrame) -> DataFrame:
-    """(node, label): two nodes with one label are surely connected; connected ones may still differ."""
-    return _parents(links, 0).withColumnRenamed("parent", "label")
+    """(node, label): the smallest node within two links, so that all of a star have one label.
+
+    Two nodes with one label are surely connected; connected ones may still differ.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("to")).union(links.select(F.col("b").alias("node"), F.col("a").alias("to")))
+    near = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("label"))
+    beyond = both.join(near.select(F.col("node").alias("to"), F.col("label").alias("far")), "to").groupBy("node").agg(F.min("far").alias("far"))
+    return near.join(beyond, "node").select("node", F.least("label", "far").alias("label"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from .shared import cut
 from .textkernels import blocks, document_words, mix, shingle_sets
 
 PERMUTATIONS, ROWS, BITS, SIGMAS = 128, 4, 4, 5
-SMALL, BLOCK = 64, 256
+SMALL, BLOCK = 64, 1024
 #: So many class ids are broadcast at most, to pick their texts in the scan; more of them go by a shuffle join.
 BROADCAST_IDS = 1_000_000
 
