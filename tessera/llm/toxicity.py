@@ -95,15 +95,19 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def shared_odds(words: np.ndarray, docs: np.ndarray, y: np.ndarray, grams: np.ndarray, per: np.ndarray) -> np.ndarray:
     """Of each word the mean log-odds of its n-grams, from the documents of label 1 and 0 that hold their words."""
-    n, size = len(per), 1 << BUCKET_BITS
-    owner = np.repeat(np.arange(len(y)), np.diff(docs))
-    pair = np.unique(owner * n + words)
-    of_gram = np.repeat(np.arange(n), per)
-    seen = []
-    for c in (0, 1):
-        in_docs = np.bincount(pair[y[pair // n] == c] % n, minlength=n)
-        seen.append(np.log((np.bincount(grams, in_docs[of_gram], size) + 0.5) / ((y == c).sum() + 1)))
-    return np.bincount(of_gram, (seen[1] - seen[0])[grams], n) / np.maximum(per, 1)
+    n, size, at = len(per), 1 << BUCKET_BITS, np.concatenate([[0], np.cumsum(per)])
+    pair = np.unique(np.repeat(np.arange(len(y)), np.diff(docs)) * n + words)
+    in_docs = [np.bincount(pair[y[pair // n] == c] % n, minlength=n) for c in (0, 1)]
+    counts, out = np.full((2, size), 0.5), np.zeros(n)
+    stretches = [(lo, min(n, lo + 20_000)) for lo in range(0, n, 20_000)]  # there are some 25 n-grams a word
+    for lo, hi in stretches:
+        for c in (0, 1):
+            counts[c] += np.bincount(grams[at[lo] : at[hi]], np.repeat(in_docs[c][lo:hi], per[lo:hi]), size)
+    odds = np.log(counts[1] / ((y == 1).sum() + 1)) - np.log(counts[0] / ((y == 0).sum() + 1))
+    for lo, hi in stretches:
+        own = np.repeat(np.arange(hi - lo), per[lo:hi])
+        out[lo:hi] = np.bincount(own, odds[grams[at[lo] : at[hi]]], hi - lo) / np.maximum(per[lo:hi], 1)
+    return out
 
 
 def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Model:
