@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, lm, minhash, packing, quality, quality_rules, sharding, toxicity, warc
+from . import ann, bpe, lm, minhash, packing, quality, quality_rules, resampling, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_ann": ann.query,
     "op10_minhash": minhash.query,
+    "op11_dsir": resampling.query,
 }
 
 ORACLE_SQL = {
     "op2_sharding": sharding.oracle_sql(40),
     "op5_warc": warc.ORACLE_SQL,
+    "op11_dsir": resampling.ORACLE_SQL,
 }
