@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, lm, minhash, packing, quality, quality_rules, resampling, sharding, toxicity, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
@@ -16,10 +15,12 @@ QUERIES = {
     "op9_ann": ann.query,
     "op10_minhash": minhash.query,
     "op11_dsir": resampling.query,
+    "op12_codes": vector_codes.query,
 }
 
 ORACLE_SQL = {
     "op2_sharding": sharding.oracle_sql(40),
     "op5_warc": warc.ORACLE_SQL,
     "op11_dsir": resampling.ORACLE_SQL,
+    "op12_codes": vector_codes.oracle_sql(),
 }

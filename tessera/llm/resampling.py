@@ -33,12 +33,12 @@ def count_sql(low: int, high: int, buckets: int) -> str:
     """Per row of ``slice`` (r, text): its words, its n-grams, and (bucket, n) of their hashes."""
     grams = ["SELECT r, word AS gram FROM w"] if low == 1 else []
     for k in range(max(low, 2), high + 1):
-        ahead = f"OVER (PARTITION BY r ORDER BY at ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)"
+        ahead = f"OVER (PARTITION BY r ORDER BY place ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING)"
         grams.append(f"SELECT r, gram FROM (SELECT r, string_agg(word, ' ') {ahead} AS gram, count(*) {ahead} AS k FROM w) WHERE k = {k}")
-    at = ", generate_subscripts(words, 1) AS at" if high > 1 else ""
+    place = ", generate_subscripts(words, 1) AS place" if high > 1 else ""
     return f"""
     WITH l AS (SELECT r, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{WORD}') AS words FROM slice),
-         w AS (SELECT r, unnest(words) AS word{at} FROM l),
+         w AS (SELECT r, unnest(words) AS word{place} FROM l),
          c AS (SELECT r, gram, count(*) AS n FROM ({" UNION ALL ".join(grams)}) GROUP BY r, gram),
          v AS (SELECT gram, crc32(encode(gram)) % {buckets} AS bucket FROM (SELECT DISTINCT gram FROM c)),
          b AS (SELECT r, bucket, sum(n)::BIGINT AS n FROM c JOIN v USING (gram) GROUP BY r, bucket),
