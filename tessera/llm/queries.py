@@ -16,6 +16,7 @@ QUERIES = {
     "op10_minhash": minhash.query,
     "op11_dsir": resampling.query,
     "op12_codes": vector_codes.query,
+    "op13_html": html_text.query,
 }
 
 ORACLE_SQL = {
