@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import ann, bpe, html_text, lm, minhash, packing, quality, quality_rules, resampling, sharding, toxicity, vector_codes, warc
 
 QUERIES = {
     "op1_bpe": bpe.query,
