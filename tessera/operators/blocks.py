@@ -66,32 +66,29 @@ def satd(rows: DataFrame, size: int) -> DataFrame:
     return planes.blocks(rows, size).select("brow", "bcol", F.aggregate(F.flatten(both), F.lit(0).cast("bigint"), lambda a, v: a + F.abs(v)).alias("satd"))
 
 
-def quadtree(samples: DataFrame, qp: int, top: int = 64, least: int = 8) -> DataFrame:
-    """(x, y, size): leaves of a quadtree that splits blocks of more variance than 64 + qp**2, down to ``least``.
+def quadtree(rows: DataFrame, qp: int, top: int = 64, least: int = 8) -> DataFrame:
+    """(x, y, size): leaves of a quadtree of (y, row) that splits blocks of more variance than 64 + qp**2, down to ``least``.
 
-    One pass a level over block sums: sums of a level come from those of the level below, not from the samples.
+    Each row gives a sum for every ``least`` samples, and these are dealt once, by the blocks of size ``top``. From
+    there on all levels follow within the partitions: a level's sums, and the leaves below it, come from its parts.
     """
-    threshold, size = 64 + qp * qp, least
-    sums = block_keys(samples, least).groupBy("brow", "bcol").agg(F.sum("v").alias("a"), F.sum(F.col("v") * F.col("v")).alias("b"), F.count("*").alias("n"))
-    leaves, splits = None, None
-    levels = {}
-    while size <= top:
-        mean = F.expr("a div n")
-        levels[size] = sums.select("brow", "bcol", (F.expr("b div n") - mean * mean > threshold).alias("busy"))
-        sums = sums.groupBy(F.expr("brow div 2").alias("brow"), F.expr("bcol div 2").alias("bcol")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+    threshold, n = 64 + qp * qp, WIDTH // least
+    at = rows.select("y", "row", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bcol"))
+    total = lambda f: F.aggregate(F.slice("row", F.col("bcol") * least + 1, least), F.lit(0).cast("bigint"), f)
+    cells = at.select(
+        F.expr(f"y div {top}").alias("trow"), F.expr(f"bcol * {least} div {top}").alias("tcol"), F.expr(f"y div {least}").alias("brow"), F.col("bcol").cast("bigint").alias("bcol"),
+        total(lambda s, v: s + v).alias("a"), total(lambda s, v: s + v * v).alias("b"), F.lit(least).alias("n"),
+    )
+    sums = lambda *more: (F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("n").alias("n"), *more)
+    itself = lambda size: F.array(F.struct((F.col("bcol") * size).alias("x"), (F.col("brow") * size).alias("y"), F.lit(size).cast("bigint").alias("size")))
+    blocks = cells.repartition("trow", "tcol").groupBy("trow", "tcol", "brow", "bcol").agg(*sums()).withColumn("leaves", itself(least))
+    size, mean = least, F.expr("a div n")
+    while size < top:
         size *= 2
-    open_blocks = levels[top].select("brow", "bcol", "busy")
-    size = top
-    while True:
-        stop = open_blocks if size == least else open_blocks.where(~F.col("busy"))
-        found = stop.select((F.col("bcol") * size).alias("x"), (F.col("brow") * size).alias("y"), F.lit(size).cast("bigint").alias("size"))
-        leaves = found if leaves is None else leaves.union(found)
-        if size == least:
-            return leaves
-        size //= 2
-        splits = open_blocks.where("busy").select(F.col("brow").alias("py"), F.col("bcol").alias("px"))
-        child = levels[size]
-        open_blocks = child.join(splits, (F.expr("brow div 2") == F.col("py")) & (F.expr("bcol div 2") == F.col("px"))).select("brow", "bcol", "busy")
+        blocks = blocks.groupBy("trow", "tcol", F.expr("brow div 2").alias("brow"), F.expr("bcol div 2").alias("bcol")).agg(*sums(F.flatten(F.collect_list("leaves")).alias("below")))
+        busy = F.expr("b div n") - mean * mean > threshold
+        blocks = blocks.select("trow", "tcol", "brow", "bcol", "a", "b", "n", F.when(busy, F.col("below")).otherwise(itself(size)).alias("leaves"))
+    return blocks.select(F.inline("leaves"))
 
 
 def scan_table(spark, w: int, h: int, order: list[tuple[int, int]]) -> DataFrame:

@@ -313,7 +313,7 @@ def psnr(spark, sf_dir):
     SELECT bcol * size AS x, brow * size AS y, size::BIGINT AS size FROM t WHERE size = 8 OR NOT busy""",
 )
 def split_quadtree(spark, sf_dir):
-    return blocks.quadtree(planes.samples(planes.embedding_rows(spark, sf_dir)), QP)
+    return blocks.quadtree(planes.embedding_rows(spark, sf_dir), QP)
 
 
 def _oblong(name: str, w: int, h: int) -> None:
