@@ -2,19 +2,14 @@
 
 A line across an edge is an array of sixteen samples, eight of each side; p0 and q0 meet at the edge. A segment is
 four lines side by side, and its first and last line decide for all. Leaves are at least eight samples wide and
-high, so that edges lie eight apart and what one changes no other edge of the same direction reads.
+high, so that edges lie eight apart and what one changes no other edge of the same direction reads. Expressions are SQL text, as Spark parses one of this size far sooner than it is built call by call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.samples import clip
-from .transforms import literal
-
 # Strength by quantizer plus 2, for 10-bit samples.
 STRENGTH = (
     0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 3, 4, 4, 4, 4, 5, 5, 5, 5, 7, 7, 8, 9, 10, 10, 11, 13, 14, 15, 17, 19, 21, 24, 25, 29, 33, 36, 41, 45, 51, 57, 64, 71, 80, 89, 100, 112, 125,
@@ -30,129 +25,107 @@ def threshold(qp: int) -> int:
     return 0 if qp < 16 else qp - 10 if qp <= 28 else 2 * qp - 38
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.transform(F.array(value), body)[0]
+def let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is worked out once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
 
+def p(line: str, k: int) -> str:
+    return f"{line}[{7 - k}]"
 
-def p(line: Column, k: int) -> Column:
-    return line[7 - k]
 
+def q(line: str, k: int) -> str:
+    return f"{line}[{8 + k}]"
 
-def q(line: Column, k: int) -> Column:
-    return line[8 + k]
 
+def half(v: str, by: int = 1) -> str:
+    return f"shiftright({v}, {by})"
 
-def half(v: Column, by: int = 1) -> Column:
-    return F.shiftright(v, by)
 
+def clip(v: str, low: str | int, high: str | int) -> str:
+    return f"least({high}, greatest({low}, {v}))"
 
-def bend(side, line: Column, k: int = 0) -> Column:
-    return F.abs(side(line, k + 2) - 2 * side(line, k + 1) + side(line, k))
 
+def bend(side, line: str, k: int = 0) -> str:
+    return f"abs({side(line, k + 2)} - 2 * {side(line, k + 1)} + {side(line, k)})"
 
-def strong(line: Column, d: Column, t: Column, long_p: Column, long_q: Column) -> Column:
+
+def strong(line: str, d: str, long_p: str, long_q: str) -> str:
     """Whether a line is flat enough on both sides for the strong filter, or the long one if a side is long."""
-    beta, tc = t["beta"], t["tc"]
 
-    def flat(side, is_long: Column) -> Column:
-        near = F.abs(side(line, 3) - side(line, 0))
-        far = F.abs(side(line, 4) - side(line, 5) - side(line, 6) + side(line, 7))
-        return F.when(is_long, half(near + far + F.abs(side(line, 3) - side(line, 7)) + 1)).otherwise(near)
+    def flat(side, is_long: str) -> str:
+        near = f"abs({side(line, 3)} - {side(line, 0)})"
+        far = f"abs({side(line, 4)} - {side(line, 5)} - {side(line, 6)} + {side(line, 7)})"
+        return near if is_long == "false" else f"if({is_long}, {half(f'{near} + {far} + abs({side(line, 3)} - {side(line, 7)}) + 1')}, {near})"
 
-    any_long = long_p | long_q
-    within = flat(p, long_p) + flat(q, long_q) < F.when(any_long, half(3 * beta, 5)).otherwise(half(beta, 3))
-    return within & (d < F.when(any_long, half(beta, 4)).otherwise(half(beta, 2))) & (F.abs(p(line, 0) - q(line, 0)) < half(5 * tc + 1))
+    some = f"{long_p} OR {long_q}"
+    within = f"{flat(p, long_p)} + {flat(q, long_q)} < if({some}, {half('3 * t.beta', 5)}, {half('t.beta', 3)})"
+    return f"({within} AND {d} < if({some}, {half('t.beta', 4)}, {half('t.beta', 2)}) AND abs({p(line, 0)} - {q(line, 0)}) < {half('5 * t.tc + 1')})"
 
 
-def decided(first: Column, last: Column, size_p: Column, size_q: Column, qp: Column, top: Column) -> Column:
-    """(mode, tc, long_p, long_q, more_p, more_q) of a segment; mode 0: as it is, 1: weak, 2: strong, 3: long.
+def decided(first: str, last: str, size_p: str, size_q: str, qp: str, top: str) -> tuple[str, str]:
+    """The facts ``t`` of a segment, and from them (mode, tc, long_p, long_q, more_p, more_q); mode 0: as it is, 1: weak, 2: strong, 3: long.
 
     ``top``: the edge is the upper one of a coding tree unit, above which no more than three samples change.
     """
-    strength = half(F.element_at(literal(list(STRENGTH)), (clip(qp + 2, 0, len(STRENGTH) - 1) + 1).cast("int")) + 2, 2)
-    beta = F.element_at(literal([threshold(k) for k in range(64)]), (clip(qp, 0, 63) + 1).cast("int"))
-    small = (size_p <= 4) | (size_q <= 4)
-    bends = lambda side, k: F.struct(*[bend(side, line, k).alias(n) for n, line in (("a", first), ("b", last))])
-    facts = F.struct(
-        strength.alias("tc"), beta.alias("beta"), (~small).alias("wide"), (~small & (size_p >= 32) & ~top).alias("long_p"), (~small & (size_q >= 32)).alias("long_q"),
-        bends(p, 0).alias("p"), bends(q, 0).alias("q"), bends(p, 3).alias("pp"), bends(q, 3).alias("qq"),
-    )
-
-    def choose(t: Column) -> Column:
-        longer = lambda near, far, is_long, n: F.when(is_long, half(t[near][n] + t[far][n] + 1)).otherwise(t[near][n])
-        d_long = {n: longer("p", "pp", t["long_p"], n) + longer("q", "qq", t["long_q"], n) for n in "ab"}
-        d = {n: t["p"][n] + t["q"][n] for n in "ab"}
-        no = F.lit(False)
-        use_long = (t["long_p"] | t["long_q"]) & (d_long["a"] + d_long["b"] < t["beta"]) & strong(first, 2 * d_long["a"], t, t["long_p"], t["long_q"]) & strong(last, 2 * d_long["b"], t, t["long_p"], t["long_q"])
-        use_strong = t["wide"] & strong(first, 2 * d["a"], t, no, no) & strong(last, 2 * d["b"], t, no, no)
-        side = half(t["beta"] + half(t["beta"]), 3)
-        mode = F.when(use_long, 3).when(d["a"] + d["b"] >= t["beta"], 0).when(use_strong, 2).otherwise(1)
-        more = lambda c: t["wide"] & (t[c]["a"] + t[c]["b"] < side)
-        return F.struct(mode.alias("mode"), t["tc"].alias("tc"), t["long_p"].alias("long_p"), t["long_q"].alias("long_q"), more("p").alias("more_p"), more("q").alias("more_q"))
-
-    return let(facts, choose)
-
-
-def near(v: Column, new: Column, reach: Column) -> Column:
-    return F.least(F.greatest(new, v - reach), v + reach)
-
-
-def weak_line(line: Column, d: Column) -> Column:
-    p0, p1, p2, q0, q1, q2 = (side(line, k) for side in (p, q) for k in range(3))
-    tc = d["tc"]
-
-    def moved(delta: Column) -> Column:
-        step = clip(delta, -tc, tc)
-        second = lambda on, a, b, c, sign: F.when(on, clip(b + clip(half(half(a + c + 1) - b + sign * step), -half(tc), half(tc)), 0, 255)).otherwise(b)
-        new = F.concat(F.slice(line, 1, 6), F.array(second(d["more_p"], p2, p1, p0, 1), clip(p0 + step, 0, 255), clip(q0 - step, 0, 255), second(d["more_q"], q2, q1, q0, -1)), F.slice(line, 11, 6))
-        return F.when(F.abs(delta) < 10 * tc, new).otherwise(line)
-
-    return let(half(9 * (q0 - p0) - 3 * (q1 - p1) + 8, 4), moved)
-
-
-def strong_line(line: Column, d: Column) -> Column:
-    p0, p1, p2, p3, q0, q1, q2, q3 = (side(line, k) for side in (p, q) for k in range(4))
-    tc = d["tc"]
+    strengths, thresholds = ", ".join(map(str, STRENGTH)), ", ".join(str(threshold(k)) for k in range(64))
+    wide = f"({size_p} > 4 AND {size_q} > 4)"
+    bends = "".join(f", struct({bend(side, first, k)} AS a, {bend(side, last, k)} AS b) AS {name}" for name, side, k in (("p", p, 0), ("q", q, 0), ("pp", p, 3), ("qq", q, 3)))
+    facts = f"""struct({half(f"array({strengths})[cast({clip(f'{qp} + 2', 0, len(STRENGTH) - 1)} AS int)] + 2", 2)} AS tc, array({thresholds})[cast({clip(qp, 0, 63)} AS int)] AS beta, {wide} AS wide,
+        {wide} AND {size_p} >= 32 AND NOT {top} AS long_p, {wide} AND {size_q} >= 32 AS long_q{bends})"""
+    longer = lambda s, n: f"if(t.long_{s}, {half(f't.{s}.{n} + t.{s}{s}.{n} + 1')}, t.{s}.{n})"
+    d_long, d = {n: f"({longer('p', n)} + {longer('q', n)})" for n in "ab"}, {n: f"(t.p.{n} + t.q.{n})" for n in "ab"}
+    lines = {"a": first, "b": last}
+    use_long = f"(t.long_p OR t.long_q) AND {d_long['a']} + {d_long['b']} < t.beta AND {' AND '.join(strong(lines[n], f'2 * {d_long[n]}', 't.long_p', 't.long_q') for n in 'ab')}"
+    use_strong = f"t.wide AND {' AND '.join(strong(lines[n], f'2 * {d[n]}', 'false', 'false') for n in 'ab')}"
+    more = lambda s: f"t.wide AND t.{s}.a + t.{s}.b < {half('t.beta + ' + half('t.beta'), 3)}"
+    mode = f"CASE WHEN {use_long} THEN 3 WHEN {d['a']} + {d['b']} >= t.beta THEN 0 WHEN {use_strong} THEN 2 ELSE 1 END"
+    return facts, f"struct({mode} AS mode, cast(t.tc AS bigint) AS tc, t.long_p AS long_p, t.long_q AS long_q, {more('p')} AS more_p, {more('q')} AS more_q)"
+
+
+def near(v: str, new: str, reach: str) -> str:
+    return f"least(greatest({new}, {v} - {reach}), {v} + {reach})"
+
+
+def weak_line(a: str) -> str:
+    p0, p1, p2, q0, q1, q2 = (side(a, k) for side in (p, q) for k in range(3))
+    step = clip("e", "-d.tc", "d.tc")
+    second = lambda on, x, y, z, sign: f"if({on}, {clip(f'{y} + ' + clip(half(f'{half(f"{x} + {z} + 1")} - {y} {sign} {step}'), '-' + half('d.tc'), half('d.tc')), 0, 255)}, {y})"
+    new = f"concat(slice({a}, 1, 6), array({second('d.more_p', p2, p1, p0, '+')}, {clip(f'{p0} + {step}', 0, 255)}, {clip(f'{q0} - {step}', 0, 255)}, {second('d.more_q', q2, q1, q0, '-')}), slice({a}, 11, 6))"
+    return let("e", half(f"9 * ({q0} - {p0}) - 3 * ({q1} - {p1}) + 8", 4), f"if(abs(e) < 10 * d.tc, {new}, {a})")
+
+
+def strong_line(a: str) -> str:
+    p0, p1, p2, p3, q0, q1, q2, q3 = (side(a, k) for side in (p, q) for k in range(4))
     mid = [
-        near(p2, half(2 * p3 + 3 * p2 + p1 + p0 + q0 + 4, 3), tc), near(p1, half(p2 + p1 + p0 + q0 + 2, 2), 2 * tc), near(p0, half(p2 + 2 * p1 + 2 * p0 + 2 * q0 + q1 + 4, 3), 3 * tc),
-        near(q0, half(p1 + 2 * p0 + 2 * q0 + 2 * q1 + q2 + 4, 3), 3 * tc), near(q1, half(p0 + q0 + q1 + q2 + 2, 2), 2 * tc), near(q2, half(p0 + q0 + q1 + 3 * q2 + 2 * q3 + 4, 3), tc),
+        near(p2, half(f"2 * {p3} + 3 * {p2} + {p1} + {p0} + {q0} + 4", 3), "d.tc"), near(p1, half(f"{p2} + {p1} + {p0} + {q0} + 2", 2), "2 * d.tc"), near(p0, half(f"{p2} + 2 * {p1} + 2 * {p0} + 2 * {q0} + {q1} + 4", 3), "3 * d.tc"),
+        near(q0, half(f"{p1} + 2 * {p0} + 2 * {q0} + 2 * {q1} + {q2} + 4", 3), "3 * d.tc"), near(q1, half(f"{p0} + {q0} + {q1} + {q2} + 2", 2), "2 * d.tc"), near(q2, half(f"{p0} + {q0} + {q1} + 3 * {q2} + 2 * {q3} + 4", 3), "d.tc"),
     ]
-    return F.concat(F.slice(line, 1, 5), F.array(*mid), F.slice(line, 12, 5))
+    return f"concat(slice({a}, 1, 5), array({', '.join(mid)}), slice({a}, 12, 5))"
 
 
-def long_line(line: Column, n_p: int, n_q: int) -> Callable[[Column], Column]:
+def long_line(a: str, n_p: int, n_q: int) -> str:
     """The long filter that changes ``n_p`` and ``n_q`` samples: towards a middle value, by distance.
 
     The samples of side p are counted from q0 on, so q0 is moved for both sides, first for p, and the outermost p stays.
     """
     if n_p == n_q:
-        middle = 2 * (p(line, 0) + q(line, 0)) + sum(p(line, k) + q(line, k) for k in range(1, 7))
+        middle = f"2 * ({p(a, 0)} + {q(a, 0)}) + " + " + ".join(side(a, k) for k in range(1, 7) for side in (p, q))
     else:
         longer, shorter = (p, q) if n_p > n_q else (q, p)
-        middle = 2 * longer(line, 0) + 3 * shorter(line, 0) + 3 * shorter(line, 1) + 2 * shorter(line, 2) + sum(longer(line, k) for k in range(1, 7))
-    refs = F.struct(half(middle + 8, 4).alias("mid"), half(p(line, n_p - 2) + p(line, n_p - 1) + 1).alias("p"), half(q(line, n_q - 1) + q(line, n_q) + 1).alias("q"))
-
-    def with_strength(d: Column) -> Column:
-        def filled(r: Column) -> Column:
-            drawn = lambda v, side, n, k: near(v, half(r["mid"] * WEIGHTS[n][k] + r[side] * (64 - WEIGHTS[n][k]) + 32, 6), half(d["tc"] * REACHES[n][k]))
-            before = [drawn(p(line, k - 1), "p", n_p, k) for k in range(n_p - 1, 0, -1)]
-            after = [drawn(drawn(q(line, 0), "p", n_p, 0), "q", n_q, 0), *(drawn(q(line, k), "q", n_q, k) for k in range(1, n_q))]
-            return F.concat(F.slice(line, 1, 9 - n_p), F.array(*before, *after), F.slice(line, 9 + n_q, 8 - n_q))
-
-        return let(refs, filled)
+        middle = f"2 * {longer(a, 0)} + 3 * {shorter(a, 0)} + 3 * {shorter(a, 1)} + 2 * {shorter(a, 2)} + " + " + ".join(longer(a, k) for k in range(1, 7))
+    refs = f"struct({half(f'{middle} + 8', 4)} AS mid, {half(f'{p(a, n_p - 2)} + {p(a, n_p - 1)} + 1')} AS p, {half(f'{q(a, n_q - 1)} + {q(a, n_q)} + 1')} AS q)"
+    drawn = lambda v, side, n, k: near(v, half(f"r.mid * {WEIGHTS[n][k]} + r.{side} * {64 - WEIGHTS[n][k]} + 32", 6), half(f"d.tc * {REACHES[n][k]}"))
+    before = [drawn(p(a, k - 1), "p", n_p, k) for k in range(n_p - 1, 0, -1)]
+    after = [drawn(drawn(q(a, 0), "p", n_p, 0), "q", n_q, 0), *(drawn(q(a, k), "q", n_q, k) for k in range(1, n_q))]
+    return let("r", refs, f"concat(slice({a}, 1, {9 - n_p}), array({', '.join(before + after)}), slice({a}, {9 + n_q}, {8 - n_q}))")
 
-    return with_strength
 
-
-def smoothed_line(line: Column, d: Column) -> Column:
-    long = F.when(d["long_p"] & d["long_q"], long_line(line, 7, 7)(d)).when(d["long_p"], long_line(line, 7, 3)(d)).otherwise(long_line(line, 3, 7)(d))
-    return F.when(d["mode"] == 0, line).when(d["mode"] == 1, weak_line(line, d)).when(d["mode"] == 2, strong_line(line, d)).otherwise(long)
-
-
-def smoothed(lines: Column, size_p: Column, size_q: Column, qp: Column, top: Column) -> Column:
-    """The four lines of a segment after smoothing."""
-    return let(decided(lines[0], lines[3], size_p, size_q, qp, top), lambda d: F.transform(lines, lambda line: smoothed_line(line, d)))
+def smoothed(lines: str, size_p: str, size_q: str, qp: str, top: str) -> str:
+    """The four lines of a segment after smoothing, as an expression."""
+    facts, choice = decided("z[0]", "z[3]", size_p, size_q, qp, top)
+    line = f"CASE d.mode WHEN 0 THEN a WHEN 1 THEN {weak_line('a')} WHEN 2 THEN {strong_line('a')} ELSE CASE WHEN d.long_p AND d.long_q THEN {long_line('a', 7, 7)} WHEN d.long_p THEN {long_line('a', 7, 3)} ELSE {long_line('a', 3, 7)} END END"
+    return let("z", lines, let("t", facts, let("d", choice, f"transform(z, a -> {line})")))
 
 
 def covers(leaves: DataFrame) -> DataFrame:
@@ -161,55 +134,33 @@ def covers(leaves: DataFrame) -> DataFrame:
     return spread.groupBy("b").agg(F.sort_array(F.collect_list(F.struct("x", "size", "y", "qp"))).alias("cover"))
 
 
-def upright(rows: Column, cover: Column) -> Column:
-    """Eight rows after the edges between the leaves of ``cover``."""
-
-    def edge(i: Column) -> Column:
-        left, right = cover[i - 1], cover[i]
-        mean = half(left["qp"] + right["qp"] + 1)
-        four = lambda k: smoothed(F.transform(F.slice(rows, k, 4), lambda r: F.slice(r, right["x"].cast("int") - 7, 16)), left["size"], right["size"], mean, F.lit(False))
-        return F.concat(four(1), four(5))
-
-    def rebuilt(edges: Column) -> Column:
-        def row(r: Column, k: Column) -> Column:
-            def part(leaf: Column, i: Column) -> Column:
-                x, size = leaf["x"].cast("int"), leaf["size"].cast("int")
-                n = F.least(F.lit(8), half(size))
-                first = F.when(i > 0, F.slice(edges[i - 1][k], F.lit(9), n)).otherwise(F.slice(r, x + 1, n))
-                last = F.when(i < F.size(cover) - 1, F.slice(edges[i][k], 9 - n, n)).otherwise(F.slice(r, x + size - n + 1, n))
-                return F.concat(first, F.slice(r, x + n + 1, size - 2 * n), last)
+def upright() -> str:
+    """Eight ``rows`` after the edges between the leaves of ``cover``.
 
-            return F.flatten(F.transform(cover, part))
-
-        return F.transform(rows, row)
-
-    edges = F.when(F.size(cover) > 1, F.transform(F.sequence(F.lit(1), F.size(cover) - 1), edge)).otherwise(F.array().cast("array<array<array<bigint>>>"))
-    return let(edges, rebuilt)
-
-
-def level(own: Column, above: Column, below: Column, number: Column, ctu: int, width: int) -> Column:
-    """Eight rows after the edges at their top and bottom; ``above`` and ``below`` are null beyond the picture."""
-
-    def at(part: Column, x: Column) -> Column:
-        return F.filter(part["cover"], lambda c: (c["x"] <= x) & (x < c["x"] + c["size"]))[0]
-
-    def columns(x: Column) -> Column:
-        def across(upper: Column, lower: Column, number: Column) -> Column:
-            lines = F.transform(F.sequence(x, x + 3), lambda c: F.concat(*[F.transform(part["rows"], lambda r: r[c.cast("int")]) for part in (upper, lower)]))
-            over, under = at(upper, x), at(lower, x)
-            return F.when(under["y"] == number * 8, smoothed(lines, over["size"], under["size"], half(over["qp"] + under["qp"] + 1), number * 8 % ctu == 0))
-
-        def joined(e: Column) -> Column:
-            plain = F.transform(F.sequence(x, x + 3), lambda c: F.transform(own["rows"], lambda r: r[c.cast("int")]))
-            upper, lower = F.transform(e["top"], lambda v: F.slice(v, 9, 8)), F.transform(e["bottom"], lambda v: F.slice(v, 1, 8))
-            both = F.zip_with(upper, lower, lambda a, b: F.concat(F.slice(a, 1, 4), F.slice(b, 5, 4)))
-            return F.when(e["top"].isNotNull() & e["bottom"].isNotNull(), both).when(e["top"].isNotNull(), upper).when(e["bottom"].isNotNull(), lower).otherwise(plain)
-
-        top, bottom = F.when(above.isNotNull(), across(above, own, number)), F.when(below.isNotNull(), across(own, below, number + 1))
-        return let(F.struct(top.alias("top"), bottom.alias("bottom")), joined)
-
-    lines = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 4), F.lit(4)), columns))
-    return let(lines, lambda every: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.transform(every, lambda line: line[k])))
+    Each edge gives its eight lines of sixteen; a leaf's samples come from the edge at its left, from the row, and from the edge at its right.
+    """
+    mean = half("cover[i - 1].qp + cover[i].qp + 1")
+    lines = "transform(slice(rows, 4 * g + 1, 4), w -> slice(w, cast(cover[i].x AS int) - 7, 16))"
+    edges = f"if(size(cover) > 1, transform(sequence(1, size(cover) - 1), i -> flatten(transform(array(0, 1), g -> {smoothed(lines, 'cover[i - 1].size', 'cover[i].size', mean, 'false')}))), array())"
+    x, size, n = "cast(c.x AS int)", "cast(c.size AS int)", "cast(least(8, c.size div 2) AS int)"
+    left, right = f"if(i > 0, slice(edges[i - 1][k], 9, {n}), slice(r, {x} + 1, {n}))", f"if(i < size(cover) - 1, slice(edges[i][k], 9 - {n}, {n}), slice(r, {x} + {size} - {n} + 1, {n}))"
+    rebuilt = f"transform(rows, (r, k) -> flatten(transform(cover, (c, i) -> concat({left}, slice(r, {x} + {n} + 1, {size} - 2 * {n}), {right}))))"
+    return let("edges", edges, rebuilt)
+
+
+def level(ctu: int, width: int) -> str:
+    """Eight rows of ``own`` after the edges at their top and bottom; ``above`` and ``below`` are null beyond the picture."""
+    at = lambda part: f"filter({part}.cover, c -> c.x <= x AND x < c.x + c.size)[0]"
+    # The edges as an array of two, so that their filter is written once: its parts, and the number of the block below it.
+    pairs = "array(struct(above AS upper, own AS lower, b AS number), struct(own AS upper, below AS lower, b + 1 AS number))"
+    lines = "transform(sequence(x, x + 3), c -> concat(transform(v.upper.rows, w -> w[c]), transform(v.lower.rows, w -> w[c])))"
+    edge = let("o", f"struct({at('v.upper')} AS upper, {at('v.lower')} AS lower)", f"if(o.lower.y = v.number * 8, {smoothed(lines, 'o.upper.size', 'o.lower.size', half('o.upper.qp + o.lower.qp + 1'), f'(v.number * 8 % {ctu} = 0)')}, NULL)")
+    both = f"transform({pairs}, v -> if(v.upper IS NULL OR v.lower IS NULL, NULL, {edge}))"
+    upper, lower = "transform(e[0], w -> slice(w, 9, 8))", "transform(e[1], w -> slice(w, 1, 8))"
+    plain = "transform(sequence(x, x + 3), c -> transform(own.rows, w -> w[c]))"
+    joined = f"CASE WHEN e[0] IS NOT NULL AND e[1] IS NOT NULL THEN zip_with({upper}, {lower}, (m, n) -> concat(slice(m, 1, 4), slice(n, 5, 4))) WHEN e[0] IS NOT NULL THEN {upper} WHEN e[1] IS NOT NULL THEN {lower} ELSE {plain} END"
+    columns = f"flatten(transform(sequence(0, {width - 4}, 4), x -> {let('e', both, joined)}))"
+    return let("every", columns, "transform(sequence(0, 7), k -> transform(every, w -> w[k]))")
 
 
 def deblocked(rows: DataFrame, leaves: DataFrame, width: int, ctu: int = 128) -> DataFrame:
@@ -219,9 +170,9 @@ def deblocked(rows: DataFrame, leaves: DataFrame, width: int, ctu: int = 128) ->
     """
     blocks = rows.groupBy(F.expr("y div 8").alias("b")).agg(F.sort_array(F.collect_list(F.struct("y", "row"))).alias("rows"))
     one = blocks.join(covers(leaves), "b").select("b", F.transform("rows", lambda r: r["row"]).alias("rows"), "cover")
-    one = one.select("b", F.struct(upright(F.col("rows"), F.col("cover")).alias("rows"), "cover").alias("part"))
+    one = one.select("b", F.struct(F.expr(upright()).alias("rows"), "cover").alias("part"))
     sent = one.select("b", "part", F.explode(F.array(*map(F.lit, (-1, 0, 1)))).alias("to"))
     place = lambda to: F.first(F.when(F.col("to") == to, F.col("part")), ignorenulls=True)
     near = sent.groupBy((F.col("b") + F.col("to")).alias("b")).agg(place(0).alias("own"), place(1).alias("above"), place(-1).alias("below")).where("own IS NOT NULL")
-    done = near.select("b", F.posexplode(level(F.col("own"), F.col("above"), F.col("below"), F.col("b"), ctu, width)).alias("k", "row"))
+    done = near.select("b", F.posexplode(F.expr(level(ctu, width))).alias("k", "row"))
     return done.select((F.col("b") * 8 + F.col("k")).alias("y"), "row")
