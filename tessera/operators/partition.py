@@ -5,6 +5,8 @@ A node is a dict of columns: x, y, w, h, qt_depth, mt_depth, bt_depth, implicit,
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,13 +15,27 @@ SPLITS = ("none", "quad", "bin_h", "bin_v", "tri_h", "tri_v")
 MIN_QT, MAX_DEPTH, MAX_BT, MAX_TT, MAX_TB, MIN_SIDE = 16, 2, 32, 32, 64, 4
 
 
-def forced_split(n: dict[str, Column], width: int, height: int) -> Column:
+class Limits(NamedTuple):
+    """What one tree of a picture allows."""
+
+    min_qt: int = MIN_QT
+    depth: int = MAX_DEPTH
+    max_bt: int = MAX_BT
+    max_tt: int = MAX_TT
+
+
+LUMA = Limits()
+#: The chroma tree beside a luma tree of its own: whole blocks of 64, split at the picture's edges only.
+CHROMA = Limits(64, 0, 64, 64)
+
+
+def forced_split(n: dict[str, Column], width: int, height: int | Column, limits: Limits = LUMA) -> Column:
     """The split that a block across the picture's lower or right edge must take; none inside."""
     low = n["y"] + n["h"] > height
     right = n["x"] + n["w"] > width
     low, right = low | (n["x"] >= width), right | (n["y"] >= height)
-    halves = (F.greatest(n["w"], n["h"]) <= MAX_BT) & (n["mt_depth"] < n["implicit"] + MAX_DEPTH)
-    quarters = (F.least(n["w"], n["h"]) > MIN_QT) & (n["bt_depth"] == 0)
+    halves = (F.greatest(n["w"], n["h"]) <= limits.max_bt) & (n["mt_depth"] < n["implicit"] + limits.depth)
+    quarters = (F.least(n["w"], n["h"]) > limits.min_qt) & (n["bt_depth"] == 0)
     return (
         F.when(~low & ~right, "none")
         .when(low & right & quarters, "quad")
@@ -29,13 +45,13 @@ def forced_split(n: dict[str, Column], width: int, height: int) -> Column:
     )
 
 
-def allowed_splits(n: dict[str, Column], forced: Column) -> dict[str, Column]:
+def allowed_splits(n: dict[str, Column], forced: Column, limits: Limits = LUMA) -> dict[str, Column]:
     """Whether each of SPLITS may be taken."""
     w, h, last = n["w"], n["h"], n["last"]
     longest, inside = F.greatest(w, h), forced == "none"
-    quad = last.isin("none", "quad") & (w > MIN_QT)
-    deeper = (n["mt_depth"] < n["implicit"] + MAX_DEPTH) & (longest > MIN_SIDE) & (longest <= max(MAX_BT, MAX_TT))
-    halves, thirds = inside & deeper & (longest <= MAX_BT), inside & deeper & (longest <= min(MAX_TT, MAX_TB))
+    quad = last.isin("none", "quad") & (w > limits.min_qt)
+    deeper = (n["mt_depth"] < n["implicit"] + limits.depth) & (longest > MIN_SIDE) & (longest <= max(limits.max_bt, limits.max_tt))
+    halves, thirds = inside & deeper & (longest <= limits.max_bt), inside & deeper & (longest <= min(limits.max_tt, MAX_TB))
     middle = n["part"] == 1  # of thirds: not halved the same way again
     return {
         "none": inside,
