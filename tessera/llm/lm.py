@@ -6,15 +6,15 @@ A text is its words, lower-cased (A-Z), and one end. The model is a mixture on t
   a bigram table. Both give classes of ids: SINGLE classes of one frequent id each, the others of ids alike in
   frequency and in beginning a word or not. A class is drawn in two steps, its group and its place there. An
   id's share in its class comes from counts;
-- a word is drawn from the counts of all training words, or spelled by the former; the share of the first
-  is the mass that words seen twice or more have (Good and Turing);
+- a word is spelled by the former, or, with the share COUNTED at every size, drawn from the counts of all training
+  words: a floor for words whose ids are hard to foresee, which costs a well spelled one next to nothing;
 - a phrase is drawn from the phrases of all other training documents, or word by word by the former. Phrases
   end where a hash of two words says so, after PHRASE words on average, so equal passages have equal phrases.
   A training document's own occurrences are taken off, else each would be its own memory.
 
 All counts (ids, class bigrams, words, phrases) cover all training documents. The attention weights are
-trained on all of them too: in each of ROUNDS rounds every task steps through one window in SHARE of every
-chunk it reads, and the tasks' weights are averaged by their windows.
+trained on every window of all of them, once: in each of ROUNDS rounds every task steps through another equal
+part of the windows of each chunk it reads, and then the tasks' weights are averaged by their windows.
 
 Texts are read once and written as chunks of about CHUNK bytes: distinct words with their ids, the texts as
 numbers of those words, and hashes of words and phrases. Counts come from one shuffle of the hashes, a row
@@ -47,13 +47,14 @@ GROUPS, MEMBERS, SINGLE, DIM, INNER = 16, 32, 384, 24, 48
 CLASSES = GROUPS * MEMBERS
 WINDOW, CONTEXT, BATCH = 32, 8, 128
 FRESH = WINDOW - CONTEXT
-#: Windows a step of training, rounds of it, and one window in so many a round.
-STEP, ROUNDS, SHARE, RATE = 32, 2, 24, 0.006
+#: Windows a step of training, and rounds of it, each through another equal part of all windows.
+STEP, ROUNDS, RATE = 64, 4, 0.006
 #: Bytes of text of a chunk, words that are scored at a time, and words of a phrase on average.
 CHUNK, STRETCH, PHRASE = 8 << 20, 1 << 18, 16
 #: Words whose ids a Python worker remembers.
 REMEMBERED = 1_000_000
-SMOOTH = 0.1
+#: Smoothing of the base, and the share of words that are drawn from word counts.
+SMOOTH, COUNTED = 0.1, 0.15
 LATER = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 SEEN = (LATER[CONTEXT:] == 0).astype(np.float32)
 END_HASH = np.uint64(0x1F3B5D7A9C2E4F60)
@@ -456,14 +457,13 @@ def start_model(counts: np.ndarray, pairs: np.ndarray, of: np.ndarray, seed: int
 
 
 def learn(model: Model, adam: Adam, classes: np.ndarray, lengths: np.ndarray, turn: int, rate: float) -> int:
-    """Steps through this turn's windows, one in SHARE, of texts of classes that lie end to end; how many there were."""
+    """Steps through this turn's part, one in ROUNDS, of the windows of texts of classes that lie end to end; how many there were."""
     if not len(lengths):
         return 0
     text, first, keep = windows(lengths, np.zeros(len(lengths), np.int64))
     start = (np.cumsum(lengths) - lengths)[text]
     order = np.random.default_rng(zlib.crc32(classes.tobytes())).permutation(len(text))
-    size = -(-len(order) // SHARE)
-    chosen = order[turn % SHARE * size :][:size]
+    chosen = order[turn % ROUNDS :: ROUNDS]
     for k in range(0, len(chosen), STEP):
         w = chosen[k : k + STEP]
         at = np.minimum(start[w, None] + first[w, None] + np.arange(CONTEXT, WINDOW), len(classes) - 1)
@@ -633,9 +633,9 @@ def fitted(chunks: DataFrame, totals: DataFrame, path: str) -> Mixture:
     of = classes_of(counts, starts)
     model = trained(chunks, start_model(counts, paired(chunks, of), of))
     words, phrases = (x or 0 for x in chunks.agg(F.sum("learned"), F.sum("phrases")).first())
-    once = totals.where("first").agg(F.count_if("word"), F.count_if(F.col("word") & (F.col("total") == 1)), F.sum(F.when(~F.col("word") & (F.col("total") > 1), F.col("total")))).first()
-    kinds, single, repeated = (x or 0 for x in once)
-    return Mixture(model, words, kinds, 1 - (single + 1) / (words + 2), phrases, (repeated + 1) / (phrases + 2))
+    once = totals.where("first").agg(F.count_if("word"), F.sum(F.when(~F.col("word") & (F.col("total") > 1), F.col("total")))).first()
+    kinds, repeated = (x or 0 for x in once)
+    return Mixture(model, words, kinds, COUNTED if words else 0.0, phrases, (repeated + 1) / (phrases + 2))
 
 
 def score_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 10) -> DataFrame:

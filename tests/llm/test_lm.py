@@ -1,9 +1,11 @@
 """Language-model scores: gradients, proper distributions, windows, counts and mixture against brute force, held-out gain."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +16,7 @@ from tessera.llm import bpe, lm
 from tessera.llm.textkernels import blocks, mix, words_of
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+SF = "/root/testdata/sf0.01"
 
 
 def small(seed=1):
@@ -185,7 +188,7 @@ def test_mixture_equals_brute_force(spark, scored, monkeypatch):
     by_doc = [Counter(slow_phrases(t)) for _, t, _ in rows]
     phrases = sum((d for (i, _, _), d in zip(rows, by_doc, strict=True) if not held(i)), Counter())
     assert (m.words, m.kinds, m.phrases) == (sum(c.values()), len(c), sum(phrases.values()))
-    assert m.known == pytest.approx(1 - (sum(x == 1 for x in c.values()) + 1) / (m.words + 2))
+    assert m.known == lm.COUNTED
     assert m.kept == pytest.approx((sum(x for x in phrases.values() if x > 1) + 1) / (m.phrases + 2))
 
     want = defaultdict(list)
@@ -237,11 +240,47 @@ def test_training_lowers_the_loss():
     ids, n = lm.text_ids(row)
     before = model.score(np.split(ids, np.cumsum(n)[:-1])).sum()
     adam = lm.Adam(model.parts, lm.RATE)
-    for turn in range(lm.SHARE):
+    for turn in range(lm.ROUNDS):
         lm.learn(model, adam, classes, lengths, turn, lm.RATE)
     assert model.score(np.split(ids, np.cumsum(n)[:-1])).sum() > 0.85 * before
 
 
+def test_every_window_is_trained_once(monkeypatch):
+    seen = Counter()
+    monkeypatch.setattr(lm, "backward", lambda x, y, mask, model: seen.update(map(tuple, np.concatenate([x, y], 1).tolist())) or (0.0, model.parts))
+    monkeypatch.setattr(lm.Adam, "step", lambda self, grads: None)
+    lengths = np.array([5, 700, 33])
+    classes = np.random.default_rng(1).integers(0, lm.CLASSES, lengths.sum())
+    for turn in range(lm.ROUNDS):
+        lm.learn(small(), lm.Adam([], 0.1), classes, lengths, turn, 0.1)
+    assert set(seen.values()) == {1} and len(seen) == len(lm.windows(lengths, np.zeros(3, np.int64))[0])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables here")
+def test_attention_carries_the_score(spark):
+    """Of the held-out texts: without attention at least a twentieth of the log probability is lost, and counts only add to it."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    chunks = lm.chunked(docs, PATH, "doc_id", "text", 10)
+    totals = lm.totals_of(chunks)
+    mixture = lm.fitted(chunks, totals, PATH)
+    found = defaultdict(list)
+    for r in totals.collect():
+        found[r.chunk].append((r.pos, r.total))
+    rows = [r.asDict() for r in chunks.collect()]
+
+    def held_out(mixture):
+        out = 0.0
+        for row in rows:
+            pos, total = (np.array(x, np.int64) for x in (zip(*sorted(found[row["chunk"]]), strict=True) if found[row["chunk"]] else ((), ())))
+            out += mixture.scored(row, pos, total)[3][np.array(row["held"], bool)].sum()
+        return out
+
+    full = held_out(mixture)
+    plain = lm.Model(mixture.model.of, mixture.model.share, mixture.model.group, mixture.model.member, [*mixture.model.parts[:8], *(np.zeros_like(p) for p in mixture.model.parts[8:])])
+    assert held_out(replace(mixture, model=plain)) < 1.05 * full
+    assert held_out(replace(mixture, known=1e-12, kept=1e-12)) < full
+
+
 def test_empty_and_held_out_tables(spark, scored):
     assert lm.score_texts(scored[1].limit(0), PATH).collect() == []
     only = next(k for k in range(100) if held(k))
