@@ -91,10 +91,6 @@ def quadtree(rows: DataFrame, qp: int, top: int = 64, least: int = 8) -> DataFra
     return blocks.select(F.inline("leaves"))
 
 
-def scan_table(spark, w: int, h: int, order: list[tuple[int, int]]) -> DataFrame:
-    return spark.createDataFrame([(k, x, y) for k, (x, y) in enumerate(order)], "pos bigint, x bigint, y bigint")
-
-
 def last_significant(levels: DataFrame, order: list[tuple[int, int]]) -> DataFrame:
     """(brow, bcol, last, cbf): the last scan position that is not 0 (-1: none) of levels (brow, bcol, u, v, c), and whether there is one."""
     place = {p: k for k, p in enumerate(order)}

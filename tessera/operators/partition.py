@@ -108,7 +108,7 @@ def split_contexts(n: dict[str, Column], may: dict[str, Column], left_h: Column,
     }
 
 
-def header_fields() -> dict[str, int]:
-    """What a header says of these limits, each as a difference of logarithms."""
-    log = lambda v: v.bit_length() - 1
-    return {"min_qt": log(MIN_QT) - log(MIN_SIDE), "depth": MAX_DEPTH, "max_bt": log(MAX_BT) - log(MIN_QT), "max_tt": log(MAX_TT) - log(MIN_QT)}
+def header_fields(limits: Limits) -> dict[str, Column]:
+    """What a header says of these limits, columns or numbers, each as a difference of logarithms."""
+    log = lambda v: F.length(F.bin(v if isinstance(v, Column) else F.lit(v))) - 1
+    return {"min_qt": log(limits.min_qt) - log(MIN_SIDE), "depth": limits.depth if isinstance(limits.depth, Column) else F.lit(limits.depth), "max_bt": log(limits.max_bt) - log(limits.min_qt), "max_tt": log(limits.max_tt) - log(limits.min_qt)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codes, metadata
 from ..functions import samples as s
 from ..functions.tables import DEQUANT, MATRICES, QUANT, RECIPROCAL, dequant_terms, kept, quant_terms, scan
-from ..operators import blocks, modes, neighbours, prediction, states, transforms
+from ..operators import blocks, modes, neighbours, prediction, states, transforms, trellis
 from ..sources import planes, streams
 
 QUERIES: dict = {}
@@ -27,6 +27,14 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+#: Keys of ``lineitem``, which carry what is drawn from its numbers.
+KEYS = ("l_orderkey", "l_linenumber")
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+
+
 def rows_of(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
     return planes.padded(planes.embedding_rows(spark, sf_dir), size)
 
@@ -115,13 +123,16 @@ def _scale_sql(w: int, h: int) -> str:
 _SIZES = ((4, 4), (8, 8), (16, 16), (16, 8), (4, 8))
 
 
-@query("error_scale", " UNION ALL ".join(_scale_sql(w, h) for w, h in _SIZES))
+@query("error_scale", f"WITH e AS ({' UNION ALL '.join(_scale_sql(w, h) for w, h in _SIZES)}) SELECT p_partkey, w, h, scale FROM part JOIN e ON w = {list(w for w, _ in _SIZES)}[(p_partkey % 5 + 1)::INTEGER] AND h = {list(h for _, h in _SIZES)}[(p_partkey % 5 + 1)::INTEGER]")
 def error_scale(spark, sf_dir):
-    out = None
+    """What a squared error costs in the block that each part's key draws; the impulses' scales, a row a size, are broadcast."""
+    side = lambda k: F.element_at(F.array(*[F.lit(size[k]).cast("bigint") for size in _SIZES]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    drawn = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", side(0).alias("w"), side(1).alias("h"))
+    scales = None
     for w, h in _SIZES:
         one = transforms.error_scale(spark, w, h).select(F.lit(w).cast("bigint").alias("w"), F.lit(h).cast("bigint").alias("h"), "scale")
-        out = one if out is None else out.union(one)
-    return out
+        scales = one if scales is None else scales.union(one)
+    return drawn.join(F.broadcast(scales), ["w", "h"])
 
 
 @query("quant_scalar", f"WITH {forward_sql(8, 4)}, l AS (SELECT brow, bcol, u, v, {quant_sql('c', 8, 4, QP)} AS level FROM coef) SELECT brow, bcol, u, v, level, {dequant_sql('level', 8, 4, QP)} AS c FROM l")
@@ -214,18 +225,19 @@ def dims_valid(spark, sf_dir):
     return p.withColumn("valid", s.fits_level(F.col("w"), F.col("h")))
 
 
-@query("quality_to_qp", "SELECT q, 51 - ((least(100, greatest(1, q)) - 1) * 47) // 99 AS qp FROM range(-5, 110) r(q)")
+@query("quality_to_qp", "SELECT l_orderkey, l_linenumber, q, 51 - ((least(100, greatest(1, q)) - 1) * 47) // 99 AS qp FROM (SELECT *, l_quantity::BIGINT * 3 - 20 AS q FROM lineitem)")
 def quality_to_qp(spark, sf_dir):
-    return spark.range(-5, 110).select(F.col("id").alias("q"), s.quality_to_qp(F.col("id")).alias("qp"))
+    q = F.rint("l_quantity").cast("bigint") * 3 - 20
+    return lines(spark, sf_dir).select(*KEYS, q.alias("q"), s.quality_to_qp(q).alias("qp"))
 
 
 @query(
     "chroma_promote",
-    "SELECT idc::INTEGER AS idc, w, h, (CASE WHEN idc = 1 AND w % 2 <> 0 THEN 3 WHEN idc = 1 AND h % 2 <> 0 THEN 2 WHEN idc = 2 AND w % 2 <> 0 THEN 3 ELSE idc END)::INTEGER AS promoted FROM range(0, 4) a(idc), range(1, 9) b(w), range(1, 9) c(h)",
+    "SELECT l_orderkey, l_linenumber, idc, w, h, (CASE WHEN idc = 1 AND w % 2 <> 0 THEN 3 WHEN idc = 1 AND h % 2 <> 0 THEN 2 WHEN idc = 2 AND w % 2 <> 0 THEN 3 ELSE idc END)::INTEGER AS promoted FROM (SELECT *, (l_linenumber % 4)::INTEGER AS idc, l_partkey % 500 + 1 AS w, l_suppkey % 500 + 1 AS h FROM lineitem)",
 )
 def chroma_promote(spark, sf_dir):
-    grid = spark.range(4 * 64).select((F.col("id") % 4).cast("int").alias("idc"), (F.expr("id div 4") % 8 + 1).alias("w"), (F.expr("id div 32") + 1).alias("h"))
-    return grid.withColumn("promoted", s.chroma_for_size(F.col("idc"), F.col("w"), F.col("h")).cast("int"))
+    drawn = lines(spark, sf_dir).select(*KEYS, (F.col("l_linenumber") % 4).cast("int").alias("idc"), (F.col("l_partkey") % 500 + 1).alias("w"), (F.col("l_suppkey") % 500 + 1).alias("h"))
+    return drawn.withColumn("promoted", s.chroma_for_size(F.col("idc"), F.col("w"), F.col("h")).cast("int"))
 
 
 _FLAGS = ("lossless", "aq", "mtt", "cclm", "dual_tree", "deblock")
@@ -233,14 +245,15 @@ _FLAGS = ("lossless", "aq", "mtt", "cclm", "dual_tree", "deblock")
 
 @query(
     "tool_gating",
-    f"""WITH c AS (SELECT id, {', '.join(f'(id >> {k}) & 1 = 1 AS {n}' for k, n in enumerate(_FLAGS))}, ((id >> 6) & 3)::INTEGER AS idc, (8 + 2 * ((id >> 8) % 3))::INTEGER AS depth FROM range(0, 768) r(id)),
+    f"""WITH c AS (SELECT id, {', '.join(f'(id >> {k}) & 1 = 1 AS {n}' for k, n in enumerate(_FLAGS))}, ((id >> 6) & 3)::INTEGER AS idc, (8 + 2 * ((id >> 8) % 3))::INTEGER AS depth, l_orderkey, l_linenumber FROM (SELECT *, (l_partkey * 7 + l_orderkey) % 768 AS id FROM lineitem)),
     d AS (SELECT *, dual_tree AND NOT lossless AND idc IN (1, 2) AS dual_on FROM c)
-    SELECT id, aq AND NOT lossless AS aq_on, mtt AND NOT lossless AS mtt_on, cclm AND NOT lossless AS cclm_on, dual_on, deblock AND depth = 8 AND NOT aq AND NOT dual_on AND NOT lossless AND NOT mtt AS deblock_on FROM d""",
+    SELECT l_orderkey, l_linenumber, id, aq AND NOT lossless AS aq_on, mtt AND NOT lossless AS mtt_on, cclm AND NOT lossless AS cclm_on, dual_on, deblock AND depth = 8 AND NOT aq AND NOT dual_on AND NOT lossless AND NOT mtt AS deblock_on FROM d""",
 )
 def tool_gating(spark, sf_dir):
     bit = lambda k: F.shiftright("id", k).bitwiseAND(F.lit(1)) == 1
     asked = {n: bit(k) for k, n in enumerate(_FLAGS)} | {"idc": F.shiftright("id", 6).bitwiseAND(F.lit(3)), "depth": 8 + 2 * (F.shiftright("id", 8) % 3)}
-    return spark.range(768).select("id", *[c.alias(n) for n, c in s.tools_in_effect(asked).items()])
+    drawn = lines(spark, sf_dir).withColumn("id", (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 768)
+    return drawn.select(*KEYS, "id", *[c.alias(n) for n, c in s.tools_in_effect(asked).items()])
 
 
 @query(
@@ -356,11 +369,17 @@ def scan_sql(w: int, h: int) -> str:
     return f"""SELECT row_number() OVER (ORDER BY x // 4 + y // 4, x // 4, x % 4 + y % 4, x % 4) - 1 AS pos, x, y FROM range(0, {w}) a(x), range(0, {h}) b(y)"""
 
 
-@query("scan_order", " UNION ALL ".join(f"SELECT {w}::BIGINT AS w, {h}::BIGINT AS h, pos, x, y FROM ({scan_sql(w, h)})" for w, h in ((4, 4), (8, 8), (16, 8), (32, 32))))
+def _scanned_sql(w: int, h: int) -> str:
+    return f"SELECT {w}::BIGINT AS w, {h}::BIGINT AS h, brow, bcol, pos, c FROM (WITH {forward_sql(w, h)}, o AS ({scan_sql(w, h)}) SELECT brow, bcol, pos, c FROM coef JOIN o ON x = u AND o.y = v)"
+
+
+@query("scan_order", " UNION ALL ".join(_scanned_sql(w, h) for w, h in ((8, 8), (16, 8))))
 def scan_order(spark, sf_dir):
+    """The coefficients of every 8 x 8 and 16 x 8 block in the order in which they are coded."""
     out = None
-    for w, h in ((4, 4), (8, 8), (16, 8), (32, 32)):
-        one = blocks.scan_table(spark, w, h, scan(w, h)).select(F.lit(w).cast("bigint").alias("w"), F.lit(h).cast("bigint").alias("h"), "pos", "x", "y")
+    for w, h in ((8, 8), (16, 8)):
+        found = trellis.in_scan_order(transforms.forward(rows_of(spark, sf_dir, h), w, h), w, h).select("brow", "bcol", F.posexplode("scanned").alias("pos", "c"))
+        one = found.select(F.lit(w).cast("bigint").alias("w"), F.lit(h).cast("bigint").alias("h"), "brow", "bcol", F.col("pos").cast("bigint").alias("pos"), "c")
         out = one if out is None else out.union(one)
     return out
 
@@ -411,38 +430,45 @@ def mpm_sql() -> str:
     under, over, under2, over2 = (lambda m, k=k: W.format(f"{m} + {k}") for k in (61, -1, 60, 0))
     one = f"[0, {high}, {under(high)}, {over(high)}, {under2(high)}, {over2(high)}]"
     pair = lambda *v: f"[0, a, b, {', '.join(v)}]"
-    return f"""SELECT a AS left_mode, b AS above_mode, unnest(range(0, 6)) AS k, unnest(CASE
+    return f"""SELECT l_orderkey, l_linenumber, a AS left_mode, b AS above_mode, unnest(range(0, 6)) AS k, unnest(CASE
         WHEN a = b AND a > 1 THEN {one}
         WHEN a <> b AND {low} > 1 THEN CASE WHEN abs(a - b) = 1 THEN {pair(under(low), over(high), under2(low))} WHEN abs(a - b) >= 62 THEN {pair(over(low), under(high), over2(low))}
              WHEN abs(a - b) = 2 THEN {pair(over(low), under(low), over(high))} ELSE {pair(under(low), over(low), under(high))} END
-        WHEN a <> b AND {high} > 1 THEN {one} ELSE [0, 1, 50, 18, 46, 54] END) AS mode FROM range(0, 67) p(a), range(0, 67) q(b)"""
+        WHEN a <> b AND {high} > 1 THEN {one} ELSE [0, 1, 50, 18, 46, 54] END) AS mode FROM (SELECT *, l_partkey % 67 AS a, (l_partkey // 67 + l_linenumber * 5 + l_suppkey) % 67 AS b FROM lineitem)"""
 
 
 @query("mpm_list", mpm_sql())
 def mpm_list(spark, sf_dir):
-    grid = spark.range(67 * 67).select(F.expr("id div 67").alias("left_mode"), (F.col("id") % 67).alias("above_mode"))
-    return grid.select("left_mode", "above_mode", F.posexplode(modes.likely_modes(F.col("left_mode"), F.col("above_mode"))).alias("k", "mode")).select("left_mode", "above_mode", F.col("k").cast("bigint").alias("k"), F.col("mode").cast("bigint").alias("mode"))
+    left, above = F.col("l_partkey") % 67, (F.expr("l_partkey div 67") + F.col("l_linenumber") * 5 + F.col("l_suppkey")) % 67
+    drawn = lines(spark, sf_dir).select(*KEYS, left.alias("left_mode"), above.alias("above_mode"))
+    found = drawn.select("*", F.posexplode(modes.likely_modes(F.col("left_mode"), F.col("above_mode"))).alias("k", "mode"))
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("k", "mode")})
 
 
-@query("chroma_candidates", "SELECT m AS luma_mode, unnest(range(0, 4)) AS k, unnest([CASE WHEN c = m THEN 66 ELSE c END FOR c IN [0, 50, 18, 1]])::BIGINT AS mode FROM range(0, 67) r(m)")
+@query("chroma_candidates", "SELECT l_orderkey, l_linenumber, m AS luma_mode, unnest(range(0, 4)) AS k, unnest([CASE WHEN c = m THEN 66 ELSE c END FOR c IN [0, 50, 18, 1]])::BIGINT AS mode FROM (SELECT *, l_partkey % 67 AS m FROM lineitem)")
 def chroma_candidates(spark, sf_dir):
-    return spark.range(67).select(F.col("id").alias("luma_mode"), F.posexplode(modes.chroma_modes(F.col("id"))).alias("k", "mode")).select("luma_mode", F.col("k").cast("bigint").alias("k"), F.col("mode").cast("bigint").alias("mode"))
+    found = lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") % 67).alias("luma_mode")).select("*", F.posexplode(modes.chroma_modes(F.col("luma_mode"))).alias("k", "mode"))
+    return found.withColumns({c: F.col(c).cast("bigint") for c in ("k", "mode")})
+
+
+#: A block's shape and mode out of a line's keys: logarithms p and q of its sides, and m.
+SHAPES = "SELECT l_orderkey, l_linenumber, (4 << (l_partkey % 5)::INTEGER)::BIGINT AS w, (4 << (l_suppkey % 5)::INTEGER)::BIGINT AS h, (l_orderkey + l_linenumber) % 67 AS m, l_partkey % 5 + 2 AS p, l_suppkey % 5 + 2 AS q, [0, 6, 10, 12, 14, 15][(abs(l_partkey % 5 - l_suppkey % 5) + 1)::INTEGER] AS e FROM lineitem"
+
+
+def shapes(spark, sf_dir) -> DataFrame:
+    """(keys, w, h, mode) drawn from ``lineitem``."""
+    side = lambda c: F.pow(F.lit(2.0), F.col(c) % 5 + 2).cast("bigint")
+    return lines(spark, sf_dir).select(*KEYS, side("l_partkey").alias("w"), side("l_suppkey").alias("h"), ((F.col("l_orderkey") + F.col("l_linenumber")) % 67).alias("mode"))
 
 
 def angle_sql(back: int) -> str:
     return f"CASE WHEN m > 1 AND w > h AND m < 2 + e THEN m + 65 WHEN m > 1 AND h > w AND m > 66 - e THEN m - {back} ELSE m END"
 
 
-@query(
-    "wide_angle",
-    f"""WITH g AS (SELECT 1 << p AS w, 1 << q AS h, m, [0, 6, 10, 12, 14, 15][abs(p - q) + 1] AS e FROM range(2, 7) a(p), range(2, 7) b(q), range(0, 67) c(m))
-    SELECT w::BIGINT AS w, h::BIGINT AS h, m AS mode, ({angle_sql(65)})::BIGINT AS predicted, ({angle_sql(67)})::BIGINT AS for_set FROM g""",
-)
+@query("wide_angle", f"SELECT l_orderkey, l_linenumber, w, h, m AS mode, ({angle_sql(65)})::BIGINT AS predicted, ({angle_sql(67)})::BIGINT AS for_set FROM ({SHAPES})")
 def wide_angle(spark, sf_dir):
-    power = lambda e: F.pow(F.lit(2.0), e + 2).cast("bigint")
-    g = spark.range(25 * 67).select(power(F.expr("id div 335")).alias("w"), power(F.expr("id div 67") % 5).alias("h"), (F.col("id") % 67).alias("mode"))
     at = [F.col(c) for c in ("w", "h", "mode")]
-    return g.select(*at, modes.wide_angle(*at).cast("bigint").alias("predicted"), modes.wide_angle(*at, back=67).cast("bigint").alias("for_set"))
+    return shapes(spark, sf_dir).select(*KEYS, *at, modes.wide_angle(*at).cast("bigint").alias("predicted"), modes.wide_angle(*at, back=67).cast("bigint").alias("for_set"))
 
 
 REFS = f"""{planes.RAW_SQL}, refs AS (SELECT y, list_prepend(t[1], t[2:17]) AS top, list_prepend(t[1], t[18:33]) AS lft, t FROM (SELECT y, list(v ORDER BY x) AS t FROM raw GROUP BY y)),
@@ -554,41 +580,41 @@ def cclm_apply(spark, sf_dir):
     return luma.select("y", F.col("x").cast("bigint").alias("x"), prediction.from_luma(F.col("v"), F.col("t.a"), F.col("t.b"), F.col("t.shift")).alias("pred"))
 
 
-@query("ue_codes", "SELECT v, repeat('0', length(bin(v + 1)) - 1) || bin(v + 1) AS code FROM range(0, 2000) r(v)")
+@query("ue_codes", "SELECT l_orderkey, l_linenumber, v, repeat('0', length(bin(v + 1)) - 1) || bin(v + 1) AS code FROM (SELECT *, l_partkey - 1 AS v FROM lineitem)")
 def ue_codes(spark, sf_dir):
-    return spark.range(2000).select(F.col("id").alias("v"), codes.unsigned_exp_golomb(F.col("id")).alias("code"))
+    return lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") - 1).alias("v")).withColumn("code", codes.unsigned_exp_golomb(F.col("v")))
 
 
-@query("se_codes", "SELECT v, repeat('0', length(bin(k + 1)) - 1) || bin(k + 1) AS code FROM (SELECT v, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END AS k FROM range(-1000, 1000) r(v))")
+@query("se_codes", "SELECT l_orderkey, l_linenumber, v, repeat('0', length(bin(k + 1)) - 1) || bin(k + 1) AS code FROM (SELECT *, CASE WHEN v > 0 THEN 2 * v - 1 ELSE -2 * v END AS k FROM (SELECT *, l_partkey % 301 - 150 AS v FROM lineitem))")
 def se_codes(spark, sf_dir):
-    return spark.range(-1000, 1000).select(F.col("id").alias("v"), codes.signed_exp_golomb(F.col("id")).alias("code"))
+    return lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") % 301 - 150).alias("v")).withColumn("code", codes.signed_exp_golomb(F.col("v")))
 
 
-@query("trunc_binary", "SELECT v, CASE WHEN v < 3 THEN lpad(bin(v), 5, '0') ELSE lpad(bin(v + 3), 6, '0') END AS code FROM range(0, 61) r(v)")
+@query("trunc_binary", "SELECT l_orderkey, l_linenumber, v, CASE WHEN v < 3 THEN lpad(bin(v), 5, '0') ELSE lpad(bin(v + 3), 6, '0') END AS code FROM (SELECT *, l_partkey % 61 AS v FROM lineitem)")
 def trunc_binary(spark, sf_dir):
-    return spark.range(61).select(F.col("id").alias("v"), codes.truncated_binary(F.col("id"), 61).alias("code"))
+    return lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") % 61).alias("v")).withColumn("code", codes.truncated_binary(F.col("v"), 61))
 
 
 @query(
     "rice_codes",
-    """WITH g AS (SELECT v, k, v >> k AS hi, CASE WHEN k > 0 THEN lpad(bin(v & ((1 << k) - 1)), k::INTEGER, '0') ELSE '' END AS lo FROM range(0, 1500) a(v), range(0, 4) b(k)),
+    """WITH g AS (SELECT l_orderkey, l_linenumber, v, k, v >> k AS hi, CASE WHEN k > 0 THEN lpad(bin(v & ((1 << k) - 1)), k::INTEGER, '0') ELSE '' END AS lo FROM (SELECT *, l_partkey % 1500 AS v, (l_linenumber % 4)::BIGINT AS k FROM lineitem)),
     e AS (SELECT *, length(bin(greatest(1, hi - 4))) - 1 AS p FROM g)
-    SELECT v, k, CASE WHEN hi < 5 THEN repeat('1', hi) || '0' || lo ELSE repeat('1', p + 5) || '0' || CASE WHEN p > 0 THEN lpad(bin(hi - 4 - (1 << p)), p::INTEGER, '0') ELSE '' END || lo END AS code FROM e""",
+    SELECT l_orderkey, l_linenumber, v, k, CASE WHEN hi < 5 THEN repeat('1', hi) || '0' || lo ELSE repeat('1', p + 5) || '0' || CASE WHEN p > 0 THEN lpad(bin(hi - 4 - (1 << p)), p::INTEGER, '0') ELSE '' END || lo END AS code FROM e""",
 )
 def rice_codes(spark, sf_dir):
-    g = spark.range(6000).select(F.expr("id div 4").alias("v"), (F.col("id") % 4).alias("k"))
+    g = lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") % 1500).alias("v"), (F.col("l_linenumber") % 4).cast("bigint").alias("k"))
     return g.withColumn("code", codes.rice(F.col("v"), F.col("k")))
 
 
 @query(
     "ctx_init_states",
-    """SELECT init, qp, w AS window_size, least(127, greatest(1, ((((init >> 3) - 4) * (least(63, greatest(0, qp)) - 16)) >> 1) + (init & 7) * 18 + 1)) AS state, 2 + ((w >> 2) & 3) AS slow, 5 + ((w >> 2) & 3) + (w & 3) AS fast
-    FROM range(0, 64) a(init), range(0, 64) b(qp), range(0, 16) c(w)""",
+    """SELECT l_orderkey, l_linenumber, init, qp, w AS window_size, least(127, greatest(1, ((((init >> 3) - 4) * (least(63, greatest(0, qp)) - 16)) >> 1) + (init & 7) * 18 + 1)) AS state, 2 + ((w >> 2) & 3) AS slow, 5 + ((w >> 2) & 3) + (w & 3) AS fast
+    FROM (SELECT *, l_partkey % 64 AS init, (l_suppkey + l_linenumber * 9) % 64 AS qp, l_orderkey % 16 AS w FROM lineitem)""",
 )
 def ctx_init_states(spark, sf_dir):
-    g = spark.range(64 * 64 * 16).select((F.col("id") % 64).alias("init"), (F.expr("id div 64") % 64).alias("qp"), F.expr("id div 4096").alias("window_size"))
+    g = lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") % 64).alias("init"), ((F.col("l_suppkey") + F.col("l_linenumber") * 9) % 64).alias("qp"), (F.col("l_orderkey") % 16).alias("window_size"))
     slow, fast = states.adaptation(F.col("window_size"))
-    return g.select("init", "qp", "window_size", states.initial_probability(F.col("init"), F.col("qp")).cast("bigint").alias("state"), slow.cast("bigint").alias("slow"), fast.cast("bigint").alias("fast"))
+    return g.select(*KEYS, "init", "qp", "window_size", states.initial_probability(F.col("init"), F.col("qp")).cast("bigint").alias("state"), slow.cast("bigint").alias("slow"), fast.cast("bigint").alias("fast"))
 
 
 WALK = f"""{planes.RAW_SQL}, lv AS (SELECT y, list((v - 128) // 16 ORDER BY x) AS l FROM raw GROUP BY y),
@@ -616,22 +642,22 @@ def _in(v: str, codes_: tuple[int, ...]) -> str:
     return f"(CASE WHEN {v} IN {tuple(codes_)} THEN {v} ELSE 2 END)::INTEGER"
 
 
-@query("cicp_lookup", f"SELECT c::INTEGER AS code, {_in('c', metadata.PRIMARIES)} AS primaries, {_in('c', metadata.TRANSFERS)} AS transfer, {_in('c', metadata.MATRICES)} AS matrix FROM range(0, 300) r(c)")
+@query("cicp_lookup", f"SELECT l_orderkey, l_linenumber, c::INTEGER AS code, {_in('c', metadata.PRIMARIES)} AS primaries, {_in('c', metadata.TRANSFERS)} AS transfer, {_in('c', metadata.MATRICES)} AS matrix FROM (SELECT *, l_partkey % 300 AS c FROM lineitem)")
 def cicp_lookup(spark, sf_dir):
-    c = F.col("id").cast("int")
+    c = (F.col("l_partkey") % 300).cast("int")
     tables = {"primaries": metadata.PRIMARIES, "transfer": metadata.TRANSFERS, "matrix": metadata.MATRICES}
-    return spark.range(300).select(c.alias("code"), *[metadata.known(c, t).alias(n) for n, t in tables.items()])
+    return lines(spark, sf_dir).select(*KEYS, c.alias("code"), *[metadata.known(c, t).alias(n) for n, t in tables.items()])
 
 
 @query(
     "nclx_parse",
-    f"""SELECT c, '6E636C78' || lpad(hex(c % 25), 4, '0') || lpad(hex(c % 21), 4, '0') || lpad(hex(c % 19), 4, '0') || CASE WHEN c % 2 = 0 THEN '80' ELSE '00' END AS payload,
-    {_in('(c % 25)', metadata.PRIMARIES)} AS primaries, {_in('(c % 21)', metadata.TRANSFERS)} AS transfer, {_in('(c % 19)', metadata.MATRICES)} AS matrix, c % 2 = 0 AS "full" FROM range(0, 1000) r(c)""",
+    f"""SELECT l_orderkey, l_linenumber, c, '6E636C78' || lpad(hex(c % 25), 4, '0') || lpad(hex(c % 21), 4, '0') || lpad(hex(c % 19), 4, '0') || CASE WHEN c % 2 = 0 THEN '80' ELSE '00' END AS payload,
+    {_in('(c % 25)', metadata.PRIMARIES)} AS primaries, {_in('(c % 21)', metadata.TRANSFERS)} AS transfer, {_in('(c % 19)', metadata.MATRICES)} AS matrix, c % 2 = 0 AS "full" FROM (SELECT *, l_partkey AS c FROM lineitem)""",
 )
 def nclx_parse(spark, sf_dir):
     c = F.col("c")
-    made = spark.range(1000).select(F.col("id").alias("c")).withColumn("payload", metadata.nclx(c % 25, c % 21, c % 19, c % 2 == 0))
-    return made.withColumn("p", metadata.parse_nclx(F.col("payload"))).select("c", "payload", "p.*")
+    made = lines(spark, sf_dir).select(*KEYS, F.col("l_partkey").alias("c")).withColumn("payload", metadata.nclx(c % 25, c % 21, c % 19, c % 2 == 0))
+    return made.withColumn("p", metadata.parse_nclx(F.col("payload"))).select(*KEYS, "c", "payload", "p.*")
 
 
 _O = "CASE WHEN e BETWEEN 1 AND 8 THEN e ELSE 1 END"
@@ -639,10 +665,10 @@ _O = "CASE WHEN e BETWEEN 1 AND 8 THEN e ELSE 1 END"
 
 @query(
     "exif_orientation",
-    f"""SELECT e::INTEGER AS exif, ({_O})::INTEGER AS orientation, {list(metadata.TURNS)}[({_O})::INTEGER] AS turns, [NULL, 0, NULL, 1, 0, NULL, 0, NULL][({_O})::INTEGER] AS mirror, ({_O})::INTEGER AS back FROM range(-2, 12) r(e)""",
+    f"""SELECT l_orderkey, l_linenumber, e::INTEGER AS exif, ({_O})::INTEGER AS orientation, {list(metadata.TURNS)}[({_O})::INTEGER] AS turns, [NULL, 0, NULL, 1, 0, NULL, 0, NULL][({_O})::INTEGER] AS mirror, ({_O})::INTEGER AS back FROM (SELECT *, l_partkey % 14 - 2 AS e FROM lineitem)""",
 )
 def exif_orientation(spark, sf_dir):
-    o = spark.range(-2, 12).select(F.col("id").cast("int").alias("exif")).withColumn("orientation", metadata.orientation(F.col("exif")))
+    o = lines(spark, sf_dir).select(*KEYS, (F.col("l_partkey") % 14 - 2).cast("int").alias("exif")).withColumn("orientation", metadata.orientation(F.col("exif")))
     o = o.withColumns({"turns": metadata.turns(F.col("orientation")), "mirror": metadata.mirror(F.col("orientation"))})
     return o.withColumn("back", metadata.from_parts(F.col("turns"), F.col("mirror")))
 

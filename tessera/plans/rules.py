@@ -9,7 +9,7 @@ from ..functions import codes, metadata
 from ..functions import samples as s
 from ..operators import blocks, neighbours, partition, prediction, rates, states, transforms
 from ..sources import planes
-from .catalogue import QP, REFS, dequant_sql, forward_sql, quant_sql, query, references, rows_of, scan_sql
+from .catalogue import KEYS, QP, REFS, SHAPES, dequant_sql, forward_sql, quant_sql, query, references, rows_of, scan_sql, shapes
 
 WIDTH, HEIGHT = 512, 256
 NODES = """n AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 40) * (4 << (l_suppkey % 6)::INTEGER) AS x, ((l_linenumber * 7 + l_partkey) % 20) * (4 << (l_partkey % 6)::INTEGER) AS y, (4 << (l_suppkey % 6)::INTEGER)::BIGINT AS w, (4 << (l_partkey % 6)::INTEGER)::BIGINT AS h,
@@ -92,10 +92,18 @@ def split_contexts(spark, sf_dir):
     return n.select("l_orderkey", "l_linenumber", *[c.cast("int").alias(k) for k, c in found.items()])
 
 
-@query("tree_fields", "SELECT * FROM (VALUES ('min_qt', 2), ('depth', 2), ('max_bt', 1), ('max_tt', 1)) v(field, value)")
+@query(
+    "tree_fields",
+    "SELECT p_partkey, unnest(['min_qt', 'depth', 'max_bt', 'max_tt']) AS field, unnest([k + 1, p_size % 4, p_size % 3, k % 2])::BIGINT AS value FROM (SELECT *, p_partkey % 3 AS k FROM part)",
+)
 def tree_fields(spark, sf_dir):
-    """From no table: the limits are literals."""
-    return spark.createDataFrame(list(partition.header_fields().items()), "field string, value int")
+    """Limits drawn from each part as sides, and what a header says of them."""
+    power = lambda e: F.pow(F.lit(2.0), e).cast("bigint")
+    k = F.col("p_partkey") % 3
+    limits = partition.Limits(power(k + 3), F.col("p_size") % 4, power(k + 3 + F.col("p_size") % 3), power(k + 3 + k % 2))
+    fields = partition.header_fields(limits)
+    every = F.array(*[F.struct(F.lit(n).alias("field"), c.cast("bigint").alias("value")) for n, c in fields.items()])
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.inline(every))
 
 
 _SLOPES, _CUBIC = list(prediction.SLOPES), [list(c) for c in prediction.CUBIC]
@@ -104,23 +112,22 @@ _INVERSE = "CASE WHEN sl = 0 THEN 0 ELSE round(16384 / sl)::BIGINT END"
 
 @query(
     "intra_params",
-    f"""WITH g AS (SELECT 1 << p AS w, 1 << q AS h, m, [0, 6, 10, 12, 14, 15][abs(p - q) + 1] AS e, p, q FROM range(2, 7) a(p), range(2, 7) b(q), range(0, 67) c(m)),
+    f"""WITH g AS ({SHAPES}),
     k AS (SELECT *, CASE WHEN m > 1 AND w > h AND m < 2 + e THEN m + 65 WHEN m > 1 AND h > w AND m > 66 - e THEN m - 65 ELSE m END AS r FROM g),
     t AS (SELECT *, CASE WHEN r >= 34 THEN r - 50 ELSE 18 - r END AS t, CASE WHEN r >= 34 THEN q ELSE p END AS side FROM k),
     u AS (SELECT *, {_SLOPES}[(abs(t) + 1)::INTEGER] AS sl FROM t), v AS (SELECT *, {_INVERSE} AS inv FROM u),
     x AS (SELECT *, least(2, side - (length(bin(greatest(1, 3 * inv - 2))) - 1) + 8) AS sc, least(abs(r - 18), abs(r - 50)) > [24, 24, 24, 14, 2, 0, 0, 0][((p + q) // 2 + 1)::INTEGER] AS far FROM v)
-    SELECT w::BIGINT AS w, h::BIGINT AS h, m AS mode, CASE m WHEN 0 THEN w * h > 32 WHEN 1 THEN false ELSE far AND sl % 32 = 0 END AS smooth_refs, m > 1 AND far AND sl % 32 <> 0 AS smooth_taps,
+    SELECT l_orderkey, l_linenumber, w, h, m AS mode, CASE m WHEN 0 THEN w * h > 32 WHEN 1 THEN false ELSE far AND sl % 32 = 0 END AS smooth_refs, m > 1 AND far AND sl % 32 <> 0 AS smooth_taps,
         m <= 1 OR t = 0 OR (t > 0 AND sc >= 0) AS blended, (CASE WHEN m > 1 AND t > 0 THEN sc ELSE 0 END)::BIGINT AS scale FROM x""",
 )
 def intra_params(spark, sf_dir):
-    """From no table: every mode for every shape."""
+    """How a mode predicts a block, for shapes and modes drawn from ``lineitem``."""
     from ..operators import modes
 
-    power = lambda e: F.pow(F.lit(2.0), e + 2).cast("bigint")
-    g = spark.range(25 * 67).select(power(F.expr("id div 335")).alias("w"), power(F.expr("id div 67") % 5).alias("h"), (F.col("id") % 67).alias("mode"))
+    g = shapes(spark, sf_dir)
     angle = modes.wide_angle(F.col("w"), F.col("h"), F.col("mode")).cast("bigint")
     p = prediction.parameters(F.col("mode"), angle, F.col("w"), F.col("h"))
-    return g.select("w", "h", "mode", *[(c.cast("bigint") if k == "scale" else c).alias(k) for k, c in p.items()])
+    return g.select(*KEYS, "w", "h", "mode", *[(c.cast("bigint") if k == "scale" else c).alias(k) for k, c in p.items()])
 
 
 def luma_sql(n: int) -> str:
