@@ -60,6 +60,36 @@ def adapted(bins: Column, start: int, slow: int, fast: int) -> Column:
     return F.aggregate(bins, F.struct(F.lit(start).alias("a"), F.lit(start).alias("b"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
 
 
+# Initial values and window sizes of the twelve contexts of a significant level, in slices without references.
+SIGNIFICANT = (25, 19, 28, 14, 25, 20, 29, 30, 19, 37, 30, 38)
+SIGNIFICANT_WINDOWS = (12, 9, 9, 10, 9, 9, 9, 10, 8, 8, 8, 10)
+
+
+def contexts(inits: tuple[int, ...], windows: tuple[int, ...], qp: Column) -> Column:
+    """An array of contexts (a, b, slow, fast) as a slice of quantizer ``qp`` starts them."""
+
+    def one(init: int, window: int) -> Column:
+        start = (initial_probability(F.lit(init), qp) * 256).cast("int")
+        slow, fast = adaptation(F.lit(window))
+        return F.struct(*[start.bitwiseAND(F.lit(k)).alias(n) for n, k in zip("ab", KEPT, strict=True)], slow.cast("int").alias("slow"), fast.cast("int").alias("fast"))
+
+    return F.array(*[one(i, w) for i, w in zip(inits, windows, strict=True)])
+
+
+def adapted_each(start: str, bins: str) -> Column:
+    """The 8-bit probability of a one before each of the array ``bins`` of (ctx, bin), each bin moving its own of the contexts in array ``start``.
+
+    The fold's state is the array of all contexts; a bin replaces the one it was coded in.
+    """
+
+    def moved(name: str, rate: str, digits: int) -> str:
+        return f"c.{name} - (shiftright(c.{name}, c.{rate}) & {digits}) + if(v.bin = 1, shiftright(32767, c.{rate}) & {digits}, 0)"
+
+    new = f"struct({moved('a', 'slow', KEPT[0])} AS a, {moved('b', 'fast', KEPT[1])} AS b, c.slow AS slow, c.fast AS fast)"
+    step = f"struct(transform(s.at, (c, i) -> if(i = v.ctx, {new}, c)) AS at, concat(s.out, array(shiftright(s.at[v.ctx].a + s.at[v.ctx].b, 8))) AS out)"
+    return F.expr(f"aggregate({bins}, struct({start} AS at, cast(array() AS array<int>) AS out), (s, v) -> {step}, s -> s.out)")
+
+
 def less_likely(prob: Column, span: Column) -> Column:
     """The part of a coder's range that is left to the less likely bin."""
     folded = F.when(prob >= 128, 255 - prob).otherwise(prob)

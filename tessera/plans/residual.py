@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from ..operators import rates, transforms, trellis
+from pyspark.sql import functions as F
+
+from ..operators import rates, states, transforms, trellis
+from ..sources import planes
 from .catalogue import QP, forward_sql, query, rows_of, scan_sql
 
 #: What a squared error of an 8 x 8 coefficient costs in squared samples, and a bit at the quantizer.
@@ -27,3 +30,23 @@ _BITS = "CASE WHEN l <= 0 THEN 0 WHEN l = 1 THEN 3 WHEN l <= 3 THEN 5 ELSE 6 + 2
 )
 def dq_trellis(spark, sf_dir):
     return trellis.quantized(transforms.forward(rows_of(spark, sf_dir, 8), 8, 8), 8, 8, QP, SCALE)
+
+
+@query(
+    "ctx_walk",
+    f"""WITH RECURSIVE {planes.RAW_SQL}, b AS (SELECT y, x, v % 2 AS bin, coalesce(lag(v % 2, 1) OVER w, 0) + coalesce(lag(v % 2, 2) OVER w, 0) + 3 * ((v // 8) % 4) AS ctx FROM raw WINDOW w AS (PARTITION BY y ORDER BY x)),
+    o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY y, ctx ORDER BY x) AS k FROM b),
+    i AS (SELECT c - 1 AS ctx, [25, 19, 28, 14, 25, 20, 29, 30, 19, 37, 30, 38][c] AS init, [12, 9, 9, 10, 9, 9, 9, 10, 8, 8, 8, 10][c] AS win FROM range(1, 13) r(c)),
+    z AS (SELECT DISTINCT o.y, ctx, least(127, greatest(1, ((((init >> 3) - 4) * (o.y % 64 - 16)) >> 1) + (init & 7) * 18 + 1)) * 256 AS s, 2 + ((win >> 2) & 3) AS slow, 5 + ((win >> 2) & 3) + (win & 3) AS fast FROM o JOIN i USING (ctx)),
+    t AS (SELECT y, ctx, 1::BIGINT AS k, (s & 32736)::BIGINT AS a, (s & 32766)::BIGINT AS b, slow, fast FROM z UNION ALL
+      SELECT t.y, t.ctx, t.k + 1, a - ((a >> slow::INTEGER) & 32736) + CASE WHEN bin = 1 THEN (32767 >> slow::INTEGER) & 32736 ELSE 0 END, b - ((b >> fast::INTEGER) & 32766) + CASE WHEN bin = 1 THEN (32767 >> fast::INTEGER) & 32766 ELSE 0 END, slow, fast
+      FROM t JOIN o ON o.y = t.y AND o.ctx = t.ctx AND o.k = t.k)
+    SELECT y, x, ctx, bin, ((a + b) >> 8)::BIGINT AS prob FROM t JOIN o USING (y, ctx, k)""",
+)
+def ctx_walk(spark, sf_dir):
+    """Parities of a row's samples coded in twelve contexts, chosen by the two bins before and the sample's height; the row gives the quantizer."""
+    bins = F.expr("transform(row, (v, x) -> struct(cast(if(x > 0, row[x - 1] % 2, 0) + if(x > 1, row[x - 2] % 2, 0) + 3 * ((v div 8) % 4) AS int) AS ctx, cast(v % 2 AS int) AS bin))")
+    start = states.contexts(states.SIGNIFICANT, states.SIGNIFICANT_WINDOWS, F.col("y") % 64)
+    coded = planes.embedding_rows(spark, sf_dir).select("y", start.alias("start"), bins.alias("bins"))
+    found = coded.select("y", F.posexplode(F.arrays_zip("bins", states.adapted_each("start", "bins").alias("prob"))).alias("x", "e"))
+    return found.select("y", F.col("x").cast("bigint").alias("x"), *[F.col(f"e.{c}").cast("bigint").alias(c.split(".")[-1]) for c in ("bins.ctx", "bins.bin", "prob")])
