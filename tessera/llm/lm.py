@@ -48,7 +48,7 @@ CLASSES = GROUPS * MEMBERS
 WINDOW, CONTEXT, BATCH = 32, 8, 128
 FRESH = WINDOW - CONTEXT
 #: Windows a step of training, and rounds of it, each through another equal part of all windows.
-STEP, ROUNDS, RATE = 64, 4, 0.006
+STEP, ROUNDS, RATE = 64, 2, 0.006
 #: Bytes of text of a chunk, words that are scored at a time, and words of a phrase on average.
 CHUNK, STRETCH, PHRASE = 8 << 20, 1 << 18, 16
 #: Words whose ids a Python worker remembers.
