@@ -176,3 +176,64 @@ def deblocked(rows: DataFrame, leaves: DataFrame, width: int, ctu: int = 128) ->
     near = sent.groupBy((F.col("b") + F.col("to")).alias("b")).agg(place(0).alias("own"), place(1).alias("above"), place(-1).alias("below")).where("own IS NOT NULL")
     done = near.select("b", F.posexplode(F.expr(level(ctu, width))).alias("k", "row"))
     return done.select((F.col("b") * 8 + F.col("k")).alias("y"), "row")
+
+
+def chroma_run(lines: str, size_p: str, size_q: str, qp: str, ctb: str) -> str:
+    """Two lines of eight chroma samples across an edge, after smoothing, as an expression; sizes and edges are those of luma.
+
+    ``ctb``: the edge is the upper one of a coding tree unit, above which one sample changes and two are read.
+    """
+    p, q = (lambda k, a="a": f"{a}[{3 - k}]"), (lambda k, a="a": f"{a}[{4 + k}]")
+    strengths, thresholds = ", ".join(map(str, STRENGTH)), ", ".join(str(threshold(k)) for k in range(64))
+    tc, beta = half(f"array({strengths})[cast({clip(f'{qp} + 2', 0, len(STRENGTH) - 1)} AS int)] + 2", 2), f"array({thresholds})[cast({clip(qp, 0, 63)} AS int)]"
+    bend_p = lambda a: f"if(t.ctb, abs({p(0, a)} - {p(1, a)}), abs({p(2, a)} - 2 * {p(1, a)} + {p(0, a)}))"
+    d = lambda a: f"({bend_p(a)} + abs({q(2, a)} - 2 * {q(1, a)} + {q(0, a)}))"
+    flat = lambda a: f"(if(t.ctb, abs({p(1, a)} - {p(0, a)}), abs({p(3, a)} - {p(0, a)})) + abs({q(3, a)} - {q(0, a)}) < {half('t.beta', 3)} AND 2 * {d(a)} < {half('t.beta', 2)} AND abs({p(0, a)} - {q(0, a)}) < {half('5 * t.tc + 1')})"
+    full = f"t.large AND {d('z[0]')} + {d('z[1]')} < t.beta AND {flat('z[0]')} AND {flat('z[1]')}"
+    step = clip(half(f"4 * ({q(0)} - {p(0)}) + {p(1)} - {q(1)} + 4", 3), "-t.tc", "t.tc")
+    weak = f"transform(array({step}), e -> array({p(3)}, {p(2)}, {p(1)}, {clip(f'{p(0)} + e', 0, 255)}, {clip(f'{q(0)} - e', 0, 255)}, {q(1)}, {q(2)}, {q(3)}))[0]"
+    mean = lambda old, *weights: near(old, half(" + ".join(f"{n} * {v}" for v, n in weights) + " + 4", 3), "t.tc")
+    q1 = mean(q(1), (p(1), 1), (p(0), 1), (q(0), 1), (q(1), 2), (q(2), 1), (q(3), 2))
+    q2 = mean(q(2), (p(0), 1), (q(0), 1), (q(1), 1), (q(2), 2), (q(3), 3))
+    both = [
+        p(3), mean(p(2), (p(3), 3), (p(2), 2), (p(1), 1), (p(0), 1), (q(0), 1)), mean(p(1), (p(3), 2), (p(2), 1), (p(1), 2), (p(0), 1), (q(0), 1), (q(1), 1)),
+        mean(p(0), (p(3), 1), (p(2), 1), (p(1), 1), (p(0), 2), (q(0), 1), (q(1), 1), (q(2), 1)), mean(q(0), (p(2), 1), (p(1), 1), (p(0), 1), (q(0), 2), (q(1), 1), (q(2), 1), (q(3), 1)), q1, q2, q(3),
+    ]
+    low = [p(3), p(2), p(1), mean(p(0), (p(1), 3), (p(0), 2), (q(0), 1), (q(1), 1), (q(2), 1)), mean(q(0), (p(1), 2), (p(0), 1), (q(0), 2), (q(1), 1), (q(2), 1), (q(3), 1)), q1, q2, q(3)]
+    facts = f"struct({tc} AS tc, {beta} AS beta, {ctb} AS ctb, {size_p} >= 16 AND {size_q} >= 16 AS large)"
+    line = f"if(NOT full, {weak}, if(t.ctb, array({', '.join(low)}), array({', '.join(both)})))"
+    return let("z", lines, let("t", facts, let("full", full, f"transform(z, a -> {line})")))
+
+
+def chroma_upright(width: int) -> str:
+    """Four chroma ``rows`` after the edges of ``cover`` that lie on the grid of eight samples."""
+    run = lambda k: chroma_run(f"transform(slice(acc, {k}, 2), r -> slice(r, x - 3, 8))", "cover[i - 1].size", "cover[i].size", half("cover[i - 1].qp + cover[i].qp + 1"), "false")
+    changed = f"zip_with(acc, concat({run(1)}, {run(3)}), (r, n) -> concat(slice(r, 1, x - 4), n, slice(r, x + 5, {width})))"
+    step = let("x", "cast(cover[i].x div 2 AS int)", changed)
+    edges = "filter(if(size(cover) > 1, sequence(1, size(cover) - 1), cast(array() AS array<int>)), i -> cover[i].x % 16 = 0)"
+    return f"aggregate({edges}, rows, (acc, i) -> {step})"
+
+
+def chroma_level(ctu: int, width: int) -> str:
+    """The rows of ``above`` and ``below`` (null beyond the picture), four each, after the edge between them, that is 8 * e in chroma."""
+    at = lambda part: f"filter({part}.cover, c -> c.x <= 2 * x AND 2 * x < c.x + c.size)[0]"
+    lines = "transform(sequence(x, x + 1), c -> concat(transform(above.rows, r -> r[c]), transform(below.rows, r -> r[c])))"
+    run = chroma_run(lines, "o.upper.size", "o.lower.size", half("o.upper.qp + o.lower.qp + 1"), f"(e * 8 % {ctu // 2} = 0)")
+    column = let("o", f"struct({at('above')} AS upper, {at('below')} AS lower)", f"if(o.lower.y = e * 16, {run}, {lines})")
+    columns = f"flatten(transform(sequence(0, {width - 2}, 2), x -> {column}))"
+    turned = let("every", columns, "transform(sequence(0, 7), k -> transform(every, w -> w[k]))")
+    return f"CASE WHEN above IS NULL THEN below.rows WHEN below IS NULL THEN above.rows ELSE {turned} END"
+
+
+def chroma_deblocked(rows: DataFrame, leaves: DataFrame, width: int, ctu: int = 128) -> DataFrame:
+    """(y, row) of a chroma plane of half the width and height, its rows padded to a multiple of four; ``leaves`` are those of luma.
+
+    Rows are shuffled twice: into blocks of four, and then each block to the one across its only edge on the grid.
+    """
+    blocks = rows.groupBy(F.expr("y div 4").alias("b")).agg(F.sort_array(F.collect_list(F.struct("y", "row"))).alias("rows"))
+    one = blocks.join(covers(leaves), "b").select("b", F.transform("rows", lambda r: r["row"]).alias("rows"), "cover")
+    one = one.select(F.expr("(b + 1) div 2").alias("e"), "b", F.struct(F.expr(chroma_upright(width)).alias("rows"), "cover").alias("part"))
+    place = lambda odd: F.first(F.when(F.col("b") % 2 == odd, F.col("part")), ignorenulls=True)
+    pairs = one.groupBy("e").agg(place(1).alias("above"), place(0).alias("below"))
+    done = pairs.select("e", F.col("above").isNull().alias("first"), F.posexplode(F.expr(chroma_level(ctu, width))).alias("k", "row"))
+    return done.select((F.col("e") * 8 + F.col("k") - F.when(F.col("first"), 0).otherwise(4)).alias("y"), "row")

@@ -102,3 +102,37 @@ def pass_sql(plane: str, out: str, tag: str, across: str, along: str) -> str:
 def deblock_luma(spark, sf_dir):
     rows = tempered(rows_of(spark, sf_dir, 8))
     return planes.samples(deblock.deblocked(rows, leaves(rows), planes.WIDTH, CTU))
+
+
+def chroma_pass_sql(plane: str, out: str, tag: str, across: str, along: str) -> str:
+    """Tables that end in ``out``(y, x, v): the chroma ``plane`` after the edges between luma neighbours in ``across`` that lie on its grid of eight."""
+    p, q = (lambda k, a="a": f"{a}[{4 - k}]"), (lambda k, a="a": f"{a}[{5 + k}]")
+    ctb = f"e % {CTU // 2} = 0" if across == "y" else "false"
+    bend = lambda a: f"CASE WHEN ctb THEN abs({p(0, a)} - {p(1, a)}) ELSE abs({p(2, a)} - 2 * {p(1, a)} + {p(0, a)}) END + abs({q(2, a)} - 2 * {q(1, a)} + {q(0, a)})"
+    flat = lambda a: f"(CASE WHEN ctb THEN abs({p(1, a)} - {p(0, a)}) ELSE abs({p(3, a)} - {p(0, a)}) END + abs({q(3, a)} - {q(0, a)}) < beta >> 3 AND 2 * ({bend(a)}) < beta >> 2 AND abs({p(0, a)} - {q(0, a)}) < (5 * tc + 1) >> 1)"
+    near = lambda v, new: f"least(greatest(({new} + 4) >> 3, {v} - tc), {v} + tc)"
+    delta = f"least(tc, greatest(-tc, (4 * ({q(0)} - {p(0)}) + {p(1)} - {q(1)} + 4) >> 3))"
+    weak = f"[{p(3)}, {p(2)}, {p(1)}, least(255, greatest(0, {p(0)} + {delta})), least(255, greatest(0, {q(0)} - {delta})), {q(1)}, {q(2)}, {q(3)}]"
+    q1, q2 = near(q(1), f"{p(1)} + {p(0)} + {q(0)} + 2 * {q(1)} + {q(2)} + 2 * {q(3)}"), near(q(2), f"{p(0)} + {q(0)} + {q(1)} + 2 * {q(2)} + 3 * {q(3)}")
+    low = f"[{p(3)}, {p(2)}, {p(1)}, {near(p(0), f'3 * {p(1)} + 2 * {p(0)} + {q(0)} + {q(1)} + {q(2)}')}, {near(q(0), f'2 * {p(1)} + {p(0)} + 2 * {q(0)} + {q(1)} + {q(2)} + {q(3)}')}, {q1}, {q2}, {q(3)}]"
+    full = f"""[{p(3)}, {near(p(2), f'3 * {p(3)} + 2 * {p(2)} + {p(1)} + {p(0)} + {q(0)}')}, {near(p(1), f'2 * {p(3)} + {p(2)} + 2 * {p(1)} + {p(0)} + {q(0)} + {q(1)}')}, {near(p(0), f'{p(3)} + {p(2)} + {p(1)} + 2 * {p(0)} + {q(0)} + {q(1)} + {q(2)}')},
+        {near(q(0), f'{p(2)} + {p(1)} + {p(0)} + 2 * {q(0)} + {q(1)} + {q(2)} + {q(3)}')}, {q1}, {q2}, {q(3)}]"""
+    return f"""
+    cs{tag} AS (SELECT q.c{across} * 2 AS e, q.c{along} AS g, p.size >= 16 AND q.size >= 16 AS large, (p.qp + q.qp + 1) >> 1 AS qp FROM cell q JOIN cell p ON p.c{along} = q.c{along} AND p.c{across} = q.c{across} - 1 WHERE q.{across} = q.c{across} * 4 AND q.c{across} % 4 = 0),
+    cl{tag} AS MATERIALIZED (SELECT e, g, {ctb} AS ctb, any_value(large) AS large, any_value(qp) AS qp, {along} AS k, list(v ORDER BY {across}) AS a FROM cs{tag} JOIN {plane} ON {along} // 2 = g AND {across} BETWEEN e - 4 AND e + 3 GROUP BY e, g, {along}),
+    ct{tag} AS (SELECT *, (({_TC})[least(65, greatest(0, qp + 2)) + 1] + 2) >> 2 AS tc, CASE WHEN qp < 16 THEN 0 WHEN qp <= 28 THEN qp - 10 ELSE 2 * qp - 38 END AS beta FROM cl{tag}),
+    cd{tag} AS (SELECT e, g, large AND {bend('f')} + {bend('l')} < beta AND {flat('f')} AND {flat('l')} AS strong FROM (SELECT e, g, ctb, large, tc, beta, a AS f FROM ct{tag} WHERE k % 2 = 0) m JOIN (SELECT e, g, a AS l FROM ct{tag} WHERE k % 2 = 1) t USING (e, g)),
+    cn{tag} AS (SELECT e, k, a, CASE WHEN NOT strong THEN {weak} WHEN ctb THEN {low} ELSE {full} END AS n FROM ct{tag} JOIN cd{tag} USING (e, g)),
+    co{tag} AS (SELECT e - 5 + i AS {across}, k AS {along}, n[i] AS n FROM cn{tag}, range(1, 9) r(i) WHERE n[i] <> a[i]),
+    {out} AS MATERIALIZED (SELECT y, x, coalesce(n, v)::BIGINT AS v FROM {plane} LEFT JOIN co{tag} USING (y, x))"""
+
+
+@query(
+    "deblock_chroma",
+    f"WITH RECURSIVE {planes.plane_sql(8)}, {AREAS}, {LEAVES}, small AS (SELECT y // 2 AS y, x // 2 AS x, v FROM area WHERE y % 2 = 0 AND x % 2 = 0), {chroma_pass_sql('small', 'once', 'v', 'x', 'y')}, {chroma_pass_sql('once', 'twice', 'h', 'y', 'x')} SELECT y, x, v FROM twice",
+)
+def deblock_chroma(spark, sf_dir):
+    """Every second sample of every second row as a chroma plane, with the leaves of the whole one."""
+    rows = tempered(rows_of(spark, sf_dir, 8))
+    small = rows.where("y % 2 = 0").select(F.expr("y div 2").alias("y"), F.expr("filter(row, (v, x) -> x % 2 = 0)").alias("row"))
+    return planes.samples(deblock.chroma_deblocked(small, leaves(rows), planes.WIDTH // 2, CTU))

@@ -124,3 +124,78 @@ def test_equals_brute_force(spark, seed):
     want = brute(plane, leaves, 128, seen)
     assert {m for _, m, *_ in seen} == {None, "weak", "strong", "long"} and {(a, b) for _, m, a, b, _ in seen if m == "long"} == {(True, True), (True, False), (False, True)}
     assert want != before and sorted(got) == list(range(400)) and all(got[y] == want[y] for y in range(400))
+
+
+def chroma_brute(plane, leaves, ctu, seen):
+    """4:2:0: ``leaves`` in luma, the plane at half its size."""
+    height, width = len(plane), len(plane[0])
+    at = {(x, y): leaf for leaf in leaves for y in range(leaf[1], leaf[1] + leaf[2], 4) for x in range(leaf[0], leaf[0] + leaf[2], 4)}
+    clip = lambda lo, hi, v: max(lo, min(hi, v))
+    for upright in (True, False):
+        for y in range(0, height, 2 if upright else 8):
+            for x in range(0, width, 8 if upright else 2):
+                along = x if upright else y
+                leaf = at[2 * x, 2 * y]
+                if along == 0 or leaf[0 if upright else 1] != 2 * along:
+                    continue
+                other = at[(2 * x - 4, 2 * y) if upright else (2 * x, 2 * y - 4)]
+                qp, ctb = (leaf[3] + other[3] + 1) >> 1, not upright and y % (ctu // 2) == 0
+                tc, beta = (TC[clip(0, 65, qp + 2)] + 2) >> 2, deblock.threshold(clip(0, 63, qp))
+
+                def g(n, k):
+                    return plane[y + n][x + k] if upright else plane[y + k][x + n]
+
+                strong = False
+                if leaf[2] >= 16 and other[2] >= 16:
+                    d = [(abs(g(n, -2) - g(n, -1)) if ctb else abs(g(n, -3) - 2 * g(n, -2) + g(n, -1))) + abs(g(n, 0) - 2 * g(n, 1) + g(n, 2)) for n in (0, 1)]
+                    if sum(d) < beta:
+                        strong = all(
+                            abs((g(n, -2) if ctb else g(n, -4)) - g(n, -1)) + abs(g(n, 3) - g(n, 0)) < beta >> 3 and 2 * d[n] < beta >> 2 and abs(g(n, -1) - g(n, 0)) < (5 * tc + 1) >> 1 for n in (0, 1)
+                        )
+                seen.add((upright, strong, ctb))
+                for n in (0, 1):
+                    a = [g(n, k) for k in range(-4, 4)]
+                    new = {}
+                    if not strong:
+                        delta = clip(-tc, tc, (4 * (a[4] - a[3]) + a[2] - a[5] + 4) >> 3)
+                        new = {-1: clip(0, 255, a[3] + delta), 0: clip(0, 255, a[4] - delta)}
+                    else:
+                        taps = {-1: (0, 0, 3, 2, 1, 1, 1, 0), 0: (0, 0, 2, 1, 2, 1, 1, 1)} if ctb else {-3: (3, 2, 1, 1, 1, 0, 0, 0), -2: (2, 1, 2, 1, 1, 1, 0, 0), -1: (1, 1, 1, 2, 1, 1, 1, 0), 0: (0, 1, 1, 1, 2, 1, 1, 1)}
+                        taps |= {1: (0, 0, 1, 1, 1, 2, 1, 2), 2: (0, 0, 0, 1, 1, 1, 2, 3)}
+                        for k, t in taps.items():
+                            new[k] = clip(a[k + 4] - tc, a[k + 4] + tc, (sum(u * v for u, v in zip(t, a, strict=True)) + 4) >> 3)
+                    for k, v in new.items():
+                        if upright:
+                            plane[y + n][x + k] = v
+                        else:
+                            plane[y + k][x + n] = v
+    return plane
+
+
+def test_chroma_equals_brute_force(spark):
+    rng = random.Random(8)
+    leaves = []
+
+    def split(x, y, size):
+        if size > 8 and (size == 128 or rng.random() < 0.5):
+            for dy in (0, size // 2):
+                for dx in (0, size // 2):
+                    split(x + dx, y + dy, size // 2)
+        else:
+            leaves.append((x, y, size, rng.choice([20, 33, 40, 51])))
+
+    for y in range(0, 384, 128):
+        split(0, y, 128)
+    leaves = [leaf for leaf in leaves if leaf[1] < 296]
+    plane = [[0] * 64 for _ in range(148)]
+    for x0, y0, size, _ in leaves:
+        base, noise = rng.randrange(100, 140), rng.choice([0, 0, 1, 9])
+        for y in range(y0 // 2, min(148, (y0 + size) // 2)):
+            for x in range(x0 // 2, (x0 + size) // 2):
+                plane[y][x] = (base + 120) // 2 + rng.randint(-noise, noise)
+    rows = spark.createDataFrame(list(enumerate(plane)), "y long, row array<long>")
+    got = {r.y: list(r.row) for r in deblock.chroma_deblocked(rows, spark.createDataFrame(leaves, "x long, y long, size long, qp long"), 64).collect()}
+    seen = set()
+    want = chroma_brute([list(r) for r in plane], leaves, 128, seen)
+    assert {(s, c) for _, s, c in seen} == {(True, True), (True, False), (False, True), (False, False)} and want != plane
+    assert sorted(got) == list(range(148)) and all(got[y] == want[y] for y in range(148))
