@@ -104,7 +104,8 @@ def last_significant(levels: DataFrame, order: list[tuple[int, int]]) -> DataFra
 def best_modes(residuals: DataFrame, keys: list[str], size: int, keep: int) -> DataFrame:
     """(keys, mode, satd, rank): of each block the ``keep`` modes of least absolute Hadamard sum, ties to the smaller mode.
 
-    ``residuals``: keys, mode, y, x, v. Only sums reach the ranking, one row a block and mode.
+    ``residuals``: keys, mode, y, x, v. Where they come from blocks that were dealt out by the keys, nothing here
+    is shuffled; otherwise only sums reach the ranking, one row a block and mode.
     """
     rows = column_pass(residuals, [*keys, "mode", "y"], F.col("x"), F.col("v"), hadamard(size), "t").select(*keys, "mode", "y", F.posexplode("t").alias("u", "t"))
     both = column_pass(rows, [*keys, "mode", "u"], F.col("y"), F.col("t"), hadamard(size), "c")

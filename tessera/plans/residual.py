@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import rates, states, transforms, trellis
+from ..operators import modes, rates, secondary, states, transforms, trellis
 from ..sources import planes
 from .catalogue import QP, forward_sql, query, rows_of, scan_sql
 
@@ -50,3 +50,43 @@ def ctx_walk(spark, sf_dir):
     coded = planes.embedding_rows(spark, sf_dir).select("y", start.alias("start"), bins.alias("bins"))
     found = coded.select("y", F.posexplode(F.arrays_zip("bins", states.adapted_each("start", "bins").alias("prob"))).alias("x", "e"))
     return found.select("y", F.col("x").cast("bigint").alias("x"), *[F.col(f"e.{c}").cast("bigint").alias(c.split(".")[-1]) for c in ("bins.ctx", "bins.bin", "prob")])
+
+
+_SHAPES = ((8, 8), (4, 4), (16, 8))
+_SET = "CASE WHEN p <= 1 THEN 0 WHEN p BETWEEN 24 AND 44 THEN 3 WHEN p BETWEEN 13 AND 55 THEN 2 ELSE 1 END"
+
+
+def secondary_sql(w: int, h: int) -> str:
+    """(brow, bcol, u, v, c, back) of one shape: kernels from their formulas, positions from the shape of the corner."""
+    side, rows, n = (4, 8, 16) if (w, h) == (4, 4) else (8, 8 if w == h else 16, 48)
+    angle = "CASE WHEN m > 1 AND m < 8 THEN m + 65 ELSE m END" if w > h else "m"
+    return f"""SELECT {w}::BIGINT AS w, {h}::BIGINT AS h, * FROM (WITH {forward_sql(w, h)},
+      pl AS (SELECT brow, bcol, CASE WHEN g >= 67 THEN g + 14 ELSE g END AS p FROM (SELECT brow, bcol, {angle} AS g FROM (SELECT DISTINCT brow, bcol, (brow * 8 + bcol * 5) % 67 AS m FROM coef))),
+      bl AS (SELECT brow, bcol, {_SET} AS st, p >= 81 OR (p > 34 AND p < 67) AS turn FROM pl),
+      ps AS (SELECT row_number() OVER (ORDER BY y, x) - 1 AS i, x, y FROM range(0, {side}) a(x), range(0, {side}) b(y) WHERE y < 4 OR x < 4),
+      dg AS (SELECT row_number() OVER (ORDER BY x + y, x) - 1 AS k, x, y FROM range(0, 4) a(x), range(0, 4) b(y) QUALIFY k < {rows}),
+      kr AS (SELECT st, k, i, round(128 * sqrt(2.0::DOUBLE / {n}) * CASE st WHEN 0 THEN cos(pi() / {n} * (i + 0.5::DOUBLE) * k) * CASE WHEN k = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END WHEN 1 THEN sin(pi() / {n} * (i + 0.5::DOUBLE) * (k + 1)) * CASE WHEN k = {n - 1} THEN sqrt(0.5::DOUBLE) ELSE 1 END
+        WHEN 2 THEN cos(pi() / {n} * (i + 0.5::DOUBLE) * (k + 0.5::DOUBLE)) ELSE sin(pi() / {n} * (i + 0.5::DOUBLE) * (k + 0.5::DOUBLE)) END)::BIGINT AS m FROM range(0, 4) a(st), range(0, {rows}) b(k), range(0, {n}) c(i)),
+      iv AS (SELECT brow, bcol, st, turn, i, c FROM bl JOIN ps ON true JOIN coef USING (brow, bcol) WHERE u = CASE WHEN turn THEN y ELSE x END AND v = CASE WHEN turn THEN x ELSE y END),
+      fw AS (SELECT brow, bcol, any_value(iv.st) AS st, any_value(turn) AS turn, k, (sum(c * m)::BIGINT + 64) >> 7 AS c FROM iv JOIN kr ON kr.st = iv.st AND kr.i = iv.i GROUP BY brow, bcol, k),
+      bk AS (SELECT brow, bcol, any_value(turn) AS turn, i, least(32767, greatest(-32768, (sum(c * m)::BIGINT + 64) >> 7)) AS c FROM fw JOIN kr ON kr.st = fw.st AND kr.k = fw.k GROUP BY brow, bcol, i),
+      f2 AS (SELECT brow, bcol, x AS u, y AS v, c FROM fw JOIN dg USING (k)), b2 AS (SELECT brow, bcol, CASE WHEN turn THEN y ELSE x END AS u, CASE WHEN turn THEN x ELSE y END AS v, c FROM bk JOIN ps USING (i))
+    SELECT q.brow, q.bcol, q.u, q.v, coalesce(f2.c, 0)::BIGINT AS c, coalesce(b2.c, 0)::BIGINT AS back FROM coef q LEFT JOIN f2 ON f2.brow = q.brow AND f2.bcol = q.bcol AND f2.u = q.u AND f2.v = q.v LEFT JOIN b2 ON b2.brow = q.brow AND b2.bcol = q.bcol AND b2.u = q.u AND b2.v = q.v)"""
+
+
+@query("secondary_transform", " UNION ALL ".join(secondary_sql(w, h) for w, h in _SHAPES))
+def secondary_transform(spark, sf_dir):
+    """Every block of three shapes, in a mode that its place draws, after the secondary transform, and what its inverse gives back."""
+    out = None
+    for w, h in _SHAPES:
+        side, rows = secondary.shape(w, h)
+        kernels = secondary.bases(side, rows, 1)
+        found = secondary.by_rows(transforms.forward(rows_of(spark, sf_dir, h), w, h), w)
+        mode = (F.col("brow") * 8 + F.col("bcol") * 5) % 67
+        place = secondary.lookup(modes.wide_angle(F.lit(w), F.lit(h), mode, back=67).cast("bigint"))
+        found = found.withColumn("place", place).withColumn("c", secondary.forward(F.col("block"), F.col("place"), w, h, kernels))
+        found = found.withColumn("back", secondary.inverse(F.col("c"), F.col("place"), w, h, kernels))
+        each = found.select("brow", "bcol", F.posexplode(F.arrays_zip("c", "back")).alias("at", "e"))
+        one = each.select(F.lit(w).cast("bigint").alias("w"), F.lit(h).cast("bigint").alias("h"), "brow", "bcol", (F.col("at") % w).cast("bigint").alias("u"), F.expr(f"at div {w}").alias("v"), F.col("e.c").alias("c"), F.col("e.back").alias("back"))
+        out = one if out is None else out.union(one)
+    return out

@@ -155,7 +155,7 @@ def luma_sql(n: int) -> str:
 @query("pred_luma", f"WITH {luma_sql(8)} SELECT id, m AS mode, sum(p)::BIGINT AS total, sum(p * (j * 8 + i + 1))::BIGINT AS weighted, min(p)::BIGINT AS least, max(p)::BIGINT AS most FROM pr GROUP BY ALL")
 def pred_luma(spark, sf_dir):
     """Every luma mode of an 8 x 8 block out of each row; of its 64 samples two sums and the ends."""
-    p = prediction.luma(references(spark, sf_dir).drop("row"), 8)
+    p = prediction.luma(references(spark, sf_dir).drop("row").repartition("id"), 8)  # blocks are dealt out before their samples, so no sum shuffles
     return p.groupBy("id", "mode").agg(F.sum("p").alias("total"), F.sum(F.col("p") * (F.col("y") * 8 + F.col("x") + 1)).alias("weighted"), F.min("p").alias("least"), F.max("p").alias("most"))
 
 
@@ -172,7 +172,7 @@ _SIGNS = ", ".join(f"({k}, {n}, {1 - 2 * (bin(k & n).count('1') % 2)})" for k in
 def mode_search(spark, sf_dir):
     """The four of all 67 luma modes with the least absolute Hadamard sum, for a 4 x 4 block out of each row."""
     own = F.element_at("row", (34 + F.col("y") * 4 + F.col("x")).cast("int"))
-    return blocks.best_modes(prediction.luma(references(spark, sf_dir), 4).select("id", "mode", "y", "x", (own - F.col("p")).alias("v")), ["id"], 4, 4)
+    return blocks.best_modes(prediction.luma(references(spark, sf_dir).repartition("id"), 4).select("id", "mode", "y", "x", (own - F.col("p")).alias("v")), ["id"], 4, 4)
 
 
 @query(
