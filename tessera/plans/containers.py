@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import headers
-from .catalogue import query
+from ..functions.metadata import hex_of
+from ..sources import streams
+from .catalogue import ZERO_RICH, query, zero_rich
 
 # A value for field i of the header of part k: digits by kind, sizes in eights, and depths that are mostly allowed.
 _VALUE = """CASE WHEN name IN ('coded_width', 'coded_height') THEN 8 * (k * (i + 1) % 500 + 1) WHEN name IN ('crop_right', 'crop_bottom') THEN k * i % 40 WHEN name = 'bit_depth_minus8' THEN [0, 2, 4, 0, 3][(k % 5 + 1)::INTEGER]
@@ -54,3 +56,40 @@ _FLAG = lambda name: f"coalesce({_OF(name)}, 0) > 0"
 def header_summary(spark, sf_dir):
     found = headers.summary(F.col("header"))
     return cut_headers(spark, sf_dir).select("p_partkey", *[c.alias(k) for k, c in found.items()])
+
+
+def files(spark, sf_dir) -> DataFrame:
+    """(y, data): a container for each plane row, with two items in its data; some have a broken length, some an extent that lies outside."""
+    number = lambda v, n: hex_of(v.cast("bigint") if not isinstance(v, int) else F.lit(v), 2 * n)
+    y = F.col("y")
+    first = 16 + y % 32
+    extent = lambda at, length: F.concat(number(at, 4), number(length, 4))
+    entry = lambda item, *extents: F.concat(number(item, 2), number(0, 2), number(len(extents), 2), *extents)
+    far = F.when(y % 11 == 5, 100_000).otherwise(158)
+    iloc = F.concat(F.lit("0000000044000002"), entry(1, extent(far, first)), entry(2, extent(158 + first, F.lit(8)), extent(166 + first, 56 - first)))
+    ipco = streams.box("ipco", F.concat(streams.box("ispe", F.lit("00" * 12)), streams.box("colr", F.lit("6E636C78"))))
+    ipco = F.when(y % 7 == 3, F.concat(F.lit("00010000"), F.substring(ipco, 9, 1 << 20))).otherwise(ipco)
+    meta = F.concat(F.lit("00000000"), streams.box("hdlr", F.lit("70696374")), streams.box("pitm", F.lit("000000000001")), streams.box("iloc", iloc), streams.box("iprp", ipco))
+    return zero_rich(spark, sf_dir).select("y", F.concat(streams.box("ftyp", F.lit("68656963")), streams.box("meta", meta), streams.box("mdat", F.col("raw"))).alias("data"))
+
+
+@query(
+    "box_tree",
+    f"""WITH {ZERO_RICH}, b(path, parent, name, s, e) AS (VALUES ('0', NULL, 'ftyp', 8, 12), ('1', NULL, 'meta', 20, 150), ('1/0', '1', 'hdlr', 32, 36), ('1/1', '1', 'pitm', 44, 50), ('1/2', '1', 'iloc', 58, 102), ('1/3', '1', 'iprp', 110, 150),
+      ('1/3/0', '1/3', 'ipco', 118, 150), ('1/3/0/0', '1/3/0', 'ispe', 126, 138), ('1/3/0/1', '1/3/0', 'colr', 146, 150), ('2', NULL, 'mdat', 158, 222))
+    SELECT y, path, parent, CASE WHEN y % 7 = 3 AND name = 'ipco' THEN NULL ELSE name END AS name, (CASE WHEN y % 7 = 3 AND name = 'ipco' THEN 110 ELSE s END)::BIGINT AS start, e::BIGINT AS "end", CASE WHEN y % 7 = 3 AND name = 'ipco' THEN 'broken length' END AS error
+    FROM z, b WHERE y % 7 <> 3 OR path NOT LIKE '1/3/0/%'""",
+)
+def box_tree(spark, sf_dir):
+    return streams.box_tree(files(spark, sf_dir), "y", "data")
+
+
+@query(
+    "item_extents",
+    f"""WITH {ZERO_RICH}, h AS (SELECT y, array_to_string(list_transform(b, lambda v: lpad(hex(v), 2, '0')), '') AS raw, 16 + y % 32 AS n FROM z),
+    x AS (SELECT y, raw, 1 AS item, 0 AS extent, CASE WHEN y % 11 = 5 THEN 100000 ELSE 158 END AS o, n AS l FROM h UNION ALL SELECT y, raw, 2, 0, 158 + n, 8 FROM h UNION ALL SELECT y, raw, 2, 1, 166 + n, 56 - n FROM h)
+    SELECT y, item::BIGINT AS item, extent::BIGINT AS extent, o::BIGINT AS "offset", l::BIGINT AS length, CASE WHEN o < 100000 THEN substr(raw, 2 * (o - 158) + 1, 2 * l) END AS payload, CASE WHEN o = 100000 THEN 'outside of the data' END AS error FROM x""",
+)
+def item_extents(spark, sf_dir):
+    made = files(spark, sf_dir)
+    return streams.item_extents(made, streams.box_tree(made, "y", "data"), "y", "data")
