@@ -144,11 +144,14 @@ def plan_records(pages: DataFrame) -> DataFrame:
     A null html is an empty payload. Of equal payloads of REVISIT_FROM bytes or more the smallest page_id is
     written whole, each other page_id refers to it; pages of no id never serve as the first. The smallest id
     is pre-aggregated before the shuffle; only digests that more than one row has are joined back, and a
-    digest with many pages is one that Spark's skew join may split.
+    digest with many pages is one that Spark's skew join may split. Shorter payloads have a join key of their
+    own, from id and address, so that they match nothing and empty pages do not gather.
     """
     with_digest = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    firsts = with_digest.where(F.octet_length("payload") >= REVISIT_FROM).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    return with_digest.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
+    long = F.octet_length("payload") >= REVISIT_FROM
+    firsts = with_digest.where(long).groupBy(F.col("digest").alias("_key")).agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    keyed = with_digest.withColumn("_key", F.when(long, F.col("digest")).otherwise(F.concat_ws(" ", F.lit("short"), F.col("page_id").cast("string"), "url")))
+    return keyed.join(firsts, "_key", "left").select("page_id", "url", "payload", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first")).alias("refers_to"))
 
 
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
