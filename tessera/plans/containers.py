@@ -25,11 +25,19 @@ _HEADER = f"""spec(i, name, kind, width, o, low, high) AS (VALUES {_SPEC}), w AS
 
 def cut_headers(spark, sf_dir) -> DataFrame:
     """(p_partkey, header): a header of values drawn from each part's key, every fifth one cut off, read again."""
-    t = spark.read.parquet(f"{sf_dir}/part.parquet")
-    at = lambda *names: f"i IN ({', '.join(str(headers.NAMES.index(n)) for n in names)})"
-    value = f"""CASE WHEN {at('coded_width', 'coded_height')} THEN 8 * (p_partkey * (i + 1) % 500 + 1) WHEN {at('crop_right', 'crop_bottom')} THEN p_partkey * i % 40 WHEN {at('bit_depth_minus8')} THEN array(0, 2, 4, 0, 3)[cast(p_partkey % 5 AS int)]
-        WHEN f.kind = 0 THEN (p_partkey * (2 * i + 3) + i + p_partkey div 7) % shiftleft(1, f.width) WHEN f.kind = 1 THEN p_partkey * (i + 5) % 11 WHEN f.kind = 2 THEN (p_partkey + i) % 9 - 4 END"""
-    made = t.select("p_partkey", "p_size", F.expr(f"transform({headers.spec()}, (f, i) -> cast({value} AS bigint))").alias("v")).withColumn("whole", headers.written("v"))
+    t = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size").repartition("p_partkey")  # narrow rows in few files, a header's work each
+
+    def value(i: int, name: str, kind: int, width: int) -> str:
+        if name in ("coded_width", "coded_height"):
+            return f"8 * (p_partkey * {i + 1} % 500 + 1)"
+        if name in ("crop_right", "crop_bottom"):
+            return f"p_partkey * {i} % 40"
+        if name == "bit_depth_minus8":
+            return "array(0, 2, 4, 0, 3)[cast(p_partkey % 5 AS int)]"
+        return {headers.U: f"(p_partkey * {2 * i + 3} + {i} + p_partkey div 7) % {1 << width}", headers.UE: f"p_partkey * {i + 5} % 11", headers.SE: f"(p_partkey + {i}) % 9 - 4"}.get(kind, "NULL")
+
+    values = ", ".join(f"cast({value(i, *f[:3])} AS bigint)" for i, f in enumerate(headers.FIELDS))
+    made = t.select("p_partkey", "p_size", F.expr(f"array({values})").alias("v")).withColumn("whole", headers.written("v"))
     keep = F.expr("cast(if(p_partkey % 5 = 0, length(whole) * (p_size % 40 + 10) div 50, length(whole)) AS int)")
     return made.select("p_partkey", F.substring("whole", F.lit(1), keep).alias("bits")).select("p_partkey", headers.read("bits").alias("header"))
 
