@@ -45,7 +45,8 @@ def cut_headers(spark, sf_dir) -> DataFrame:
 @query("header_fields", f"WITH {_HEADER} SELECT k AS p_partkey, i::BIGINT AS at, name AS field, v AS value FROM c WHERE here AND kind <> 3 AND until <= kept")
 def header_fields(spark, sf_dir):
     names = F.array(*map(F.lit, headers.NAMES))
-    each = cut_headers(spark, sf_dir).select("p_partkey", F.posexplode("header.out").alias("at", "value")).where("value IS NOT NULL")
+    # Outer: for a plain one Spark adds a filter on the array's size below, and makes every header again for it.
+    each = cut_headers(spark, sf_dir).select("p_partkey", F.posexplode_outer("header.out").alias("at", "value")).where("value IS NOT NULL")
     return each.select("p_partkey", F.col("at").cast("bigint").alias("at"), F.element_at(names, F.col("at") + 1).alias("field"), "value")
 
 

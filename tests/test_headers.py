@@ -43,7 +43,7 @@ def test_summary_of_a_bad_crop_and_depth(spark):
 def test_headers_are_made_and_read_once_without_folds(spark, tmp_path):
     rows = spark.range(1, 9).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size")
     rows.write.parquet(f"{tmp_path}/part.parquet")
-    for name in ("header_summary",):
+    for name in ("header_fields", "header_summary"):
         plan = catalogue.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("_read(") == 1 and "lambdafunction" not in plan
 
