@@ -101,17 +101,21 @@ def last_significant(levels: DataFrame, order: list[tuple[int, int]]) -> DataFra
     return levels.groupBy("brow", "bcol").agg(last.alias("last")).withColumn("cbf", F.col("last") >= 0)
 
 
-def best_modes(residuals: DataFrame, keys: list[str], size: int, keep: int) -> DataFrame:
+def best_modes(blocks: DataFrame, keys: list[str], residuals: str, modes, size: int, keep: int) -> DataFrame:
     """(keys, mode, satd, rank): of each block the ``keep`` modes of least absolute Hadamard sum, ties to the smaller mode.
 
-    ``residuals``: keys, mode, y, x, v. Where they come from blocks that were dealt out by the keys, nothing here
-    is shuffled; otherwise only sums reach the ranking, one row a block and mode.
+    ``residuals``: the column with an array of residuals by rows for each of ``modes``. A block is one row and stays it
+    until the kept modes are dealt out, so nothing is shuffled or held for more than one block.
     """
-    rows = column_pass(residuals, [*keys, "mode", "y"], F.col("x"), F.col("v"), hadamard(size), "t").select(*keys, "mode", "y", F.posexplode("t").alias("u", "t"))
-    both = column_pass(rows, [*keys, "mode", "u"], F.col("y"), F.col("t"), hadamard(size), "c")
-    cost = both.groupBy(*keys, "mode").agg(F.sum(F.aggregate("c", F.lit(0).cast("bigint"), lambda a, v: a + F.abs(v))).alias("satd"))
-    order = Window.partitionBy(*keys).orderBy("satd", "mode")
-    return cost.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= keep)
+    sums = "r"
+    for bit in range((size * size).bit_length() - 1):  # the two-dimensional transform, bit by bit of the place; its order is of no matter
+        both = ", ".join(f"h[{i}] + h[{i ^ 1 << bit}]" if not i >> bit & 1 else f"h[{i ^ 1 << bit}] - h[{i}]" for i in range(size * size))
+        sums = f"transform(array({sums}), h -> array({both}))[0]"
+    cost = f"aggregate({sums}, 0L, (s, v) -> s + abs(v))"
+    each = F.expr(f"zip_with(array({', '.join(f'{m}L' for m in modes)}), {residuals}, (m, r) -> struct({cost} AS satd, m AS mode))")
+    # Outer: for a plain one Spark may make the array again for a filter on its size.
+    best = blocks.select(*keys, F.posexplode_outer(F.slice(F.sort_array(each), 1, keep)).alias("_k", "_b"))
+    return best.select(*keys, "_b.mode", "_b.satd", (F.col("_k") + 1).cast("bigint").alias("rank"))
 
 
 def oblong_split(rows: DataFrame, w: int, h: int, qp: int, least: int = 8) -> DataFrame:

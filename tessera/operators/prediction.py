@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -196,6 +199,112 @@ def luma(blocks: DataFrame, size: int, most: int = 255) -> DataFrame:
     return rows.select(*own, "mode", "y", "x", F.when(F.col("mode") > 1, turned_).when(F.col("_blended"), blend).otherwise(F.col("_flat")).cast("bigint").alias("p"))
 
 
+@dataclass(frozen=True)
+class Taps:
+    """How a sample is predicted from references: four of them in 64ths, then drawn by 64ths towards two more and away from the first value."""
+
+    places: tuple[int, ...]
+    weights: tuple[int, ...]
+    towards: tuple[int, int] = (0, 0)
+    by: tuple[int, int] = (0, 0)
+    away: int = 0
+
+    def fields(self) -> dict[str, int]:
+        pad = (0,) * (4 - len(self.places))
+        return {f"p{k}": v for k, v in enumerate(self.places + pad)} | {f"w{k}": v for k, v in enumerate(self.weights + pad)} | {"t0": self.towards[0], "t1": self.towards[1], "b0": self.by[0], "b1": self.by[1], "away": self.away}
+
+
+class Line:
+    """Where the references of one side, up to 2 * n after the corner, stand in the array of ``reference_line``."""
+
+    def __init__(self, n: int, side: str, smooth: bool = False):
+        self.first = (2 * n + 1) * (("top", "left").index(side) + 2 * smooth)
+
+    def __getitem__(self, i: int) -> int:
+        return self.first + i
+
+
+def reference_line(top: Column, left: Column, n: int) -> Column:
+    """An array of the references of both sides, the same smoothed, and the mean, for blocks of n x n."""
+    return F.concat(F.slice(top, 1, 2 * n + 1), F.slice(left, 1, 2 * n + 1), *smoothed_references(top, left, n), F.array(mean(top, left, n, n)))
+
+
+def _flat_taps(top: Line, left: Line, x: int, y: int, mode: int, n: int) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The planar mode's or the mean's."""
+    if mode == 1:
+        return (4 * (2 * n + 1),), (64,)
+    unit = 32 // n
+    return (left[y + 1], top[n], top[x + 1], left[n]), ((n - 1 - x) * unit, (x + 1) * unit, (n - 1 - y) * unit, (y + 1) * unit)
+
+
+def _turn(mode: int) -> tuple[int, int, int]:
+    """A mode's turn from straight, its slope without sign, and the inverse slope."""
+    turn = mode - VERTICAL if mode >= 34 else HORIZONTAL - mode
+    slope = SLOPES[abs(turn)]
+    return turn, slope, round(16384 / slope) if slope else 0
+
+
+def _along_angle(main: Line, side: Line, along: int, across: int, mode: int, n: int) -> tuple[list[int], int]:
+    """The four references around a sample's place along an angle, and its 32nds from the second to the third."""
+    turn, slope, back = _turn(mode)
+    moved = (-slope if turn < 0 else slope) * (across + 1)
+    at = [(moved >> 5) + along + k for k in range(4)]
+    return [main[min(i, 2 * n)] if i >= 0 else side[max(0, min(n, (-i * back + 256) >> 9))] for i in at], moved & 31
+
+
+def angular_taps(mode: int, x: int, y: int, n: int) -> Taps:
+    """Of ``planar``, ``mean`` and ``angular``, by mode."""
+    top, left = Line(n, "top"), Line(n, "left")
+    if mode <= 1:
+        return Taps(*_flat_taps(top, left, x, y, mode, n))
+    main, side, along, across = (top, left, x, y) if mode >= 34 else (left, top, y, x)
+    at, part = _along_angle(main, side, along, across, mode, n)
+    return Taps((at[1], at[2]), (64 - 2 * part, 2 * part))
+
+
+def luma_taps(mode: int, x: int, y: int, n: int) -> Taps:
+    """Of ``luma``: smoothed references and taps, and blending by position, as the mode and size have them."""
+    log = n.bit_length() - 1
+    turn, slope, back = _turn(mode)
+    far = min(abs(mode - HORIZONTAL), abs(mode - VERTICAL)) > SMOOTHED_FROM[log]
+    smooth = n * n > 32 if mode == 0 else mode > 1 and far and slope % 32 == 0
+    top, left = Line(n, "top", smooth), Line(n, "left", smooth)
+    straight = (2 * log - 2) >> 2
+    near = lambda p, scale: 32 >> min(31, (2 * p) >> scale)
+    if mode <= 1:
+        taps = _flat_taps(top, left, x, y, mode, n)
+        if n < 4:
+            return Taps(*taps)
+        by = near(x, straight), near(y, straight)
+        return Taps(*taps, (left[y + 1], top[x + 1]), by, sum(by))
+    main, side, along, across = (top, left, x, y) if mode >= 34 else (left, top, y, x)
+    at, part = _along_angle(main, side, along, across, mode, n)
+    half = part // 2
+    taps = ((at[1],), (64,)) if slope % 32 == 0 else (tuple(at), (16 - half, 32 - half, 16 + half, half) if far else CUBIC[part])
+    scale = min(2, log - (max(3 * back - 2, 1).bit_length() - 1) + 8)
+    if n >= 4 and turn == 0 and along < 3 << straight:
+        by = near(along, straight)
+        return Taps(*taps, (side[across + 1], main[0]), (by, -by))
+    if n >= 4 and turn > 0 and scale >= 0 and along < 3 << scale:
+        by = near(along, scale)
+        return Taps(*taps, (side[min(2 * n, across + 1 + ((256 + (along + 1) * back) >> 9))], 0), (by, 0), by)
+    return Taps(*taps)
+
+
+def residuals(own: str, line: str, modes, taps, n: int, most: int = 255) -> Column:
+    """For each of ``modes`` an array by rows of the block's samples ``own`` less their prediction; columns' names.
+
+    ``line`` is a ``reference_line``. The taps are one literal that is parsed once, so a block needs one row, no shuffle.
+    """
+    table = [[taps(m, i % n, i // n, n).fields() for i in range(n * n)] for m in modes]
+    kind = f"array<array<struct<{', '.join(f'{k}: int' for k in table[0][0])}>>>"
+    clipped = lambda v: f"least({most}, greatest(0, {v}))"
+    value = clipped(f"shiftright({' + '.join(f't.w{k} * {line}[t.p{k}]' for k in range(4))} + 32, 6)")
+    drawn = clipped(f"v + shiftright(t.b0 * {line}[t.t0] + t.b1 * {line}[t.t1] - t.away * v + 32, 6)")
+    one = f"{own}[i] - if(t.b0 = 0 AND t.b1 = 0, {value}, transform(array({value}), v -> {drawn})[0])"
+    return F.expr(f"transform(from_json('{json.dumps(table)}', '{kind}'), m -> transform(m, (t, i) -> {one}))")
+
+
 def downsampled(rows: DataFrame, sub_w: int, sub_h: int) -> DataFrame:
     """(y, x, v): luma at the places of chroma, for the subsampling (1, 1), (2, 1) or (2, 2).
 

@@ -490,6 +490,13 @@ def reference_rows(spark, sf_dir, size: int = 8) -> DataFrame:
     return r.select("id", "row", "top", "left", F.expr(f"cast(_p div {size} as bigint)").alias("y"), (F.col("_p") % size).cast("bigint").alias("x"))
 
 
+def best_of(refs: DataFrame, modes, taps) -> DataFrame:
+    """(id, mode, satd, rank): the four best modes of a 4 x 4 block with its references."""
+    line = prediction.reference_line(F.col("top"), F.col("left"), 4).alias("line")
+    made = refs.repartition("id").select("id", F.slice("row", 34, 16).alias("own"), line)  # few large row groups, much work a row
+    return blocks.best_modes(made.select("id", prediction.residuals("own", "line", modes, taps, 4).alias("residuals")), ["id"], "residuals", modes, 4, 4)
+
+
 PLANAR = "((((7 - i) * lft[j + 2] + (i + 1) * top[9] + (7 - j) * top[i + 2] + (j + 1) * lft[9]) * 8 + 64) >> 7)"
 MEAN = "((list_sum(top[2:9])::BIGINT + list_sum(lft[2:9])::BIGINT + 8) >> 4)"
 BLEND = "p + (((32 >> least(31, (2 * i) >> 1)) * (lft[j + 2] - p) + (32 >> least(31, (2 * j) >> 1)) * (top[i + 2] - p) + 32) >> 6)"
@@ -542,11 +549,7 @@ def pred_angular_open(spark, sf_dir):
     SELECT id, mode, satd, row_number() OVER (PARTITION BY id ORDER BY satd, mode) AS rank FROM cost QUALIFY rank <= 4""",
 )
 def mode_top4_open(spark, sf_dir):
-    r = reference_rows(spark, sf_dir, 4).withColumn("mode", F.explode(F.array(*[F.lit(m).cast("bigint") for m in (0, 1, *ANGLES)])))
-    t, left, x, y, m = (F.col(c) for c in ("top", "left", "x", "y", "mode"))
-    p = F.when(m == 0, prediction.planar(t, left, x, y, 4)).when(m == 1, prediction.mean(t, left, 4, 4)).otherwise(prediction.angular(t, left, x, y, m, 4))
-    own = F.element_at("row", (34 + y * 4 + x).cast("int"))
-    return blocks.best_modes(r.select("id", "mode", "y", "x", (own - p).alias("v")), ["id"], 4, 4)
+    return best_of(references(spark, sf_dir), (0, 1, *ANGLES), prediction.angular_taps)
 
 
 @query(

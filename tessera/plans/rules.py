@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import codes, metadata
 from ..functions import samples as s
-from ..operators import blocks, neighbours, partition, prediction, rates, states, transforms
+from ..operators import neighbours, partition, prediction, rates, states, transforms
 from ..sources import planes
-from .catalogue import KEYS, QP, REFS, SHAPES, dequant_sql, forward_sql, quant_sql, query, references, rows_of, scan_sql, shapes
+from .catalogue import KEYS, QP, REFS, SHAPES, best_of, dequant_sql, forward_sql, quant_sql, query, references, rows_of, scan_sql, shapes
 
 WIDTH, HEIGHT = 512, 256
 NODES = """n AS (SELECT l_orderkey, l_linenumber, (l_orderkey % 40) * (4 << (l_suppkey % 6)::INTEGER) AS x, ((l_linenumber * 7 + l_partkey) % 20) * (4 << (l_partkey % 6)::INTEGER) AS y, (4 << (l_suppkey % 6)::INTEGER)::BIGINT AS w, (4 << (l_partkey % 6)::INTEGER)::BIGINT AS h,
@@ -171,8 +171,7 @@ _SIGNS = ", ".join(f"({k}, {n}, {1 - 2 * (bin(k & n).count('1') % 2)})" for k in
 )
 def mode_search(spark, sf_dir):
     """The four of all 67 luma modes with the least absolute Hadamard sum, for a 4 x 4 block out of each row."""
-    own = F.element_at("row", (34 + F.col("y") * 4 + F.col("x")).cast("int"))
-    return blocks.best_modes(prediction.luma(references(spark, sf_dir).repartition("id"), 4).select("id", "mode", "y", "x", (own - F.col("p")).alias("v")), ["id"], 4, 4)
+    return best_of(references(spark, sf_dir), range(67), prediction.luma_taps)
 
 
 @query(

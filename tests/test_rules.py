@@ -1,10 +1,13 @@
 """Coding tree, prediction, readers, padding and rate quantization by themselves."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import codes
 from tessera.operators import partition, prediction, rates
+from tessera.plans import catalogue, rules  # noqa: F401, the second adds its queries to the first
 from tessera.sources import planes, streams
 
 STATE = ("x", "y", "w", "h", "qt_depth", "mt_depth", "bt_depth", "implicit", "part")
@@ -65,3 +68,29 @@ def test_rate_quantization_keeps_signs_and_drops_lone_small_levels(spark):
     got = {(r.bcol, r.u, r.v): r.level for r in rates.by_rate(spark.createDataFrame(rows, "brow long, bcol long, u long, v long, c long"), 8, 8, 28, 0.015625).collect()}
     assert len(got) == 128 and got[1, 0, 0] < 0 and got[1, 7, 7] == 0
     assert not any(v for (b, _, _), v in got.items() if b == 0)
+
+
+@pytest.mark.parametrize("n", [4, 8])
+def test_taps_predict_as_the_formulas_do(spark, n):
+    rng = random.Random(n)
+    corner = [rng.randrange(256) for _ in range(6)]
+    data = [(k, [c, *(rng.choice((0, 255, rng.randrange(256))) for _ in range(16))], [c, *(rng.randrange(256) for _ in range(16))]) for k, c in enumerate(corner)]
+    refs = spark.createDataFrame(data, "id long, top array<long>, left array<long>")
+    line = refs.select("id", F.array_repeat(F.lit(0).cast("bigint"), n * n).alias("own"), prediction.reference_line(F.col("top"), F.col("left"), n).alias("line"))
+    got = {r.id: r.r for r in line.select("id", prediction.residuals("own", "line", range(67), prediction.luma_taps, n).alias("r")).collect()}
+    rows = prediction.luma(refs, n).collect()
+    assert len(rows) == 6 * 67 * n * n and all(r.p == -got[r.id][r.mode][r.y * n + r.x] for r in rows)
+    plain = {r.id: r.r for r in line.select("id", prediction.residuals("own", "line", range(2, 67), prediction.angular_taps, n).alias("r")).collect()}
+    count = lambda c, k: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(k).cast("bigint"))).alias(c)
+    spots = refs.select("*", count("mode", 64)).withColumn("mode", F.col("mode") + 2).select("*", count("y", n - 1)).select("*", count("x", n - 1))
+    angles = spots.select("id", "mode", "y", "x", prediction.angular(F.col("top"), F.col("left"), F.col("x"), F.col("y"), F.col("mode"), n).alias("p"))
+    assert all(r.p == -plain[r.id][r.mode - 2][r.y * n + r.x] for r in angles.collect())
+
+
+def test_best_modes_stay_in_their_row(spark, tmp_path):
+    spark.createDataFrame([(7, [k / 64 for k in range(64)], 1)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name in ("mode_top4_open", "mode_search"):
+        found = catalogue.QUERIES[name](spark, str(tmp_path))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and "Window" not in plan and plan.count("Exchange") == 1 and plan.count("sort_array") == 1
+        assert [(r.id, r["rank"]) for r in found.orderBy("rank").collect()] == [(7, k) for k in range(1, 5)]
