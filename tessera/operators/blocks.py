@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.samples import clip
 from ..sources import planes
 from ..sources.planes import WIDTH
-from .transforms import column_pass, from_left, from_right, literal
+from .transforms import from_left, from_right, literal
 
 
 def whole(a: Column, b: Column) -> Column:

@@ -69,6 +69,11 @@ def _gathered(block: Column, w: int, at: list[tuple[int, int]]) -> Column:
     return F.transform(literal([y * w + x for x, y in at]), lambda p: F.element_at(block, (p + 1).cast("int")))
 
 
+def _once(c: Column, f) -> Column:
+    """``f`` of a column that is evaluated once: within a lambda an expression is evaluated at each call."""
+    return F.transform(F.array(c), f)[0]
+
+
 def _scattered(out: Column, w: int, h: int, at: list[tuple[int, int]]) -> Column:
     """A block with ``out`` at the places of ``at``, zero elsewhere."""
     where = {(x, y): k for k, (x, y) in enumerate(at)}
@@ -80,8 +85,8 @@ def forward(block: Column, place: Column, w: int, h: int, kernels: Kernels) -> C
     side, rows = shape(w, h)
     at = positions(side)
     taken = F.when(turned(place), _gathered(block, w, [(y, x) for x, y in at])).otherwise(_gathered(block, w, at))
-    out = F.transform(F.array(taken), lambda v: F.transform(_kernel([k[:rows] for k in kernels], place, False), lambda r: F.shiftright(dot(r, v) + 64, 7)))[0]
-    return _scattered(out, w, h, places(side)[:rows])
+    out = _once(taken, lambda v: F.transform(_kernel([k[:rows] for k in kernels], place, False), lambda r: F.shiftright(dot(r, v) + 64, 7)))
+    return _once(out, lambda o: _scattered(o, w, h, places(side)[:rows]))
 
 
 def inverse(block: Column, place: Column, w: int, h: int, kernels: Kernels, digits: int = 15) -> Column:
@@ -90,8 +95,8 @@ def inverse(block: Column, place: Column, w: int, h: int, kernels: Kernels, digi
     at = positions(side)
     most = 1 << digits
     taken = _gathered(block, w, places(side)[:rows])
-    out = F.transform(F.array(taken), lambda v: F.transform(_kernel([k[:rows] for k in kernels], place, True), lambda r: F.least(F.lit(most - 1), F.greatest(F.lit(-most), F.shiftright(dot(r, v) + 64, 7)))))[0]
-    return F.when(turned(place), _scattered(out, w, h, [(y, x) for x, y in at])).otherwise(_scattered(out, w, h, at))
+    out = _once(taken, lambda v: F.transform(_kernel([k[:rows] for k in kernels], place, True), lambda r: F.least(F.lit(most - 1), F.greatest(F.lit(-most), F.shiftright(dot(r, v) + 64, 7)))))
+    return _once(out, lambda o: F.when(turned(place), _scattered(o, w, h, [(y, x) for x, y in at])).otherwise(_scattered(o, w, h, at)))
 
 
 def by_rows(coefficients: DataFrame, w: int) -> DataFrame:

@@ -52,3 +52,11 @@ def test_forward_and_back_against_sums_on_lists(spark):
         one = spark.createDataFrame([(0, span)], "p long, b array<long>").withColumn("f", secondary.forward(F.col("b"), F.col("p"), w, h, kernels))
         (r,) = one.select(secondary.inverse(F.col("f"), F.col("p"), w, h, kernels).alias("r")).collect()
         assert max(abs(a - b) for a, b in zip(r.r, span, strict=True)) <= max(3, max(map(abs, span)) // 12)
+
+
+def test_sums_are_made_once_a_block(spark):
+    table = spark.createDataFrame([(5, [1] * 64)], "p long, b array<long>")
+    kernels = secondary.bases(8, 8, 1)
+    for f in (secondary.forward, secondary.inverse):
+        plan = table.select(f(F.col("b"), F.col("p"), 8, 8, kernels).alias("r"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("zip_with(") == 1 and "THEN element_at(lambda" in plan and "THEN element_at(transform" not in plan
