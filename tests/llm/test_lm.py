@@ -3,6 +3,7 @@
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from dataclasses import replace
@@ -48,6 +49,50 @@ def test_gradients_equal_differences():
             assert abs((up - down) / 2e-5 - g[at]) < 1e-4
 
 
+def steps(model, count=64):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(0, lm.CLASSES + 1, (count, lm.WINDOW)), rng.integers(0, lm.CLASSES, (count, lm.FRESH))
+    return x, y, rng.random(y.shape) < 0.9, model
+
+
+def test_steps_use_their_arrays_again():
+    """A step makes anew what is as large as the weights, not what is as large as its windows."""
+    step = steps(as_floats(small()))
+    lm.backward(*step)
+    tracemalloc.start()
+    lm.backward(*step)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 700_000
+
+
+@pytest.mark.parametrize("large", (1, 40))
+def test_steps_in_single_precision(large):
+    """Also where a sum of attention overflows single precision, and on fewer windows after more."""
+    model = as_floats(small())
+    model.parts[2], model.parts[3] = model.parts[2] * np.float32(large), model.parts[3] * np.float32(large)
+    exact = lm.Model(model.of, model.share, *(g.astype(np.float64) for g in (model.group, model.member)), [p.astype(np.float64) for p in model.parts])
+    for count in (64, 5):
+        x, y, mask, _ = steps(model, count)
+        loss, grads = lm.backward(x, y, mask, model)
+        want, true = lm.backward(x, y, mask, exact)
+        assert loss == pytest.approx(want, rel=1e-4)
+        for g, w in zip(grads, true, strict=True):
+            assert g.dtype == np.float32 and np.abs(g - w).max() < 2e-3 * np.abs(w).max()
+
+
+def test_flat_steps_equal_steps_by_part():
+    one, two = as_floats(small()), as_floats(small())
+    adam, flat = lm.Adam(one.parts, 0.01), lm.Flat(two.parts, 0.01)
+    untouched = [p.copy() for p in two.parts]
+    for k in range(3):
+        grads = [np.random.default_rng(k).normal(0, 1, p.shape).astype(np.float32) for p in one.parts]
+        adam.step(grads)
+        flat.step(grads)
+    assert all(np.array_equal(a, b) for a, b in zip(one.parts, flat.parts, strict=True))
+    assert all(np.array_equal(a, b) for a, b in zip(two.parts, untouched, strict=True))
+
+
 def test_scores_equal_a_slow_softmax_and_sum_to_one():
     model = small()
     head = np.array([5, 9, 40000])
